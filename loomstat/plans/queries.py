@@ -63,3 +63,37 @@ def p10(m):
 @register("P11_stg_eventos_plataforma", "SELECT * FROM stg_eventos")
 def p11(m):
     return S.stg_eventos_plataforma(m)
+
+
+# ---------------------------------------------------------------- I: intermediate
+from loomstat.operators import intermediate as I  # noqa: E402
+
+
+@register("I1_int_pedidos_enriched", "SELECT * FROM int_pedidos_enriched")
+def i1(m):
+    return I.int_pedidos_enriched(m)
+
+
+@register("I2_int_oficina_performance", "SELECT * FROM int_oficina_performance")
+def i2(m):
+    return I.int_oficina_performance(m)
+
+
+@register("I3_int_empresa_activity", "SELECT * FROM int_empresa_activity")
+def i3(m):
+    return I.int_empresa_activity(m)
+
+
+@register("I4_int_funnel_stages", "SELECT * FROM int_funnel_stages")
+def i4(m):
+    return I.int_funnel_stages(m)
+
+
+@register("I5_int_match_pairs", "SELECT * FROM int_match_pairs")
+def i5(m):
+    return I.int_match_pairs(m)
+
+
+@register("I6_int_daily_platform_snapshot", "SELECT * FROM int_daily_platform_snapshot")
+def i6(m):
+    return I.int_daily_platform_snapshot(m)
