@@ -97,3 +97,21 @@ def i5(m):
 @register("I6_int_daily_platform_snapshot", "SELECT * FROM int_daily_platform_snapshot")
 def i6(m):
     return I.int_daily_platform_snapshot(m)
+
+
+# ---------------------------------------------------------------- M: marts
+from loomstat.operators import marts as M  # noqa: E402
+
+for _name, _fn, _cte in [
+    ("M1_marts_platform_kpis", M.marts_platform_kpis, "marts_platform_kpis"),
+    ("M2_marts_customer_journey", M.marts_customer_journey, "marts_customer_journey"),
+    ("M3_marts_cohort_analysis", M.marts_cohort_analysis, "marts_cohort_analysis"),
+    ("M4_marts_oficina_scoring", M.marts_oficina_scoring, "marts_oficina_scoring"),
+    ("M5_marts_empresa_clv", M.marts_empresa_clv, "marts_empresa_clv"),
+    ("M6_marts_match_quality", M.marts_match_quality, "marts_match_quality"),
+    ("M7_marts_revenue_analytics", M.marts_revenue_analytics, "marts_revenue_analytics"),
+    ("M8_marts_geographic_analysis", M.marts_geographic_analysis, "marts_geographic_analysis"),
+    ("M9_v_platform_summary", M.v_platform_summary, "v_platform_summary"),
+    ("M10_demand_supply_by_state", M.demand_supply_by_state, "demand_supply_by_state"),
+]:
+    register(_name, f"SELECT * FROM {_cte}")(lambda m, _f=_fn: _f(m))
