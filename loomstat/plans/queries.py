@@ -115,3 +115,45 @@ for _name, _fn, _cte in [
     ("M10_demand_supply_by_state", M.demand_supply_by_state, "demand_supply_by_state"),
 ]:
     register(_name, f"SELECT * FROM {_cte}")(lambda m, _f=_fn: _f(m))
+
+
+# ---------------------------------------------------------------- C / K / R: analytics classes
+from loomstat.operators import analytics as A  # noqa: E402
+
+
+def _funnel(m):
+    return I.int_funnel_stages(m)
+
+
+def _cohorts(m):
+    return M.marts_cohort_analysis(m)
+
+
+for _name, _fn, _sql in [
+    ("C1_funnel_summary", lambda m: A.funnel_summary(_funnel(m)), "SELECT * FROM c_funnel_summary"),
+    ("C2_time_to_convert", lambda m: A.time_to_convert(_funnel(m)), "SELECT * FROM c_time_to_convert"),
+    ("C3_funnel_by_segment", lambda m: A.funnel_by_segment(_funnel(m)), "SELECT * FROM c_funnel_by_segment"),
+    ("C4_drop_off_analysis", lambda m: A.drop_off_analysis(_funnel(m)), "SELECT * FROM c_drop_off"),
+    ("C5_cohort_funnel", lambda m: A.cohort_funnel(_funnel(m)), "SELECT * FROM c_cohort_funnel"),
+    ("C6_gmv_by_stage", lambda m: A.gmv_by_stage(_funnel(m)), "SELECT * FROM c_gmv_by_stage"),
+    ("K1_retention_matrix", lambda m: A.retention_matrix(_cohorts(m)),
+     "SELECT * FROM (PIVOT (SELECT cohort_label, mes_n, round(retention_rate_pct, 1) AS v FROM marts_cohort_analysis) "
+     "ON mes_n USING max(v) GROUP BY cohort_label)"),
+    ("K2_revenue_matrix", lambda m: A.revenue_matrix(_cohorts(m)),
+     "SELECT * FROM (PIVOT (SELECT cohort_label, mes_n, receita_cohort AS v FROM marts_cohort_analysis) "
+     "ON mes_n USING coalesce(max(v), 0) GROUP BY cohort_label)"),
+    ("K3_average_retention_curve", lambda m: A.average_retention_curve(_cohorts(m)),
+     "SELECT * FROM k_average_retention_curve"),
+    ("K4_cohort_summary", lambda m: A.cohort_summary(_cohorts(m)), "SELECT * FROM k_cohort_summary"),
+    ("K5_ltv_by_cohort", lambda m: A.ltv_by_cohort(_cohorts(m), 12), "SELECT * FROM k_ltv_by_cohort"),
+    ("K6_best_and_worst_cohorts", lambda m: A.best_and_worst_cohorts(_cohorts(m)), "SELECT * FROM k_best_worst"),
+    ("R1_compute_scores", lambda m: A.compute_scores(A.scoring_input(m)), "SELECT * FROM r_scores"),
+    ("R2_ranked_oficinas", lambda m: A.ranked_oficinas(A.scoring_input(m), None, 0.0, 50),
+     "SELECT * FROM r_scores WHERE score_composto >= 0 ORDER BY score_composto DESC, oficina_id LIMIT 50"),
+    ("R3_explain_scores", lambda m: A.explain_scores(A.scoring_input(m)), "SELECT * FROM r_explain"),
+    ("R4_compare_weights", lambda m: A.compare_weights(A.scoring_input(m), A.ScoringWeights(0.20, 0.20, 0.20, 0.20,
+                                                                                            0.10, 0.10)),
+     "SELECT *, rank_current - rank_alt AS rank_delta FROM r_compare"),
+    ("R5_tier_distribution", lambda m: A.tier_distribution(A.scoring_input(m)), "SELECT * FROM r_tiers"),
+]:
+    register(_name, _sql)(_fn)
