@@ -157,3 +157,52 @@ for _name, _fn, _sql in [
     ("R5_tier_distribution", lambda m: A.tier_distribution(A.scoring_input(m)), "SELECT * FROM r_tiers"),
 ]:
     register(_name, _sql)(_fn)
+
+
+# ---------------------------------------------------------------- Q: data quality
+from loomstat.operators import quality as Q  # noqa: E402
+from loomstat.plans import oracle as _O  # noqa: E402
+
+_QSQL = _O.quality_sql()
+for _name, _fn, _key in [
+    ("Q1_row_counts", Q.row_counts, "Q1"),
+    ("Q2_referential_integrity", Q.referential_integrity, "Q2"),
+    ("Q3_row_constraints", Q.row_constraints, "Q3"),
+    ("Q4_enum_domains", Q.enum_domains, "Q4"),
+    ("Q5_lifecycle_invariants", Q.lifecycle_invariants, "Q5"),
+]:
+    register(_name, _QSQL[_key])(lambda m, _f=_fn: _f(m))
+
+# Q6 uses approximate distinct counts (HyperLogLog): no exact oracle, rows-only check.
+register("Q6_schema_profile")(lambda m: Q.schema_profile(m))
+
+# ---------------------------------------------------------------- G4 and reports
+from loomstat.operators import reports as D  # noqa: E402
+
+
+def _gaps(m):
+    return D.supply_demand_gaps(D.open_orders(m), D.available_oficinas(m))
+
+
+register("G4_supply_demand_gaps", "SELECT * FROM g_gaps")(_gaps)
+
+for _name, _fn, _key in [
+    ("D1_headline_totals", lambda m: D.headline_totals(M.marts_platform_kpis(m)), "D1"),
+    ("D2_latest_vs_previous", lambda m: D.latest_vs_previous(M.marts_platform_kpis(m)), "D2"),
+    ("D3_order_stages_by_month", lambda m: D.order_stages_by_month(M.marts_platform_kpis(m)), "D3"),
+    ("D4_last_six_months", lambda m: D.last_months(M.marts_platform_kpis(m), 6), "D4"),
+    ("D6_brands_per_segment", lambda m: D.brands_per_segment(M.marts_empresa_clv(m)), "D6"),
+    ("D8_top_brands_by_clv", lambda m: D.top_brands_by_clv(M.marts_empresa_clv(m), 50), "D8"),
+    ("D9_supply_kpis", lambda m: D.supply_kpis(M.marts_oficina_scoring(m)), "D9"),
+    ("D10_tier_counts", lambda m: D.tier_counts(M.marts_oficina_scoring(m)), "D10"),
+    ("D11_workshops_by_state", lambda m: D.workshops_by_state(M.marts_oficina_scoring(m)), "D11"),
+    ("D12_ranked_workshops", lambda m: D.ranked_workshops(M.marts_oficina_scoring(m)), "D12"),
+    ("D14_match_kpis", lambda m: D.match_kpis(M.marts_match_quality(m)), "D14"),
+    ("D15_matches_by_geo", lambda m: D.matches_by_geo(M.marts_match_quality(m)), "D15"),
+    ("D16_matched_gmv_by_state", lambda m: D.matched_gmv_by_state(M.marts_match_quality(m)), "D16"),
+    ("D17_gap_by_state", lambda m: D.gap_by_state(M.marts_geographic_analysis(m), _gaps(m)), "D17"),
+    ("D18_financial_kpis", lambda m: D.financial_kpis(M.marts_revenue_analytics(m)), "D18"),
+    ("D18_gmv_mom", lambda m: D.gmv_mom(M.marts_revenue_analytics(m)), "D18b"),
+    ("D19_payment_mix", lambda m: D.payment_mix(M.marts_revenue_analytics(m)), "D19"),
+]:
+    register(_name, _O.REPORTS[_key])(_fn)
