@@ -206,3 +206,22 @@ for _name, _fn, _key in [
     ("D19_payment_mix", lambda m: D.payment_mix(M.marts_revenue_analytics(m)), "D19"),
 ]:
     register(_name, _O.REPORTS[_key])(_fn)
+
+
+# ---------------------------------------------------------------- V: lifetime value
+from loomstat.operators import clv as V  # noqa: E402
+
+register("V1_rfm_summary", "SELECT * FROM v_rfm")(lambda m: V.rfm_summary(V.transactions(m)))
+register("V6_probability_alive", "SELECT * FROM v_prob_alive")(
+    lambda m: V.probability_alive(V.rfm_summary(V.transactions(m)), V.BGNBDParams(*_O.V6_PARAMS[:2], *_O.V6_PARAMS[2:])))
+
+# ---------------------------------------------------------------- T: streaming and incremental
+from loomstat.streaming import live as T  # noqa: E402
+
+register("T3_order_codes", "SELECT * FROM t_order_codes")(lambda m: T.order_codes(m.pedidos))
+register("T4_daily_activity_stream", "SELECT * FROM t_daily_activity")(
+    lambda m: T.run_available_now(T.daily_activity(T.event_stream(m.spark, m.sf_dir)), m.spark, "t4"))
+register("T5_user_sessions_stream", "SELECT * FROM t_sessions")(
+    lambda m: T.run_available_now(T.user_sessions(T.event_stream(m.spark, m.sf_dir)), m.spark, "t5"))
+register("T6_dedup_events_stream", "SELECT * FROM t_dedup")(
+    lambda m: T.run_available_now(T.deduplicated_events(T.event_stream(m.spark, m.sf_dir)), m.spark, "t6"))

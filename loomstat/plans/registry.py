@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomstat.plans import oracle as O
+from loomstat.session import apply_defaults
 from loomstat.sources.binding import bind
 from loomstat.sources.io import finalize
 
@@ -23,6 +24,7 @@ def register(name: str, oracle_final: str | None = None):
 
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            apply_defaults(spark)  # UTC session time zone, AQE
             return finalize(fn(bind(spark, sf_dir)))
 
         run.__name__ = name
