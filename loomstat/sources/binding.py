@@ -430,3 +430,26 @@ class Marketplace:
 
 def bind(spark: SparkSession, sf_dir: str) -> Marketplace:
     return Marketplace(spark, sf_dir)
+
+
+# Source tables in foreign-key order (parents before children).
+SOURCE_TABLES = ["categorias_produto", "empresas", "oficinas", "eventos_plataforma", "usuarios", "pedidos",
+                 "pedido_items", "propostas", "producao", "avaliacoes", "certificacoes", "pagamentos"]
+
+
+def publish_sources(m: Marketplace, path: str) -> Marketplace:
+    """Write every bound source table once, in foreign-key order, to a new run
+    directory, and return a Marketplace that reads the written tables. Each table is
+    re-read right after it is written, so later tables derive from the written parents
+    (payments from the written orders, and so on) instead of recomputing them.
+    Parquet has no multi-table transaction: the directory is only handed out (by
+    pointer) after every table is written."""
+    spark = m.spark
+    out = Marketplace(spark, m.sf_dir)
+    out._raw = m._raw
+    for name in SOURCE_TABLES:
+        df = getattr(out, name)
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        out.__dict__[name] = spark.read.parquet(f"{path}/{name}")
+    out.__dict__["published_path"] = path
+    return out
