@@ -225,3 +225,14 @@ register("T5_user_sessions_stream", "SELECT * FROM t_sessions")(
     lambda m: T.run_available_now(T.user_sessions(T.event_stream(m.spark, m.sf_dir)), m.spark, "t5"))
 register("T6_dedup_events_stream", "SELECT * FROM t_dedup")(
     lambda m: T.run_available_now(T.deduplicated_events(T.event_stream(m.spark, m.sf_dir)), m.spark, "t6"))
+
+
+# ---------------------------------------------------------------- G2: exact top-n recommendations (no pair product)
+from loomstat.operators import matching as G  # noqa: E402
+from loomstat.operators import recommend as GR  # noqa: E402
+
+
+@register("G2_recommendations", "SELECT * FROM g_recommendations")
+def g2(m):
+    regions = G.region_table_from_nations(m.raw("nation"), m.raw("region"))
+    return GR.recommendations(D.open_orders(m), D.available_oficinas(m), regions, top_n=5)
