@@ -65,3 +65,256 @@ def probability_alive(rfm: DataFrame, p: BGNBDParams, digits: int = 6) -> DataFr
     pa = F.when(x > 0, F.lit(1.0) / (F.lit(1.0) + term)).otherwise(F.lit(1.0))
     m = float(10 ** digits)
     return rfm.select("empresa_id", "frequency", "recency", "T", (F.round(pa * m) / m).alias("prob_alive"))
+
+
+# ====================================================================== model fitting (V2, V3)
+import math  # noqa: E402
+
+import numpy as np  # noqa: E402
+import pandas as pd  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+LN_2PI_HALF = 0.5 * math.log(2 * math.pi)
+
+
+def lgamma_col(z: F.Column) -> F.Column:
+    """ln Γ(z) for z > 0 as a column expression: shift by 8, then Stirling's series
+    (absolute error below 1e-13), so the likelihood stays in whole-stage codegen."""
+    y = z + 8.0
+    series = ((y - 0.5) * F.log(y) - y + F.lit(LN_2PI_HALF) + 1.0 / (12.0 * y) - 1.0 / (360.0 * F.pow(y, 3))
+              + 1.0 / (1260.0 * F.pow(y, 5)) - 1.0 / (1680.0 * F.pow(y, 7)))
+    shift = F.log(z)
+    for i in range(1, 8):
+        shift = shift + F.log(z + float(i))
+    return series - shift
+
+
+def _log_rising(base: F.Column, n: F.Column) -> F.Column:
+    """Σ_{i<n} ln(base + i) for a non-negative integer n (= lnΓ(base+n) - lnΓ(base))."""
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0),
+                                     lambda acc, i: acc + F.log(base + i.cast("double")))).otherwise(F.lit(0.0))
+
+
+def bgnbd_stats(rfm: DataFrame) -> DataFrame:
+    """BG/NBD sufficient statistics: customers grouped by (x, t_x, T) with a weight,
+    materialised once (every likelihood evaluation reuses it)."""
+    return (rfm.groupBy("frequency", "recency", "T").agg(F.count(F.lit(1)).alias("w"))
+            .select(F.col("frequency").cast("int").alias("x"), F.col("recency").alias("tx"), F.col("T").alias("tt"),
+                    F.col("w").cast("double").alias("w")))
+
+
+def bgnbd_loglik(x: F.Column, tx: F.Column, tt: F.Column, r, alpha, a, b) -> F.Column:
+    """Per-customer BG/NBD log-likelihood (Fader, Hardie & Lee 2005); parameters may be columns."""
+    xd = x.cast("double")
+    a1 = _log_rising(r, x) + r * F.log(alpha)
+    a2 = _log_rising(b, x) - _log_rising(a + b, x)
+    a3 = -(r + xd) * F.log(alpha + tt)
+    a4 = F.log(a) - F.log(b + F.greatest(xd, F.lit(1.0)) - 1.0) - (r + xd) * F.log(tx + alpha)
+    mx = F.greatest(a3, a4)
+    return a1 + a2 + F.log(F.exp(a3 - mx) + F.when(x > 0, F.exp(a4 - mx)).otherwise(F.lit(0.0))) + mx
+
+
+def _evaluate(stats: DataFrame, cands: list[np.ndarray], objective) -> list[float]:
+    """Evaluate several log-parameter vectors in one job: the (few) candidate parameter
+    sets are inlined as a literal array and exploded against every statistics row, then
+    the objective is aggregated per candidate."""
+    k = len(cands[0])
+    lits = F.array(*[F.struct(F.lit(i).alias("cid"), *[F.lit(float(v)).alias(f"p{j}") for j, v in enumerate(np.exp(c))])
+                     for i, c in enumerate(cands)])
+    res = objective(stats.select("*", F.explode(lits).alias("_c")).select("*", "_c.*").drop("_c"))
+    del k
+    got = {r["cid"]: r["obj"] for r in res.collect()}
+    return [got[i] if got[i] is not None and math.isfinite(got[i]) else float("inf") for i in range(len(cands))]
+
+
+def nelder_mead(evaluate, x0: np.ndarray, step: float = 0.5, max_iter: int = 400, xtol: float = 1e-4,
+                ftol: float = 1e-6) -> tuple[np.ndarray, float, int]:
+    """Nelder–Mead on the driver; every iteration evaluates reflection, expansion and both
+    contractions in one batch (one Spark job), a shrink in a second one."""
+    n = len(x0)
+    simplex = [x0] + [x0 + step * np.eye(n)[i] for i in range(n)]
+    fs = evaluate(simplex)
+    it = 0
+    for it in range(1, max_iter + 1):
+        order = np.argsort(fs)
+        simplex = [simplex[i] for i in order]
+        fs = [fs[i] for i in order]
+        if max(abs(f - fs[0]) for f in fs) <= ftol and max(np.max(np.abs(s - simplex[0])) for s in simplex) <= xtol:
+            break
+        centroid = np.mean(simplex[:-1], axis=0)
+        worst = simplex[-1]
+        xr = centroid + (centroid - worst)
+        xe = centroid + 2.0 * (centroid - worst)
+        xoc = centroid + 0.5 * (centroid - worst)
+        xic = centroid - 0.5 * (centroid - worst)
+        fr, fe, foc, fic = evaluate([xr, xe, xoc, xic])
+        if fr < fs[0]:
+            simplex[-1], fs[-1] = (xe, fe) if fe < fr else (xr, fr)
+        elif fr < fs[-2]:
+            simplex[-1], fs[-1] = xr, fr
+        elif fr < fs[-1] and foc <= fr:
+            simplex[-1], fs[-1] = xoc, foc
+        elif fr >= fs[-1] and fic < fs[-1]:
+            simplex[-1], fs[-1] = xic, fic
+        else:
+            new = [simplex[0] + 0.5 * (s - simplex[0]) for s in simplex[1:]]
+            simplex = [simplex[0]] + new
+            fs = [fs[0]] + evaluate(new)
+    best = int(np.argmin(fs))
+    return simplex[best], fs[best], it
+
+
+@dataclass(frozen=True)
+class GGParams:
+    p: float
+    q: float
+    v: float
+
+
+def _bgnbd_objective(penalizer: float):
+    def obj(j: DataFrame) -> DataFrame:
+        r, alpha, a, b = (F.col(f"p{i}") for i in range(4))
+        ll = bgnbd_loglik(F.col("x"), F.col("tx"), F.col("tt"), r, alpha, a, b)
+        pen = F.lit(penalizer) * (r * r + alpha * alpha + a * a + b * b)
+        return j.groupBy("cid").agg((-F.sum(F.col("w") * ll) / F.sum("w") + F.first(pen)).alias("obj"))
+    return obj
+
+
+def fit_bgnbd(rfm: DataFrame, penalizer: float = 0.001, max_iter: int = 400) -> tuple[BGNBDParams, float, int]:
+    """V2: maximum likelihood BG/NBD (mean negative log-likelihood + penalizer·Σθ², on
+    log-parameters). Returns the parameters, the objective and the iteration count."""
+    stats = bgnbd_stats(rfm).checkpoint(eager=True)
+    x, f, it = nelder_mead(lambda c: _evaluate(stats, c, _bgnbd_objective(penalizer)), np.zeros(4), max_iter=max_iter)
+    r, alpha, a, b = np.exp(x)
+    return BGNBDParams(float(r), float(alpha), float(a), float(b)), float(f), it
+
+
+def gg_loglik(x: F.Column, m: F.Column, p, q, v) -> F.Column:
+    """Per-customer Gamma-Gamma log-likelihood of the mean spend m over x repeat purchases."""
+    px = p * x
+    return (lgamma_col(px + q) - lgamma_col(px) - lgamma_col(q) + q * F.log(v) + (px - 1.0) * F.log(m)
+            + px * F.log(x) - (px + q) * F.log(x * m + v))
+
+
+def _gg_objective(penalizer: float):
+    def obj(j: DataFrame) -> DataFrame:
+        p, q, v = (F.col(f"p{i}") for i in range(3))
+        ll = gg_loglik(F.col("x"), F.col("m"), p, q, v)
+        pen = F.lit(penalizer) * (p * p + q * q + v * v)
+        return j.groupBy("cid").agg((-F.avg(ll) + F.first(pen)).alias("obj"))
+    return obj
+
+
+def fit_gamma_gamma(rfm: DataFrame, penalizer: float = 0.001, max_iter: int = 400) -> tuple[GGParams, float, int]:
+    """V3: Gamma-Gamma spend model on repeat buyers (frequency > 0, positive spend)."""
+    data = (rfm.where((F.col("frequency") > 0) & (F.col("monetary_value") > 0))
+            .select(F.col("frequency").alias("x"), F.col("monetary_value").alias("m")).checkpoint(eager=True))
+    x, f, it = nelder_mead(lambda c: _evaluate(data, c, _gg_objective(penalizer)), np.zeros(3), max_iter=max_iter)
+    p, q, v = np.exp(x)
+    return GGParams(float(p), float(q), float(v)), float(f), it
+
+
+# ====================================================================== prediction (V4, V5, V7)
+def _hyp2f1(a: np.ndarray, b: np.ndarray, c: np.ndarray, z: np.ndarray, max_terms: int = 100000) -> np.ndarray:
+    """Gauss hypergeometric series, vectorised over a batch (|z| < 1)."""
+    term = np.ones_like(z)
+    total = np.ones_like(z)
+    active = np.ones(z.shape, dtype=bool)
+    k = 0
+    while active.any() and k < max_terms:
+        term = np.where(active, term * (a + k) * (b + k) / ((c + k) * (k + 1)) * z, 0.0)
+        total = total + term
+        active = active & (np.abs(term) > 1e-15 * np.abs(total))
+        k += 1
+    return total
+
+
+def _expected_purchases_np(t: float, x, tx, tt, p: BGNBDParams) -> np.ndarray:
+    r, alpha, a, b = p.r, p.alpha, p.a, p.b
+    x, tx, tt = (np.asarray(v, dtype=float) for v in (x, tx, tt))
+    if t <= 0:
+        return np.zeros_like(x)
+    _a, _b, _c = r + x, b + x, a + b + x - 1.0
+    z = t / (alpha + tt + t)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        ln_hyp = np.log(_hyp2f1(_a, _b, _c, z))
+        alt = np.log(_hyp2f1(_c - _a, _c - _b, _c, z)) + (_c - _a - _b) * np.log1p(-z)
+        ln_hyp = np.where(np.isfinite(ln_hyp), ln_hyp, alt)
+        first = (a + b + x - 1.0) / (a - 1.0)
+        second = 1.0 - np.exp(ln_hyp + (r + x) * np.log((alpha + tt) / (alpha + t + tt)))
+        den = 1.0 + (x > 0) * (a / (b + x - 1.0)) * ((alpha + tt) / (alpha + tx)) ** (r + x)
+        return first * second / den
+
+
+def expected_purchases_col(t_days: float, p: BGNBDParams):
+    """V5 as an Arrow pandas UDF (₂F₁ has no built-in column form)."""
+    @F.pandas_udf(T.DoubleType())
+    def ep(x: pd.Series, tx: pd.Series, tt: pd.Series) -> pd.Series:
+        return pd.Series(_expected_purchases_np(t_days, x.values, tx.values, tt.values, p))
+
+    return ep(F.col("frequency"), F.col("recency"), F.col("T"))
+
+
+def expected_purchases(rfm: DataFrame, p: BGNBDParams, t_days: float = 30) -> DataFrame:
+    """V5: expected purchases in the next ``t_days`` per customer."""
+    return rfm.select("empresa_id", expected_purchases_col(t_days, p).alias("expected_purchases"))
+
+
+def predict_clv(rfm: DataFrame, bg: BGNBDParams, gg: GGParams, months: int = 12, discount_rate: float = 0.01,
+                days_per_month: int = 30) -> DataFrame:
+    """V4: expected purchases over months·30 days, discounted CLV (Σ over months of
+    expected spend × (E[X(30k)] − E[X(30(k−1))]) / (1+d)^k) and P(alive)."""
+    @F.pandas_udf(T.DoubleType())
+    def clv_udf(x: pd.Series, tx: pd.Series, tt: pd.Series, m: pd.Series) -> pd.Series:
+        xv, txv, ttv = x.values, tx.values, tt.values
+        spend = (gg.p * (gg.v + xv * m.fillna(0).values)) / (gg.p * xv + gg.q - 1.0)
+        total = np.zeros_like(xv, dtype=float)
+        prev = np.zeros_like(xv, dtype=float)
+        for k in range(1, months + 1):
+            cur = _expected_purchases_np(days_per_month * k, xv, txv, ttv, bg)
+            total = total + spend * (cur - prev) / (1.0 + discount_rate) ** k
+            prev = cur
+        return pd.Series(total)
+
+    ep = expected_purchases_col(months * days_per_month, bg)
+    pa = probability_alive(rfm, bg, digits=12).select("empresa_id", "prob_alive")
+    out = rfm.select("empresa_id", "frequency", F.col("recency").alias("recency_days"), F.col("T").alias("age_days"),
+                     F.round(F.coalesce(F.col("monetary_value"), F.lit(0.0)), 2).alias("avg_order_value"),
+                     (F.round(ep * 1e3) / 1e3).alias(f"expected_purchases_{months}m"),
+                     (F.round(clv_udf(F.col("frequency"), F.col("recency"), F.col("T"), F.col("monetary_value")) * 1e2)
+                      / 1e2).alias(f"clv_{months}m_predicted"))
+    return out.join(pa, "empresa_id").withColumn("prob_alive", F.round(F.col("prob_alive") * 1e4) / 1e4)
+
+
+SEGMENT_LABELS = ["low_value", "mid_low", "mid_high", "high_value"]
+
+
+def segment_by_clv(clv: DataFrame, months: int = 12, n_segments: int = 4) -> DataFrame:
+    """V7: quantile-cut labels (right-closed bins, lowest value included). Edges are exact
+    quantiles from distributed global row numbers; only the edge rows reach the driver.
+    When repeated edges collapse bins, the remaining bins keep the lowest labels in order
+    (pandas refuses that case: labels no longer match bins)."""
+    from loomstat.functions.ranks import global_row_number
+
+    col = f"clv_{months}m_predicted"
+    vals = clv.select(F.col(col).alias("v"), "empresa_id").where(F.col("v").isNotNull())
+    n = vals.count()
+    if n == 0:
+        return clv.withColumn("clv_segment", F.lit(None).cast("string"))
+    qs = [i / n_segments for i in range(n_segments + 1)]
+    need = sorted({int(math.floor((n - 1) * q)) + 1 for q in qs} | {int(math.ceil((n - 1) * q)) + 1 for q in qs})
+    numbered = global_row_number(vals, [F.col("v"), F.col("empresa_id")], "_rn")
+    at = {r["_rn"]: r["v"] for r in numbered.where(F.col("_rn").isin(need)).select("_rn", "v").collect()}
+    edges = []
+    for q in qs:
+        h = (n - 1) * q
+        lo, hi = int(math.floor(h)) + 1, int(math.ceil(h)) + 1
+        edges.append(at[lo] + (at[hi] - at[lo]) * (h - math.floor(h)))
+    uniq = sorted(set(edges))
+    labels = SEGMENT_LABELS[:n_segments]
+    v = F.col(col)
+    seg = F.lit(None).cast("string")
+    for i in range(len(uniq) - 1, 0, -1):
+        lower_ok = (v >= uniq[i - 1]) if i == 1 else (v > uniq[i - 1])
+        seg = F.when(lower_ok & (v <= uniq[i]), F.lit(labels[i - 1])).otherwise(seg)
+    return clv.withColumn("clv_segment", seg)

@@ -236,3 +236,51 @@ from loomstat.operators import recommend as GR  # noqa: E402
 def g2(m):
     regions = G.region_table_from_nations(m.raw("nation"), m.raw("region"))
     return GR.recommendations(D.open_orders(m), D.available_oficinas(m), regions, top_n=5)
+
+
+# ---------------------------------------------------------------- V2-V5, V7: CLV model (no SQL form: rows-only checks)
+from pyspark.sql import functions as _F  # noqa: E402
+
+_FITS: dict = {}
+
+
+def _clv_fits(m):
+    """Fitted BG/NBD and Gamma-Gamma parameters, once per session and source version."""
+    key = (id(m.spark._jsparkSession), m.sf_dir, m.__dict__.get("published_path"))
+    if key not in _FITS:
+        rfm = V.rfm_summary(V.transactions(m)).checkpoint(eager=True)
+        bg, fbg, itbg = V.fit_bgnbd(rfm)
+        gg, fgg, itgg = V.fit_gamma_gamma(rfm)
+        _FITS[key] = (rfm, bg, fbg, itbg, gg, fgg, itgg)
+    return _FITS[key]
+
+
+def _v2(m):
+    rfm, bg, f, it, *_ = _clv_fits(m)
+    return m.spark.createDataFrame([(bg.r, bg.alpha, bg.a, bg.b, f, it, rfm.count())],
+                                   "r double, alpha double, a double, b double, objective double, iterations int, "
+                                   "n_customers long")
+
+
+def _v3(m):
+    rfm, *_rest = _clv_fits(m)
+    gg, f, it = _rest[3], _rest[4], _rest[5]
+    return m.spark.createDataFrame([(gg.p, gg.q, gg.v, f, it)],
+                                   "p double, q double, v double, objective double, iterations int")
+
+
+def _v4(m):
+    rfm, bg, _f, _i, gg, *_ = _clv_fits(m)
+    return V.predict_clv(rfm, bg, gg, months=12, discount_rate=0.01)
+
+
+register("V2_fit_bgnbd")(_v2)
+register("V2_bgnbd_loglik_fixed", "SELECT * FROM v_bgnbd_loglik")(
+    lambda m: (lambda rfm: rfm.select("empresa_id", "frequency", "recency", "T", (_F.round(V.bgnbd_loglik(
+        _F.col("frequency").cast("int"), _F.col("recency"), _F.col("T"), _F.lit(_O.V6_PARAMS[0]),
+        _F.lit(_O.V6_PARAMS[1]), _F.lit(_O.V6_PARAMS[2]), _F.lit(_O.V6_PARAMS[3])) * 1e6) / 1e6).alias("loglik")))(
+        V.rfm_summary(V.transactions(m))))
+register("V3_fit_gamma_gamma")(_v3)
+register("V4_predict_clv")(_v4)
+register("V5_expected_purchases_30d")(lambda m: V.expected_purchases(_clv_fits(m)[0], _clv_fits(m)[1], 30))
+register("V7_segment_by_clv")(lambda m: V.segment_by_clv(_v4(m), 12, 4))
