@@ -284,3 +284,8 @@ register("V3_fit_gamma_gamma")(_v3)
 register("V4_predict_clv")(_v4)
 register("V5_expected_purchases_30d")(lambda m: V.expected_purchases(_clv_fits(m)[0], _clv_fits(m)[1], 30))
 register("V7_segment_by_clv")(lambda m: V.segment_by_clv(_v4(m), 12, 4))
+
+
+# ---------------------------------------------------------------- T1/T2: live workshop scores with upsert sink
+register("T1_live_workshop_scores", "SELECT * FROM t_live_scores")(
+    lambda m: T.run_live_scores(m.spark, m.published_path + "/avaliacoes"))

@@ -84,3 +84,70 @@ def order_codes(pedidos: DataFrame) -> DataFrame:
     return j.select("pedido_id", "ano", seq.alias("seq"),
                     F.concat(F.lit("PED-"), F.col("ano").cast("string"), F.lit("-"),
                              F.lpad(seq.cast("string"), 5, "0")).alias("codigo"))
+
+
+# ---------------------------------------------------------------- T1 / T2
+def upsert_snapshot(base: str, keys: list[str], ts_col: str):
+    """A ``foreachBatch`` sink with last-writer-wins upsert semantics.
+
+    Epoch e merges the batch (latest row per key by ``ts_col``) into the snapshot written
+    by epoch e-1 and writes snapshot ``v{e}``; re-running an epoch after a failure rewrites
+    the same version from the same inputs, so the sink is idempotent. The updated-at stamp
+    is the batch's event time, not the wall clock."""
+    from pyspark.sql import Window
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        w = Window.partitionBy(*keys).orderBy(F.col(ts_col).desc())
+        latest = batch.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+        prev = f"{base}/v{epoch_id - 1:08d}"
+        if _exists(spark, prev):
+            current = spark.read.parquet(prev)
+            merged = current.join(latest.select(*keys), keys, "left_anti").unionByName(latest)
+        else:  # first epoch: no previous snapshot
+            merged = latest
+        merged.write.mode("overwrite").parquet(f"{base}/v{epoch_id:08d}")
+
+    return write
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
+def latest_snapshot(spark: SparkSession, base: str) -> DataFrame:
+    """Read the newest snapshot version written by ``upsert_snapshot``."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    versions = sorted(st.getPath().getName() for st in fs.listStatus(path) if st.getPath().getName().startswith("v"))
+    return spark.read.parquet(f"{base}/{versions[-1]}")
+
+
+def live_workshop_scores(reviews: DataFrame) -> DataFrame:
+    """Per workshop, the rounded mean of each rating dimension (NULLs skipped) and the
+    number of reviews, maintained as reviews arrive (streaming aggregation, update mode).
+    State is one row per workshop."""
+    from loomstat.functions.scalar import dround
+
+    r = reviews.where(F.col("avaliado_oficina_id").isNotNull())
+    return r.groupBy(F.col("avaliado_oficina_id").alias("oficina_id")).agg(
+        dround(F.avg("nota_qualidade"), 2).alias("score_qualidade"),
+        dround(F.avg("nota_pontualidade"), 2).alias("score_pontualidade"),
+        dround(F.avg("nota_comunicacao"), 2).alias("score_comunicacao"),
+        F.count(F.lit(1)).alias("total_avaliacoes"),
+        F.max("created_at").alias("updated_at"))
+
+
+def run_live_scores(spark: SparkSession, reviews_path: str, name: str = "t1", files_per_trigger: int = 1) -> DataFrame:
+    """Run T1 over a Parquet directory of reviews as a file stream (several micro-batches),
+    upserting each batch's updated workshops into versioned snapshots (T2)."""
+    schema = spark.read.parquet(reviews_path).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(reviews_path)
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex}"
+    q = (live_workshop_scores(stream).writeStream.outputMode("update")
+         .foreachBatch(upsert_snapshot(base + "/snapshots", ["oficina_id"], "updated_at"))
+         .option("checkpointLocation", base + "/state").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return latest_snapshot(spark, base + "/snapshots")
