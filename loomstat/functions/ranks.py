@@ -86,3 +86,23 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value: str, qs: dict[s
         frac = F.first(h - lo)
         aggs.append((v_lo.cast("double") + (v_hi.cast("double") - v_lo.cast("double")) * frac).alias(name))
     return hist.groupBy(*group_cols).agg(*aggs)
+
+
+def global_quantiles(df: DataFrame, value: str, qs: dict[str, float], id_col: str) -> DataFrame:
+    """Exact percentile_cont over a whole (continuous-valued) column as a one-row DataFrame:
+    exact global row numbers, then a conditional aggregate at the two positions around
+    (n-1)·q. Nothing is collected; the only broadcast side is the one-row count."""
+    v = F.col(value)
+    vals = df.where(v.isNotNull()).select(value, id_col)
+    numbered = global_row_number(vals, [v, F.col(id_col)], "_rn")
+    n = vals.agg(F.count(F.lit(1)).alias("_n"))
+    j = numbered.join(F.broadcast(n), how="inner")
+    aggs = []
+    for name, q in qs.items():
+        h = (F.col("_n") - 1) * F.lit(q)
+        lo, hi = F.floor(h) + 1, F.ceil(h) + 1
+        v_lo = F.max(F.when(F.col("_rn") == lo, v)).cast("double")
+        v_hi = F.max(F.when(F.col("_rn") == hi, v)).cast("double")
+        frac = F.first(h - F.floor(h))
+        aggs.append((v_lo + (v_hi - v_lo) * frac).alias(name))
+    return j.agg(*aggs)

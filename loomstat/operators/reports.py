@@ -197,3 +197,31 @@ def payment_mix(rev: DataFrame) -> DataFrame:
     m = rev.agg(*[dround(F.avg(f"pct_{k}"), 2).alias(k) for k in ("pix", "boleto", "transferencia")])
     return m.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metodo"), F.col(k).alias("pct_medio"))
                                          for k in ("pix", "boleto", "transferencia")])).alias("s")).select("s.*")
+
+
+# ---------------------------------------------------------------- D5, D7, D13
+def demand_kpis(clv: DataFrame) -> DataFrame:
+    """Brands, exact median 12-month CLV, champions share, activation share (% with
+    at least one completed order). The reference's page tests a segment label the mart
+    never emits; the mart's label (``champions``) is used."""
+    from loomstat.functions.ranks import global_quantiles
+
+    k = clv.agg(F.count(F.lit(1)).alias("total_empresas"),
+                _pct1(count_if(F.col("rfm_segment") == "champions"), F.count(F.lit(1))).alias("champions_pct"),
+                _pct1(count_if(F.col("frequencia") > 0), F.count(F.lit(1))).alias("activation_rate"))
+    med = global_quantiles(clv, "clv_12m_estimado", {"median_clv": 0.5}, "empresa_id")
+    return k.join(med, how="inner")  # two one-row frames
+
+
+def recency_frequency_sample(clv: DataFrame, n: int = 500) -> DataFrame:
+    """The first n brands of the CLV mart in its published order (CLV desc, NULLs last),
+    with recency, frequency, spend and segment."""
+    return clv.orderBy(F.col("clv_12m_estimado").desc_nulls_last(), F.col("empresa_id")).limit(n).select(
+        "empresa_id", "recencia_dias", "frequencia", "gasto_total", "rfm_segment")
+
+
+def journey_kpis(funnel: DataFrame) -> DataFrame:
+    """% of the top of the funnel reaching each later stage, as one row."""
+    return funnel.agg(*[F.max(F.when(F.col("stage") == s, F.col("pct_of_top"))).alias(f"taxa_{lbl}")
+                        for s, lbl in (("activated", "ativacao"), ("matched", "match"), ("converted", "conversao"),
+                                       ("retained", "retencao"))])

@@ -191,6 +191,9 @@ for _name, _fn, _key in [
     ("D2_latest_vs_previous", lambda m: D.latest_vs_previous(M.marts_platform_kpis(m)), "D2"),
     ("D3_order_stages_by_month", lambda m: D.order_stages_by_month(M.marts_platform_kpis(m)), "D3"),
     ("D4_last_six_months", lambda m: D.last_months(M.marts_platform_kpis(m), 6), "D4"),
+    ("D5_demand_kpis", lambda m: D.demand_kpis(M.marts_empresa_clv(m)), "D5"),
+    ("D7_recency_frequency_sample", lambda m: D.recency_frequency_sample(M.marts_empresa_clv(m)), "D7"),
+    ("D13_journey_kpis", lambda m: D.journey_kpis(A.funnel_summary(I.int_funnel_stages(m))), "D13"),
     ("D6_brands_per_segment", lambda m: D.brands_per_segment(M.marts_empresa_clv(m)), "D6"),
     ("D8_top_brands_by_clv", lambda m: D.top_brands_by_clv(M.marts_empresa_clv(m), 50), "D8"),
     ("D9_supply_kpis", lambda m: D.supply_kpis(M.marts_oficina_scoring(m)), "D9"),
