@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstat.functions import ranks
 from loomstat.functions.scalar import as_of_date, as_of_ts, days_between, dow_sunday0, dround, pct, ratio, to_int_rounded
 from loomstat.operators import staging as S
 from loomstat.sources.binding import Marketplace
@@ -314,8 +315,11 @@ def int_match_pairs(m: Marketplace) -> DataFrame:
     half = F.lit(0.5).cast("decimal(2,1)")
     q = F.coalesce(F.col("avaliacao_nota_qualidade").cast("decimal(8,3)"), F.col("_o_sq") * half)
     pt = F.coalesce(F.col("avaliacao_nota_pontualidade").cast("decimal(8,3)"), F.col("_o_sp") * half)
-    w = Window.partitionBy("empresa_id", "oficina_id").orderBy(
-        "dt_criacao", "pedido_id", F.col("_a_id").asc_nulls_first())
+    # Nth match of the (brand, workshop) pair, numbered without a per-pair window so a
+    # hot pair is spread over many tasks (exact; ties broken by order id, then rating id)
+    j = ranks.grouped_row_number(j, ["empresa_id", "oficina_id"],
+                                 [F.col("dt_criacao"), F.col("pedido_id"), F.col("_a_id").asc_nulls_first()],
+                                 "numero_match_no_par")
     return j.select(
         "pedido_id", "empresa_id", "oficina_id", "empresa_nome", "empresa_estado", "empresa_segmento",
         "empresa_porte", "oficina_nome", "oficina_estado", "oficina_tier", "oficina_score_no_match",
@@ -325,7 +329,7 @@ def int_match_pairs(m: Marketplace) -> DataFrame:
         F.when(es == os_, "mesmo_estado")
         .when(es.isin(*SOUTH_STATES) & os_.isin(*SOUTH_STATES), "sul")
         .otherwise("interestadual").alias("tipo_match_geografico"),
-        F.row_number().over(w).alias("numero_match_no_par"),
+        "numero_match_no_par",
         F.round((q + pt) * half, 2).alias("match_quality_score"),
     )
 

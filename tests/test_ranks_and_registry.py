@@ -49,3 +49,14 @@ def test_registered_query_runs(spark, name):
     df = E.queries()[name](spark, SF_SMALL)
     assert df.count() >= 0
     assert len(df.columns) == len(set(df.columns))
+
+
+def test_grouped_row_number_matches_window(spark):
+    # one hot group holding most rows, NULL keys, ties on the order column broken by id
+    df = spark.range(0, 2000).select(
+        F.col("id"), F.when(F.col("id") % 10 < 7, F.lit("hot")).when(F.col("id") % 10 == 7, F.lit(None))
+        .otherwise((F.col("id") % 13).cast("string")).alias("g"), (F.col("id") % 17).alias("o"))
+    ours = ranks.grouped_row_number(df, ["g"], [F.col("o"), F.col("id")], "rn")
+    ref = df.withColumn("rn2", F.row_number().over(Window.partitionBy("g").orderBy("o", "id")))
+    j = ours.join(ref.select("id", "rn2"), "id")
+    assert j.count() == 2000 and j.where(F.col("rn") != F.col("rn2")).count() == 0
