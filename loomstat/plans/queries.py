@@ -292,3 +292,25 @@ register("V7_segment_by_clv")(lambda m: V.segment_by_clv(_v4(m), 12, 4))
 # ---------------------------------------------------------------- T1/T2: live workshop scores with upsert sink
 register("T1_live_workshop_scores", "SELECT * FROM t_live_scores")(
     lambda m: T.run_live_scores(m.spark, m.published_path + "/avaliacoes"))
+
+
+# ---------------------------------------------------------------- S2: COPY text bulk format round trip
+def _s2(m):
+    import uuid
+
+    from loomstat.session import ensure_checkpoint_dir
+    from loomstat.sources import copy_text as CT
+
+    src = m.oficinas
+    path = ensure_checkpoint_dir(m.spark).rstrip("/") + f"/copy_text/oficinas-{uuid.uuid4().hex}"
+    CT.write_copy_text(src, path)
+    back = CT.read_copy_text(m.spark, path, src.schema)
+    return back.select(
+        "id", "razao_social", "nome_fantasia", "cnpj", "email", "telefone", "responsavel", "cidade", "estado", "cep",
+        "num_costureiras", "capacidade_mensal", _F.array_join("especialidades", "|").alias("especialidades"),
+        _F.size("especialidades").alias("n_especialidades"), _F.array_join("maquinario", "|").alias("maquinario"),
+        _F.size("maquinario").alias("n_maquinario"), "tier", "score_qualidade", "score_pontualidade",
+        "score_comunicacao", "ativo", "verificado", "created_at")
+
+
+register("S2_copy_text_roundtrip", "SELECT * FROM s2_roundtrip")(_s2)
