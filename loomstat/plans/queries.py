@@ -178,6 +178,7 @@ register("Q6_schema_profile")(lambda m: Q.schema_profile(m))
 
 # ---------------------------------------------------------------- G4 and reports
 from loomstat.operators import reports as D  # noqa: E402
+from loomstat.sources import io as _io  # noqa: E402
 
 
 def _gaps(m):
@@ -194,6 +195,8 @@ for _name, _fn, _key in [
     ("D5_demand_kpis", lambda m: D.demand_kpis(M.marts_empresa_clv(m)), "D5"),
     ("D7_recency_frequency_sample", lambda m: D.recency_frequency_sample(M.marts_empresa_clv(m)), "D7"),
     ("D13_journey_kpis", lambda m: D.journey_kpis(A.funnel_summary(I.int_funnel_stages(m))), "D13"),
+    ("S6_kpis_between_months", lambda m: _io.between_months(M.marts_platform_kpis(m), "mes", "1998-01-01",
+                                                           "1999-12-01"), "S6"),
     ("D6_brands_per_segment", lambda m: D.brands_per_segment(M.marts_empresa_clv(m)), "D6"),
     ("D8_top_brands_by_clv", lambda m: D.top_brands_by_clv(M.marts_empresa_clv(m), 50), "D8"),
     ("D9_supply_kpis", lambda m: D.supply_kpis(M.marts_oficina_scoring(m)), "D9"),
