@@ -437,19 +437,40 @@ SOURCE_TABLES = ["categorias_produto", "empresas", "oficinas", "eventos_platafor
                  "pedido_items", "propostas", "producao", "avaliacoes", "certificacoes", "pagamentos"]
 
 
-def publish_sources(m: Marketplace, path: str) -> Marketplace:
-    """Write every bound source table once, in foreign-key order, to a new run
-    directory, and return a Marketplace that reads the written tables. Each table is
-    re-read right after it is written, so later tables derive from the written parents
-    (payments from the written orders, and so on) instead of recomputing them.
-    Parquet has no multi-table transaction: the directory is only handed out (by
-    pointer) after every table is written."""
+# Parents each derived table reads (besides the raw tables), for the publication waves.
+SOURCE_PARENTS = {"usuarios": ("empresas", "oficinas", "eventos_plataforma"), "propostas": ("pedidos",),
+                  "pagamentos": ("pedidos",)}
+
+
+def publish_sources(m: Marketplace, path: str, parallel_jobs: int = 4) -> Marketplace:
+    """Write every bound source table once to a new run directory and return a
+    Marketplace that reads the written tables. Tables whose parents are written go in
+    the same wave; a wave's writes are submitted concurrently (Spark schedules jobs from
+    several threads), and every later table derives from the written parents (payments
+    from the written orders, and so on) instead of recomputing them. Parquet has no
+    multi-table transaction: the directory is only handed out after every table is written."""
+    from concurrent.futures import ThreadPoolExecutor
+
     spark = m.spark
     out = Marketplace(spark, m.sf_dir)
     out._raw = m._raw
-    for name in SOURCE_TABLES:
-        df = getattr(out, name)
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        out.__dict__[name] = spark.read.parquet(f"{path}/{name}")
+    for helper in ("_lines", "_order_lines", "_states", "_supplier_lines"):
+        getattr(out, helper)  # define shared sub-plans once, before threads use them
+    written: set[str] = set()
+    pending = list(SOURCE_TABLES)
+
+    def write(name: str) -> str:
+        getattr(out, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        return name
+
+    while pending:
+        wave = [t for t in pending if all(p in written for p in SOURCE_PARENTS.get(t, ()))]
+        for t in wave:
+            getattr(out, t)  # build the DataFrame on the driver thread (parents already re-read)
+        with ThreadPoolExecutor(max_workers=max(1, parallel_jobs)) as pool:
+            for name in pool.map(write, wave):
+                out.__dict__[name] = spark.read.parquet(f"{path}/{name}")
+                written.add(name)
+        pending = [t for t in pending if t not in written]
     out.__dict__["published_path"] = path
     return out
