@@ -58,8 +58,8 @@ def global_row_number(df: DataFrame, order: list[Column], out: str = "row_number
 def ntile(df: DataFrame, k: int, order: list[Column], out: str = "ntile") -> DataFrame:
     """Exact NTILE(k) OVER (ORDER BY order...) as a distributed job (see module doc)."""
     numbered = global_row_number(df, order, "_i")
-    n = numbered.agg(F.count(F.lit(1)).alias("_n"))
-    with_n = numbered.crossJoin(F.broadcast(n))  # one-row side
+    n = numbered.agg(F.count(F.lit(1))).scalar()  # scalar subquery, evaluated once
+    with_n = numbered.withColumn("_n", n)
     q = F.floor(F.col("_n") / F.lit(k))
     r = F.col("_n") - q * F.lit(k)
     i = F.col("_i")
@@ -91,12 +91,11 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value: str, qs: dict[s
 def global_quantiles(df: DataFrame, value: str, qs: dict[str, float], id_col: str) -> DataFrame:
     """Exact percentile_cont over a whole (continuous-valued) column as a one-row DataFrame:
     exact global row numbers, then a conditional aggregate at the two positions around
-    (n-1)·q. Nothing is collected; the only broadcast side is the one-row count."""
+    (n-1)·q. Nothing is collected; the count enters as a scalar subquery."""
     v = F.col(value)
     vals = df.where(v.isNotNull()).select(value, id_col)
     numbered = global_row_number(vals, [v, F.col(id_col)], "_rn")
-    n = vals.agg(F.count(F.lit(1)).alias("_n"))
-    j = numbered.join(F.broadcast(n), how="inner")
+    j = numbered.withColumn("_n", vals.agg(F.count(F.lit(1))).scalar())  # scalar subquery
     aggs = []
     for name, q in qs.items():
         h = (F.col("_n") - 1) * F.lit(q)

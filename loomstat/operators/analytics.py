@@ -311,8 +311,8 @@ def tier_distribution(df: DataFrame, weights: ScoringWeights | None = None) -> D
     s = compute_scores(df, weights)
     tiers = df.sparkSession.createDataFrame([(i, t) for i, t in enumerate(TIER_ORDER)], "tier_idx int, ranking_tier string")
     c = s.groupBy("ranking_tier").agg(F.count(F.lit(1)).alias("_n"))
-    total = s.agg(F.count(F.lit(1)).alias("_total"))
-    j = F.broadcast(tiers).join(c, "ranking_tier", "left").crossJoin(F.broadcast(total))
+    total = s.agg(F.count(F.lit(1))).scalar()
+    j = F.broadcast(tiers).join(c, "ranking_tier", "left").withColumn("_total", total)
     n = F.coalesce(F.col("_n"), F.lit(0))
     return j.select("tier_idx", "ranking_tier", n.alias("n_oficinas"), _pct1(n, F.col("_total")).alias("pct"))
 

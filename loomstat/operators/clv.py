@@ -30,7 +30,7 @@ def rfm_summary(tx: DataFrame, include_first_in_monetary: bool = False) -> DataF
     spend over repeat days (0 without repeats), or over all days when
     ``include_first_in_monetary``."""
     days = tx.groupBy("empresa_id", "order_date").agg(F.sum("valor_final").alias("_v"))
-    end = tx.agg(F.max("order_date").alias("_end"))
+    end = tx.agg(F.max("order_date")).scalar()  # observation end: scalar subquery
     first = days.groupBy("empresa_id").agg(F.min("order_date").alias("_first"))
     d = days.join(first, "empresa_id")
     repeat = F.col("order_date") > F.col("_first")
@@ -40,7 +40,7 @@ def rfm_summary(tx: DataFrame, include_first_in_monetary: bool = False) -> DataF
         F.max("order_date").alias("_last"),
         F.sum(F.when(mv_sel, F.col("_v"))).alias("_mv_sum"),
         F.count(F.when(mv_sel, F.lit(1))).alias("_mv_n"))
-    g = g.crossJoin(F.broadcast(end))  # one-row side
+    g = g.withColumn("_end", end)
     mv = F.when(F.col("_mv_n") > 0, F.round(F.col("_mv_sum").cast("decimal(28,2)") / F.col("_mv_n").cast("decimal(10,0)"), 2))
     return g.select(
         "empresa_id",

@@ -365,17 +365,19 @@ def marts_geographic_analysis(m: Marketplace, as_of: str | None = None) -> DataF
 
 # ------------------------------------------------------------------ M9
 def v_platform_summary(m: Marketplace, as_of: str | None = None) -> DataFrame:
-    """One-row health snapshot: six global aggregates over the source tables (A10)."""
-    e = m.empresas.where(F.col("deleted_at").isNull() & F.col("ativo")).agg(
-        F.count(F.lit(1)).alias("total_empresas_ativas"))
-    o = m.oficinas.where(F.col("deleted_at").isNull() & F.col("ativo")).agg(
-        F.count(F.lit(1)).alias("total_oficinas_ativas"))
-    p = m.pedidos.agg(count_if(F.col("deleted_at").isNull()).alias("total_pedidos"),
-                      count_if(F.col("status") == "finalizado").alias("pedidos_finalizados"))
-    pg = m.pagamentos.where(F.col("status") == "pago").agg(
+    """One-row health snapshot: global aggregates over the source tables as scalar subqueries (A10)."""
+    e = m.empresas.where(F.col("deleted_at").isNull() & F.col("ativo")).agg(F.count(F.lit(1))).scalar()
+    o = m.oficinas.where(F.col("deleted_at").isNull() & F.col("ativo")).agg(F.count(F.lit(1))).scalar()
+    p = m.pedidos.agg(F.struct(count_if(F.col("deleted_at").isNull()).alias("total_pedidos"),
+                               count_if(F.col("status") == "finalizado").alias("pedidos_finalizados"))).scalar()
+    pg = m.pagamentos.where(F.col("status") == "pago").agg(F.struct(
         F.coalesce(F.sum("valor_bruto"), F.lit(0).cast("decimal(22,2)")).alias("gmv_total"),
-        F.coalesce(F.sum("taxa_plataforma"), F.lit(0).cast("decimal(22,2)")).alias("receita_total"))
-    return e.crossJoin(o).crossJoin(p).crossJoin(pg).withColumn("snapshot_at", as_of_ts(as_of))
+        F.coalesce(F.sum("taxa_plataforma"), F.lit(0).cast("decimal(22,2)")).alias("receita_total"))).scalar()
+    return m.spark.range(1).select(
+        e.alias("total_empresas_ativas"), o.alias("total_oficinas_ativas"),
+        p.getField("total_pedidos").alias("total_pedidos"), p.getField("pedidos_finalizados").alias("pedidos_finalizados"),
+        pg.getField("gmv_total").alias("gmv_total"), pg.getField("receita_total").alias("receita_total"),
+        as_of_ts(as_of).alias("snapshot_at"))
 
 
 # ------------------------------------------------------------------ M10

@@ -43,15 +43,16 @@ def workshop_terms(supply: DataFrame) -> DataFrame:
     p = F.coalesce(F.col("score_pontualidade").cast("double"), F.lit(3.0))
     t = F.coalesce(F.col("tempo_medio_resposta_h").cast("double"), F.lit(24.0))
     s = supply.select("*", q.alias("_q0"), p.alias("_p0"), t.alias("_t0"))
-    bounds = s.agg(*[f(c).alias(f"{c}_{n}") for c in ("_q0", "_p0", "_t0") for n, f in (("mn", F.min), ("mx", F.max))])
+    bounds = s.agg(F.struct(*[f(c).alias(f"{c}_{n}") for c in ("_q0", "_p0", "_t0")
+                              for n, f in (("mn", F.min), ("mx", F.max))])).scalar()  # one struct, evaluated once
 
     def norm(c, invert=False):
-        mn, mx = F.col(f"{c}_mn"), F.col(f"{c}_mx")
+        mn, mx = bounds.getField(f"{c}_mn"), bounds.getField(f"{c}_mx")
         v = (F.col(c) - mn) / (mx - mn)
         v = F.lit(1.0) - v if invert else v
         return F.when(mx == mn, F.lit(1.0)).otherwise(v)
 
-    return s.crossJoin(F.broadcast(bounds)).select(  # one-row side
+    return s.select(
         "oficina_id", "estado", "capacidade_mensal_pecas", "tier",
         norm("_q0").alias("quality_score"), norm("_p0").alias("punctuality_score"),
         norm("_t0", invert=True).alias("speed_score"))

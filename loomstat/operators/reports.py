@@ -210,7 +210,7 @@ def demand_kpis(clv: DataFrame) -> DataFrame:
                 _pct1(count_if(F.col("rfm_segment") == "champions"), F.count(F.lit(1))).alias("champions_pct"),
                 _pct1(count_if(F.col("frequencia") > 0), F.count(F.lit(1))).alias("activation_rate"))
     med = global_quantiles(clv, "clv_12m_estimado", {"median_clv": 0.5}, "empresa_id")
-    return k.join(med, how="inner")  # two one-row frames
+    return k.withColumn("median_clv", med.scalar())
 
 
 def recency_frequency_sample(clv: DataFrame, n: int = 500) -> DataFrame:
