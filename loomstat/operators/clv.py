@@ -164,6 +164,53 @@ def nelder_mead(evaluate, x0: np.ndarray, step: float = 0.5, max_iter: int = 400
     return simplex[best], fs[best], it
 
 
+def bfgs(evaluate, x0: np.ndarray, h: float = 1e-5, max_iter: int = 100, gtol: float = 1e-6,
+         steps: tuple = (2.0, 1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001)) -> tuple[np.ndarray, float, int]:
+    """Quasi-Newton (BFGS) on the driver with central-difference gradients. Each iteration
+    is two Spark jobs: the 2n+1 gradient points in one batch, then all line-search step
+    sizes in one batch (best Armijo step). Falls back to the best point when no step
+    decreases the objective."""
+    n = len(x0)
+    x = np.asarray(x0, dtype=float)
+    hmat = np.eye(n)
+    it = 0
+
+    def grad_at(x):
+        pts = [x] + [x + h * np.eye(n)[i] for i in range(n)] + [x - h * np.eye(n)[i] for i in range(n)]
+        f = evaluate(pts)
+        g = np.array([(f[1 + i] - f[1 + n + i]) / (2 * h) for i in range(n)])
+        return f[0], g
+
+    fx, g = grad_at(x)
+    for it in range(1, max_iter + 1):
+        if not np.all(np.isfinite(g)) or np.max(np.abs(g)) <= gtol:
+            break
+        d = -hmat @ g
+        if g @ d >= 0:  # not a descent direction: restart from steepest descent
+            hmat = np.eye(n)
+            d = -g
+        cands = [x + a * d for a in steps]
+        fs = evaluate(cands)
+        ok = [(f, i) for i, f in enumerate(fs) if np.isfinite(f) and f <= fx + 1e-4 * steps[i] * (g @ d)]
+        if not ok:
+            break
+        _, k = min(ok)
+        x_new = cands[k]
+        f_new, g_new = grad_at(x_new)
+        s_vec, y_vec = x_new - x, g_new - g
+        sy = s_vec @ y_vec
+        if sy > 1e-12:
+            rho = 1.0 / sy
+            eye = np.eye(n)
+            hmat = (eye - rho * np.outer(s_vec, y_vec)) @ hmat @ (eye - rho * np.outer(y_vec, s_vec)) \
+                + rho * np.outer(s_vec, s_vec)
+        converged = abs(fx - f_new) <= 1e-10 * max(1.0, abs(fx))
+        x, fx, g = x_new, f_new, g_new
+        if converged:
+            break
+    return x, fx, it
+
+
 @dataclass(frozen=True)
 class GGParams:
     p: float
@@ -180,11 +227,21 @@ def _bgnbd_objective(penalizer: float):
     return obj
 
 
-def fit_bgnbd(rfm: DataFrame, penalizer: float = 0.001, max_iter: int = 400) -> tuple[BGNBDParams, float, int]:
+def _minimise(evaluate, x0, max_iter, method):
+    if method == "nelder-mead":
+        return nelder_mead(evaluate, x0, max_iter=max_iter)
+    x, f, it = bfgs(evaluate, x0, max_iter=max_iter)
+    # polish with a few Nelder-Mead steps from the quasi-Newton point (guards a flat line search)
+    x2, f2, it2 = nelder_mead(evaluate, x, step=0.05, max_iter=max(10, max_iter // 10))
+    return (x2, f2, it + it2) if f2 <= f else (x, f, it + it2)
+
+
+def fit_bgnbd(rfm: DataFrame, penalizer: float = 0.001, max_iter: int = 400,
+              method: str = "nelder-mead") -> tuple[BGNBDParams, float, int]:
     """V2: maximum likelihood BG/NBD (mean negative log-likelihood + penalizer·Σθ², on
     log-parameters). Returns the parameters, the objective and the iteration count."""
     stats = bgnbd_stats(rfm).checkpoint(eager=True)
-    x, f, it = nelder_mead(lambda c: _evaluate(stats, c, _bgnbd_objective(penalizer)), np.zeros(4), max_iter=max_iter)
+    x, f, it = _minimise(lambda c: _evaluate(stats, c, _bgnbd_objective(penalizer)), np.zeros(4), max_iter, method)
     r, alpha, a, b = np.exp(x)
     return BGNBDParams(float(r), float(alpha), float(a), float(b)), float(f), it
 
@@ -205,11 +262,12 @@ def _gg_objective(penalizer: float):
     return obj
 
 
-def fit_gamma_gamma(rfm: DataFrame, penalizer: float = 0.001, max_iter: int = 400) -> tuple[GGParams, float, int]:
+def fit_gamma_gamma(rfm: DataFrame, penalizer: float = 0.001, max_iter: int = 400,
+                    method: str = "nelder-mead") -> tuple[GGParams, float, int]:
     """V3: Gamma-Gamma spend model on repeat buyers (frequency > 0, positive spend)."""
     data = (rfm.where((F.col("frequency") > 0) & (F.col("monetary_value") > 0))
             .select(F.col("frequency").alias("x"), F.col("monetary_value").alias("m")).checkpoint(eager=True))
-    x, f, it = nelder_mead(lambda c: _evaluate(data, c, _gg_objective(penalizer)), np.zeros(3), max_iter=max_iter)
+    x, f, it = _minimise(lambda c: _evaluate(data, c, _gg_objective(penalizer)), np.zeros(3), max_iter, method)
     p, q, v = np.exp(x)
     return GGParams(float(p), float(q), float(v)), float(f), it
 
