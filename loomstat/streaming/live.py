@@ -51,7 +51,9 @@ def user_sessions(events: DataFrame, gap: str = SESSION_GAP, watermark: str = WA
 
 
 def deduplicated_events(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """De-duplicated ingest by event id; rows later than the watermark are dropped."""
+    """De-duplicated ingest by event id; rows later than the watermark are dropped.
+    Lateness is judged against the watermark reached before the previous micro-batch
+    (Spark's watermark for late events), duplicates against ids still in state."""
     return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
 
 
