@@ -43,6 +43,7 @@ def sources(spark: SparkSession, sf_dir: str) -> Marketplace:
         path = _PUBLISHED[key]
         for name in SOURCE_TABLES:
             m.__dict__[name] = spark.read.parquet(f"{path}/{name}")
+        m.__dict__["published_path"] = path
         return m
     tag = hashlib.sha1(repr(key[1:]).encode()).hexdigest()[:12]
     path = ensure_checkpoint_dir(spark).rstrip("/") + f"/sources/{tag}-{uuid.uuid4().hex[:8]}"

@@ -11,6 +11,7 @@ import datetime as dt
 import decimal
 import hashlib
 import math
+import os
 import sys
 import time
 
@@ -24,6 +25,9 @@ from loomstat.session import local_session  # noqa: E402
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+STRICT = os.environ.get("STRICT") == "1"
+
+
 def norm(v):
     if v is None:
         return "∅"
@@ -32,9 +36,9 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return f"{v:.9g}"
+        return repr(v) if STRICT else f"{v:.9g}"
     if isinstance(v, decimal.Decimal):
-        return f"{float(v):.9g}"
+        return repr(float(v)) if STRICT else f"{float(v):.9g}"
     if isinstance(v, int):
         return str(v)
     if isinstance(v, dt.datetime):

@@ -42,7 +42,8 @@ def test_entry_smoke(spark):
 
 
 @pytest.mark.parametrize("name", ["P4_stg_pedidos", "I2_int_oficina_performance", "M5_marts_empresa_clv",
-                                  "Q2_referential_integrity", "G4_supply_demand_gaps", "T4_daily_activity_stream"])
+                                  "Q2_referential_integrity", "G4_supply_demand_gaps", "T4_daily_activity_stream",
+                                  "T1_live_workshop_scores", "S2_copy_text_roundtrip"])
 def test_registered_query_runs(spark, name):
     import __spark_entry__ as E
 
