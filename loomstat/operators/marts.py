@@ -88,11 +88,16 @@ def marts_customer_journey(m: Marketplace, as_of: str | None = None) -> DataFram
         dround(F.avg("dias_ativacao_para_match"), 1).alias("avg_dias_match"),
         dround(F.avg("dias_match_para_conversao"), 1).alias("avg_dias_conversao"),
     )
-    for col, name in (("dias_signup_para_ativacao", "p50_dias_ativacao"), ("dias_ativacao_para_match", "p50_dias_match"),
-                      ("dias_match_para_conversao", "p50_dias_conversao"),
-                      ("dias_conversao_para_retencao", "p50_dias_retencao")):
-        med = ranks.exact_quantiles(fs.where(F.col("cohort_mes").isNotNull()), ["cohort_mes"], col, {name: 0.5})
-        fc = fc.join(med, "cohort_mes", "left")
+    # the four medians from one histogram: unpivot (cohort, metric, days), group by (cohort, metric)
+    medians = (("dias_signup_para_ativacao", "p50_dias_ativacao"), ("dias_ativacao_para_match", "p50_dias_match"),
+               ("dias_match_para_conversao", "p50_dias_conversao"), ("dias_conversao_para_retencao", "p50_dias_retencao"))
+    long = fs.where(F.col("cohort_mes").isNotNull()).select("cohort_mes", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("metric"), F.col(col).alias("dias")) for col, name in medians])).alias("t")) \
+        .select("cohort_mes", "t.metric", "t.dias")
+    med = ranks.exact_quantiles(long, ["cohort_mes", "metric"], "dias", {"_p50": 0.5})
+    med = med.groupBy("cohort_mes").agg(*[F.max(F.when(F.col("metric") == name, F.col("_p50"))).alias(name)
+                                          for _, name in medians])
+    fc = fc.join(med, "cohort_mes", "left")
     reg, act, mat, conv, ret = (F.col(c) for c in ("n_registered", "n_activated", "n_matched", "n_converted",
                                                    "n_retained"))
     return fc.select(
