@@ -14,8 +14,9 @@ restricted to band k. Their union contains the exact top-n of the profile.
 Band k for quantity q is an interval of capacity c (integer arithmetic, identical to
 the ratio bands of G1). "Top-n by B among workshops of group X with c in [lo, hi)" is a
 range top-n: workshops of X are positioned by (c, id), a segment tree keeps the top-n of
-every dyadic block of positions (built level by level, ≤ 2n rows per block, each level
-checkpointed), and an interval is the union of at most two blocks per level.
+every dyadic block of positions (each level from the one below, ≤ 2n rows per block, all
+levels in one job, checkpointed once), and an interval is the union of at most two blocks
+per level.
 
 Work is bounded by (workshops × levels × 3 groups) for the tree and by
 (profiles × 3 groups × 6 bands × 2 blocks per level × n) for candidates; no
@@ -72,12 +73,13 @@ def _segment_tree(pos: DataFrame, n: int, levels: int) -> DataFrame:
                               "b_score")
         w = Window.partitionBy("grp", "blk").orderBy(F.col("b_score").desc(), F.col("oficina_id"))
         level = parent.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
-        level = level.checkpoint(eager=True)
         out.append(level)
     tree = out[0]
     for t in out[1:]:
         tree = tree.unionByName(t)
-    return tree
+    # one job builds every level: each level's plan is a prefix of the next one, so the
+    # shuffles are shared (exchange reuse); the finished tree is checkpointed once
+    return tree.checkpoint(eager=True)
 
 
 def _lower_bounds(pos: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
