@@ -84,16 +84,27 @@ def _segment_tree(pos: DataFrame, n: int, levels: int) -> DataFrame:
 
 def _lower_bounds(pos: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
     """For bound rows (grp, keys..., bound): number of workshops of grp with c < bound.
-    Union of the per-(grp, c) counts (bounded by the capacity domain) with the bound
-    rows, running sum in (c, bound-first) order within the group."""
-    cc = pos.groupBy("grp", "c").agg(F.count(F.lit(1)).alias("_cnt"))
-    nulls = [F.lit(None).cast(bounds.schema[k].dataType).alias(k) for k in keys]
-    a = cc.select("grp", F.col("c").alias("v"), F.lit(1).alias("_kind"), "_cnt", *nulls)
-    b = bounds.select("grp", F.col("bound").alias("v"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_cnt"),
-                      *keys)
-    w = Window.partitionBy("grp").orderBy("v", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    return (a.unionByName(b).withColumn("lb", F.sum("_cnt").over(w)).where(F.col("_kind") == 0)
-            .select("grp", *keys, "lb"))
+
+    Workshop rows and bound rows share one total order (grp, value, kind, tie) with bound
+    rows first at equal values. With rn_all = global row number among all rows and
+    rn_bound = global row number among bound rows only, the workshops before a bound row
+    number rn_all - rn_bound; subtracting the workshops of earlier groups (a table with one
+    row per group) leaves the count inside its group. Both row numbers are distributed
+    (range partitioning), so no group - not even "all workshops" - lands in one task."""
+    tie = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    w_rows = pos.select("grp", F.col("c").alias("v"), F.lit(1).alias("_kind"),
+                        F.col("oficina_id").cast("string").alias("_tie"),
+                        *[F.lit(None).cast(bounds.schema[k].dataType).alias(k) for k in keys])
+    b_rows = bounds.select("grp", F.col("bound").alias("v"), F.lit(0).alias("_kind"), tie.alias("_tie"), *keys)
+    order = [F.col("grp"), F.col("v"), F.col("_kind"), F.col("_tie")]
+    all_n = global_row_number(w_rows.unionByName(b_rows), order, "_rn_all").where(F.col("_kind") == 0)
+    b_n = global_row_number(b_rows, order, "_rn_bound").select("grp", "_tie", "_rn_bound")
+    sizes = pos.groupBy("grp").agg(F.count(F.lit(1)).alias("_gn"))
+    w = Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("grp", F.coalesce(F.sum("_gn").over(w), F.lit(0)).alias("_wb"))  # one row per group
+    return (all_n.join(b_n, ["grp", "_tie"]).join(F.broadcast(before), "grp", "left")
+            .select("grp", *keys, (F.col("_rn_all") - F.col("_rn_bound") - F.coalesce(F.col("_wb"), F.lit(0)))
+                    .alias("lb")))
 
 
 def recommendations(orders: DataFrame, supply: DataFrame, regions: DataFrame, top_n: int = 5) -> DataFrame:
