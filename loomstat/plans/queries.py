@@ -250,34 +250,38 @@ from pyspark.sql import functions as _F  # noqa: E402
 _FITS: dict = {}
 
 
-def _clv_fits(m):
-    """Fitted BG/NBD and Gamma-Gamma parameters, once per session and source version."""
-    key = (id(m.spark._jsparkSession), m.sf_dir, m.__dict__.get("published_path"))
+def _fit_cache(m, what: str):
+    """Summary and fitted models, each computed once per session and source version; the two
+    fits are separate entries so no single query has to run both optimisations."""
+    base = (id(m.spark._jsparkSession), m.sf_dir, m.__dict__.get("published_path"))
+    key = base + (what,)
     if key not in _FITS:
-        rfm = V.rfm_summary(V.transactions(m)).checkpoint(eager=True)
-        bg, fbg, itbg = V.fit_bgnbd(rfm)
-        gg, fgg, itgg = V.fit_gamma_gamma(rfm)
-        _FITS[key] = (rfm, bg, fbg, itbg, gg, fgg, itgg)
+        if what == "rfm":
+            _FITS[key] = V.rfm_summary(V.transactions(m)).checkpoint(eager=True)
+        elif what == "bg":
+            _FITS[key] = V.fit_bgnbd(_fit_cache(m, "rfm"))
+        else:
+            _FITS[key] = V.fit_gamma_gamma(_fit_cache(m, "rfm"))
     return _FITS[key]
 
 
 def _v2(m):
-    rfm, bg, f, it, *_ = _clv_fits(m)
+    rfm = _fit_cache(m, "rfm")
+    bg, f, it = _fit_cache(m, "bg")
     return m.spark.createDataFrame([(bg.r, bg.alpha, bg.a, bg.b, f, it, rfm.count())],
                                    "r double, alpha double, a double, b double, objective double, iterations int, "
                                    "n_customers long")
 
 
 def _v3(m):
-    rfm, *_rest = _clv_fits(m)
-    gg, f, it = _rest[3], _rest[4], _rest[5]
+    gg, f, it = _fit_cache(m, "gg")
     return m.spark.createDataFrame([(gg.p, gg.q, gg.v, f, it)],
                                    "p double, q double, v double, objective double, iterations int")
 
 
 def _v4(m):
-    rfm, bg, _f, _i, gg, *_ = _clv_fits(m)
-    return V.predict_clv(rfm, bg, gg, months=12, discount_rate=0.01)
+    return V.predict_clv(_fit_cache(m, "rfm"), _fit_cache(m, "bg")[0], _fit_cache(m, "gg")[0], months=12,
+                         discount_rate=0.01)
 
 
 register("V2_fit_bgnbd")(_v2)
@@ -288,7 +292,8 @@ register("V2_bgnbd_loglik_fixed", "SELECT * FROM v_bgnbd_loglik")(
         V.rfm_summary(V.transactions(m))))
 register("V3_fit_gamma_gamma")(_v3)
 register("V4_predict_clv")(_v4)
-register("V5_expected_purchases_30d")(lambda m: V.expected_purchases(_clv_fits(m)[0], _clv_fits(m)[1], 30))
+register("V5_expected_purchases_30d")(
+    lambda m: V.expected_purchases(_fit_cache(m, "rfm"), _fit_cache(m, "bg")[0], 30))
 register("V7_segment_by_clv")(lambda m: V.segment_by_clv(_v4(m), 12, 4))
 
 
