@@ -372,6 +372,8 @@ def segment_by_clv(clv: DataFrame, months: int = 12, n_segments: int = 4) -> Dat
     labels = SEGMENT_LABELS[:n_segments]
     v = F.col(col)
     seg = F.lit(None).cast("string")
+    if len(uniq) == 1:  # every value equal: a single closed bin holding all of them
+        return clv.withColumn("clv_segment", F.when(v == uniq[0], F.lit(labels[0])).otherwise(seg))
     for i in range(len(uniq) - 1, 0, -1):
         lower_ok = (v >= uniq[i - 1]) if i == 1 else (v > uniq[i - 1])
         seg = F.when(lower_ok & (v <= uniq[i]), F.lit(labels[i - 1])).otherwise(seg)

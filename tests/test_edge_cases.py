@@ -159,3 +159,53 @@ def test_quality_rules_count_exact_violations(make_market):
     en = {r["rule"]: r["violations"] for r in Q.enum_domains(m).collect()}
     assert all(v == 0 for v in en.values())
     assert F is not None
+
+
+def _shop(i, estado="SC"):
+    return dict(id=i, nome_fantasia=f"W{i}", cnpj=str(i), email="w@x", estado=estado, tier="ouro", ativo=True,
+                verificado=True, created_at=dt.datetime(2000, 1, 1))
+
+
+def test_fan_out_of_payments_and_ratings(make_market):
+    pay = dict(pedido_id=1, empresa_id=1, oficina_id=7, valor_bruto=D("100.00"), taxa_plataforma=D("6.00"),
+               valor_liquido=D("94.00"), percentual_taxa=D("6.00"), metodo="pix", status="pago",
+               data_pagamento=dt.datetime(2001, 4, 1), created_at=dt.datetime(2001, 3, 20))
+
+    def rating(rid, g):
+        return dict(id=rid, pedido_id=1, avaliador_id=1, avaliado_oficina_id=7, nota_geral=g, nota_qualidade=g,
+                    nota_pontualidade=g, publica=True, created_at=dt.datetime(2001, 4, 2))
+
+    m = make_market(empresas=[brand(1)], oficinas=[_shop(7)],
+                    pedidos=[order(1, status="finalizado", oficina_id=7, valor_final=D("100.00")),
+                             order(2, status="finalizado", oficina_id=7, valor_final=D("50.00"),
+                                   created_at=dt.datetime(2001, 3, 1))],  # same instant as order 1
+                    pagamentos=[dict(pay, id=1), dict(pay, id=2)],
+                    avaliacoes=[rating("r1", 5), rating("r2", 3)])
+    enriched = I.int_pedidos_enriched(m).where(F.col("pedido_id") == 1).count()
+    assert enriched == 2  # two paid payments multiply the order row, as the reference's left join does
+    pairs = sorted((r["pedido_id"], r["numero_match_no_par"]) for r in I.int_match_pairs(m).collect())
+    assert pairs == [(1, 1), (1, 2), (2, 3)]  # rating fan-out; equal timestamps ordered by order id
+
+
+def test_rfm_quintiles_with_few_brands(make_market):
+    m = make_market(empresas=[brand(1), brand(2), brand(3)],
+                    pedidos=[order(i, empresa_id=i, status="finalizado", valor_final=D(str(100 * i)),
+                                   created_at=dt.datetime(2001, i, 1)) for i in (1, 2, 3)])
+    rows = {r["empresa_id"]: r for r in M.marts_empresa_clv(m).collect()}
+    assert sorted(r["m_score"] for r in rows.values()) == [1, 2, 3]  # NTILE(5) over 3 rows
+    assert rows[3]["r_score"] == 3 and rows[1]["r_score"] == 1  # most recent brand ranks last by recency desc
+
+
+def test_single_purchase_and_flat_clv():
+    from loomstat.operators import clv as V
+
+    spark = __import__("pyspark.sql", fromlist=["SparkSession"]).SparkSession.getActiveSession()
+    tx = spark.createDataFrame([(1, dt.date(2001, 1, 1), D("10.00")), (2, dt.date(2001, 1, 1), D("5.00")),
+                                (2, dt.date(2001, 2, 1), D("7.00"))],
+                               "empresa_id long, order_date date, valor_final decimal(12,2)")
+    rfm = {r["empresa_id"]: r for r in V.rfm_summary(tx).collect()}
+    assert rfm[1]["frequency"] == 0.0 and rfm[1]["monetary_value"] == 0.0 and rfm[1]["T"] == 31.0
+    assert rfm[2]["frequency"] == 1.0 and rfm[2]["monetary_value"] == 7.0 and rfm[2]["recency"] == 31.0
+    flat = spark.createDataFrame([(i, 50.0) for i in range(6)], "empresa_id long, clv_12m_predicted double")
+    labels = {r["clv_segment"] for r in V.segment_by_clv(flat).collect()}
+    assert labels == {"low_value"}  # all edges equal: one bin, the lowest label
