@@ -196,10 +196,9 @@ def test_rfm_quintiles_with_few_brands(make_market):
     assert rows[3]["r_score"] == 3 and rows[1]["r_score"] == 1  # most recent brand ranks last by recency desc
 
 
-def test_single_purchase_and_flat_clv():
+def test_single_purchase_and_flat_clv(spark):
     from loomstat.operators import clv as V
 
-    spark = __import__("pyspark.sql", fromlist=["SparkSession"]).SparkSession.getActiveSession()
     tx = spark.createDataFrame([(1, dt.date(2001, 1, 1), D("10.00")), (2, dt.date(2001, 1, 1), D("5.00")),
                                 (2, dt.date(2001, 2, 1), D("7.00"))],
                                "empresa_id long, order_date date, valor_final decimal(12,2)")
