@@ -9,7 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomstat.llm.common import Scratch, table
+from loomstat.llm.langid import known_language
 from loomstat.llm.minhash_join import deduplicate
+from loomstat.llm.mixing import mix
+from loomstat.llm.packing import packed
+from loomstat.llm.secrets_scan import redact
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognisable language stay; others (no text, no letter) go."""
+    return known_language(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +26,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return deduplicate(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; all documents stay."""
+    return redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mix(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Pieces of packed sequences; ``tokenizer`` is a vocabulary file (the public word vocabulary if none is given)."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packed(docs, tokenizer)
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("source_mix", source_mix), ("packing", packing)]
 
 #: The language and near-duplicate stages have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None

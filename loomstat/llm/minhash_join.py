@@ -74,7 +74,7 @@ def _signed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n.append(len(s))
             dig.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
             sig.append(signature(s).tobytes() if len(s) else None)
-        yield pd.DataFrame({"rid": b["_rid"], "doc_id": b["doc_id"].astype("Int64"), "n": n, "digest": dig, "sig": sig})
+        yield pd.DataFrame({"rid": b["_rid"], "doc_id": b["doc_id"], "n": n, "digest": dig, "sig": sig})
 
 
 def _keyed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,7 +139,10 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, row_id
     if row_id is None:
         documents, row_id = with_row_id(documents.select("doc_id", "text"), scratch), "_rid"
     docs = documents.select(F.col(row_id).alias("_rid"), "doc_id", "text")
-    signed = scratch.pin(docs.mapInPandas(_signed, "rid long, doc_id long, n long, digest binary, sig binary"))
+    # ids travel as text: pandas has no nullable long without loss
+    signed = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+        _signed, "rid long, doc_id string, n long, digest binary, sig binary")
+    signed = scratch.pin(signed.withColumn("doc_id", F.col("doc_id").cast("long")))
     classes = scratch.pin(signed.where("n > 0").groupBy("n", "digest").agg(
         F.min("rid").alias("cid"), F.min("doc_id").alias("low"), F.first("sig").alias("sig")))
 
