@@ -6,9 +6,11 @@ two signatures that differ in at most ``MAX_DISTANCE`` positions agree, by the p
 chunk up to ``MAX_DISTANCE // CHUNKS`` positions. Each class therefore emits, for every chunk, one key per allowed set of
 wrong positions (those left out), and every pair within the distance shares a key: the join is exact for signatures.
 
-Buckets are never expanded into all pairs. First each member meets only its bucket's smallest class; confirmed pairs
-are merged into components. Then only members of one bucket that are still in different components meet, which keeps
-every link that can change a component. Signature distance filters a pair before its full sets are compared.
+Buckets are never expanded into pairs. First each member meets only its bucket's smallest class, then one more class of
+its bucket's choice; confirmed pairs are merged into components. Members of one bucket that are still in different
+components are then compared in tiles of bounded size: a task holds the signatures of two pieces of a bucket and passes on
+only the members that are near one of another component, and a second pass over those tiles confirms them on their full
+sets and returns at most one link for each component that it joins. Every link that can change a component is kept.
 
 At a Jaccard similarity of 0.75 a position differs with probability 1/4; with 32 positions and a distance of up to 15 a
 pair on the threshold itself is missed with probability 0.002, a closer pair far less. Links are confirmed on full sets.
@@ -38,6 +40,10 @@ POSITIONS = 32
 CHUNKS = 8
 MAX_DISTANCE = 15  # below CHUNKS * (ERRORS + 1)
 ERRORS = MAX_DISTANCE // CHUNKS
+#: Members and shingles of a piece of a bucket; a tile holds two pieces.
+TILE_MEMBERS = 1024
+TILE_SHINGLES = 1_000_000
+COLUMNS = 4096
 
 _R = np.random.default_rng(20_011)
 _MUL = _R.integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,6 +117,11 @@ def _sets(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"cid": b["cid"], "s": [shingle_set(t).view(np.int64) for t in b["text"]]})
 
 
+def _sets_of(wanted: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``wanted(cid)`` -> pinned (cid, s): the classes' shingle sets, from the texts."""
+    return scratch.pin(docs.select(F.col("_rid").alias("cid"), "text").join(small(wanted), "cid", "left_semi").mapInPandas(_sets, "cid long, s array<long>"))
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Of candidate pairs (a, b) of classes, those whose full sets are similar enough."""
     sig = classes.select("cid", "sig")
@@ -119,9 +130,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: S
             .mapInPandas(_close, "a long, b long"))
     near = scratch.pin(near)
     wanted = scratch.pin(near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct())
-    sets = (docs.select(F.col("_rid").alias("cid"), "text").join(small(wanted), "cid", "left_semi")
-            .mapInPandas(_sets, "cid long, s array<long>"))
-    sets = scratch.pin(sets)
+    sets = _sets_of(wanted, docs, scratch)
     both = (near.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b"))
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -132,6 +141,90 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: S
     return out
 
 
+def _labelled(shared: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``shared(key, cid)`` of the buckets that still hold several components, with the component of each member."""
+    merged = connected_components(links, scratch)
+    member = (shared.join(merged.withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp")))
+    apart = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return scratch.pin(member.join(apart, "key"))
+
+
+def _facing(tile: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the rows of a tile's two pieces (twice the same for a piece with itself)."""
+    a, b = tile["a"].iloc[0], tile["b"].iloc[0]
+    p = tile["p"].to_numpy()
+    return np.flatnonzero(p == a), np.flatnonzero(p == b)
+
+
+def _near_in_tile(tile: pd.DataFrame) -> pd.DataFrame:
+    """Members whose signature is near that of a member of another component."""
+    sig = np.frombuffer(b"".join(tile["sig"]), np.uint16).reshape(len(tile), POSITIONS)
+    comp = tile["comp"].to_numpy()
+    left, right = _facing(tile)
+    hit = np.zeros(len(tile), bool)
+    for s in range(0, len(left), 64):
+        part = left[s : s + 64]
+        near = np.zeros((len(part), len(right)), np.int16)
+        for k in range(POSITIONS):
+            near += sig[part, k][:, None] != sig[right, k]
+        i, j = np.nonzero((near <= MAX_DISTANCE) & (comp[part][:, None] != comp[right]))
+        hit[part[i]] = hit[right[j]] = True
+    return tile.loc[hit, ["key", "a", "b", "p", "cid", "comp"]]
+
+
+def _linked_in_tile(tile: pd.DataFrame) -> pd.DataFrame:
+    """Links between components of a tile, decided on full sets; one for each pair of components that it joins."""
+    sets, comp, cid = list(tile["s"]), tile["comp"].to_numpy(), tile["cid"].to_numpy()
+    n = np.array([len(s) for s in sets])
+    left, right = _facing(tile)
+    values, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    shared = np.cumsum(counts > 1) - 1
+    keep = counts[column] > 1
+    row, column = row[keep], shared[column[keep]]
+    common = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [c, c + COLUMNS])
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[row[lo:hi], column[lo:hi] - c] = 1
+        common += m[left] @ m[right].T
+    common = common.astype(np.int64)
+    i, j = np.nonzero((100 * common >= SIMILAR_PERCENT * (n[left][:, None] + n[right] - common)) & (comp[left][:, None] != comp[right]))
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while top.setdefault(x, x) != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    out = []
+    for x, y in zip(left[i], right[j], strict=True):
+        u, v = root(comp[x]), root(comp[y])
+        if u != v:
+            top[u] = v
+            out.append((cid[x], cid[y]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def _remaining(shared: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between members of one bucket that ``links`` leaves in different components."""
+    member = _labelled(shared, links, scratch).join(classes.select("cid", "sig", "n"), "cid")
+    sizes = member.groupBy("key").agg(
+        F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("which"), F.sum("n").alias("weight"))
+    # buckets with the same members are compared once
+    sizes = sizes.groupBy("members", "which").agg(F.min("key").alias("key"), F.first("weight").alias("weight"))
+    pieces = F.ceil(F.greatest(F.col("members") / TILE_MEMBERS, F.col("weight") / TILE_SHINGLES))
+    member = scratch.pin(member.join(sizes.select("key", pieces.alias("m")), "key"))
+    p = F.pmod(F.xxhash64("cid", "key"), "m")
+    tiles = member.withColumn("p", p).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).select(
+        "key", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "p", "cid", "comp", "sig")
+    near = scratch.pin(tiles.groupBy("key", "a", "b").applyInPandas(_near_in_tile, "key long, a long, b long, p long, cid long, comp long"))
+    sets = _sets_of(near.select("cid").distinct(), docs, scratch)
+    return near.join(sets, "cid").groupBy("key", "a", "b").applyInPandas(_linked_in_tile, "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, row_id: str | None = None) -> DataFrame:
     """``documents(doc_id, text)`` -> one row per row: ``rid`` (``row_id`` if named, else a row number), ``doc_id``, ``n_shingles``,
     ``component_id``, ``kept`` (doc_id = component_id) and ``first`` (true for exactly one row of each component)."""
@@ -152,16 +245,12 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, row_id
     scratch.drop(keyed)
     links = _confirmed(shared.where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(),
                        classes, docs, scratch)
-    merged = connected_components(links, scratch)
-
-    member = (shared.select("key", "cid").join(merged.withColumnRenamed("id", "cid"), "cid", "left")
-              .select("key", "cid", F.coalesce("component", "cid").alias("comp")))
-    apart = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    member = scratch.pin(member.join(apart, "key"))
-    x, y = member.alias("x"), member.alias("y")
-    rest = (x.join(y, F.col("x.key") == F.col("y.key")).where("x.comp < y.comp")
-            .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
-    links = links.unionByName(_confirmed(rest, classes, docs, scratch))
+    member = _labelled(shared.select("key", "cid"), links, scratch)
+    other = member.groupBy("key").agg(F.min_by(F.struct("cid", "comp"), F.xxhash64("cid", "key")).alias("o")).select(
+        "key", F.col("o.cid").alias("hub"), F.col("o.comp").alias("hub_comp"))
+    second = member.join(other, "key").where("comp <> hub_comp").select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct()
+    links = scratch.pin(links.unionByName(_confirmed(second, classes, docs, scratch)))
+    links = links.unionByName(scratch.pin(_remaining(shared.select("key", "cid"), links, classes, docs, scratch)))
     merged = scratch.pin(connected_components(links, scratch))
 
     named = classes.join(merged.withColumnRenamed("id", "cid"), "cid", "left").select(

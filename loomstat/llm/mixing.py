@@ -148,12 +148,12 @@ WITH d AS (
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
     CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM d GROUP BY source),
--- sources by words per weight: the full ones come first; level = words per unit of weight left for the others
+-- sources by words per weight, as the full ones come first; share: words per unit of weight for those that are not full
 c AS (
   SELECT *, 1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER before, 0) AS rest,
     sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS weights
   FROM s WINDOW before AS (ORDER BY source_size / CAST(w AS DOUBLE), source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT min(CAST(rest AS DOUBLE) / CAST(weights AS DOUBLE)) AS share FROM c
+l AS (SELECT max(CAST(rest AS DOUBLE) / CAST(weights AS DOUBLE)) AS share FROM c
   WHERE CAST(rest AS DOUBLE) / CAST(weights AS DOUBLE) * w <= 2 * source_size),
 t AS (SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE), w * coalesce(share, 1e300)) AS target FROM s, l),
 b AS (SELECT *, CASE WHEN source_size > 0 AND target >= source_size THEN 1 ELSE 0 END AS base FROM t),
