@@ -1,6 +1,7 @@
 """Main-text extraction by tag-path ratios.
 
-A page is read into text nodes, each with its root-to-leaf tag path. Per path, text length and punctuation are summed and
+A page is read into text nodes, each with its root-to-leaf tag path (elements that only style text, such as ``b``, are no
+steps of it). Per path, text length and punctuation are summed and
 divided by the number of nodes (text-to-path and punctuation-to-path ratio). Both are smoothed over the path tree: a path
 also counts its neighbours, with a weight that falls with the distance in the tree, so that a heading next to long
 paragraphs is lifted and a lone notice elsewhere is not. The fused ratio is the geometric mean of the two; paths of at
@@ -36,6 +37,7 @@ RAW = set("script style textarea title noscript template iframe svg math xmp noe
 BLOCK = set(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+STYLE = set("b i em strong u s small big font span mark code tt kbd samp var sub sup abbr acronym cite dfn q ins del bdi bdo wbr time data".split())
 ENDS_PARAGRAPH = BLOCK - {"br", "body", "html"}
 ENDS_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "select", "menu"}
@@ -58,7 +60,7 @@ class _Element:
 
     def __init__(self, tag: str, label: str, parent: _Element | None, never: bool):
         self.tag, self.parent = tag, parent
-        self.path = (*parent.path, label) if parent else (label,)
+        self.path = (*parent.path, label) if parent and tag not in STYLE else parent.path if parent else (label,)
         self.holds = tag in HOLDS or bool(parent and parent.holds)
         self.never = never or bool(parent and parent.never)
 
