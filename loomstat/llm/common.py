@@ -78,15 +78,18 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def _only_scans(df: DataFrame) -> bool:
+    """Whether the frame is columns and filters over one file scan."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation"
+
+
 def with_row_id(df: DataFrame, scratch: Scratch, name: str = "_rid") -> DataFrame:
     """``df`` with a long that is unique per row and stays the same when the frame is evaluated again. A frame that
     only scans files is numbered as it is (its splits are planned from sorted files); any other is pinned first."""
-    try:
-        df.select("_metadata.file_path").schema  # noqa: B018  analysis only: resolves for scans of files alone
-        scan = True
-    except Exception:
-        scan = False
-    base = df if scan else scratch.pin(df)
+    base = df if _only_scans(df) else scratch.pin(df)
     return base.withColumn(name, F.monotonically_increasing_id())
 
 

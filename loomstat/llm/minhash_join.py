@@ -12,8 +12,8 @@ components are then compared in tiles of bounded size: a task holds the signatur
 only the members that are near one of another component, and a second pass over those tiles confirms them on their full
 sets and returns at most one link for each component that it joins. Every link that can change a component is kept.
 
-At a Jaccard similarity of 0.75 a position differs with probability 1/4; with 32 positions and a distance of up to 15 a
-pair on the threshold itself is missed with probability 0.002, a closer pair far less. Links are confirmed on full sets.
+At a Jaccard similarity of 0.75 a position differs with probability 1/4; with 48 positions and a distance of up to 23 a
+pair on the threshold itself is missed with probability 0.0002, a closer pair far less. Links are confirmed on full sets.
 
 Edge cases: null and empty texts (and texts of white space) have the empty set, n_shingles 0, and are their own
 component; fewer than five words are one shingle; repeated rows and ids are separate rows, linked by their text like any
@@ -36,9 +36,9 @@ from loomstat.llm.graph import connected_components
 
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 75
-POSITIONS = 32
-CHUNKS = 8
-MAX_DISTANCE = 15  # below CHUNKS * (ERRORS + 1)
+POSITIONS = 48
+CHUNKS = 12
+MAX_DISTANCE = 23  # below CHUNKS * (ERRORS + 1)
 ERRORS = MAX_DISTANCE // CHUNKS
 #: Members and shingles of a piece of a bucket; a tile holds two pieces.
 TILE_MEMBERS = 1024
