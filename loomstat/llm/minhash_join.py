@@ -42,7 +42,7 @@ MAX_DISTANCE = 23  # below CHUNKS * (ERRORS + 1)
 ERRORS = MAX_DISTANCE // CHUNKS
 #: Members and shingles of a piece of a bucket; a tile holds two pieces.
 TILE_MEMBERS = 1024
-TILE_SHINGLES = 1_000_000
+TILE_SHINGLES = 400_000
 COLUMNS = 4096
 
 _R = np.random.default_rng(20_011)

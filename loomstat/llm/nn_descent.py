@@ -152,7 +152,7 @@ def _enlarged(members: DataFrame, threshold: float, dim: int, scratch: Scratch)
             .select("comp", "bin", "tile", "other", "other_tile", "cid", "v"))
     right = (m.withColumnRenamed("bin", "other").join(open_, ["comp", "other"]).withColumn("other_tile", tile("other_tiles"))
              .withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-             .select("comp", "bin", "tile", "other", "other_tile", "cid", "v", "w"))
+             .select(*[F.col(c).alias(c) for c in ("comp", "bin", "tile", "other", "other_tile", "cid", "v", "w")]))  # columns of their own
 
     def count(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
