@@ -24,6 +24,11 @@ from pyspark.sql import functions as F
 from loomstat.session import ensure_checkpoint_dir
 
 
+#: Rows of a range partition: at most so many (memory of a task); with fewer than LEAST_ROWS each, fewer tasks do.
+ROWS_PER_TASK = 2_000_000
+LEAST_ROWS = 20_000
+
+
 def percent_rank_by_value(df: DataFrame, value: str, out: str = "percent_rank") -> DataFrame:
     """PERCENT_RANK() OVER (ORDER BY value) for a value with a bounded number of distinct values.
     (rank - 1) / (n - 1) where rank = 1 + rows with a smaller value; 0 when n = 1."""
@@ -43,8 +48,11 @@ def global_row_number(df: DataFrame, order: list[Column], out: str = "row_number
     ``order`` must be a total order (append a unique key)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    base = df.checkpoint(eager=True)  # read three times below: to count, to sample the ranges, to deal
+    rows = base.count()
+    setting = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = partitions or max(-(-rows // ROWS_PER_TASK), min(setting, -(-rows // LEAST_ROWS)), 1)
+    ranged = base.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
     pinned = ranged.checkpoint(eager=True)
     tagged = pinned.withColumn("_pid", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
     per_part = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mono").alias("_first"))

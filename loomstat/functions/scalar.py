@@ -9,15 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DEFAULT_AS_OF = "2001-08-02 00:00:00"
-
-
-def as_of_ts(as_of: str | None = None) -> Column:
+def as_of_ts(as_of: str) -> Column:
     """The explicit "now" of a job (no operator reads the wall clock)."""
-    return F.to_timestamp(F.lit(as_of or DEFAULT_AS_OF))
+    return F.to_timestamp(F.lit(as_of))
 
 
-def as_of_date(as_of: str | None = None) -> Column:
+def as_of_date(as_of: str) -> Column:
     return F.to_date(as_of_ts(as_of))
 
 
@@ -38,11 +35,6 @@ def pct(num: Column, den: Column, n: int = 2) -> Column:
     return dround(ratio(num, den) * F.lit(100.0), n)
 
 
-def epoch_seconds_between(a: Column, b: Column) -> Column:
-    """EXTRACT(EPOCH FROM a - b) in seconds (double)."""
-    return (F.unix_micros(a) - F.unix_micros(b)).cast("double") / F.lit(1e6)
-
-
 def days_between(a: Column, b: Column) -> Column:
     """Fractional days between timestamps."""
     return (F.unix_micros(a) - F.unix_micros(b)).cast("double") / F.lit(86400e6)
@@ -67,10 +59,6 @@ def dow_sunday0(c: Column) -> Column:
     return F.dayofweek(c) - 1
 
 
-def month_start(c: Column) -> Column:
-    return F.date_trunc("month", c)
-
-
 def months_between_starts(later: Column, earlier: Column) -> Column:
     """AGE() in whole months between two month starts."""
     return (F.year(later) - F.year(earlier)) * 12 + F.month(later) - F.month(earlier)

@@ -31,17 +31,15 @@ def rfm_summary(tx: DataFrame, include_first_in_monetary: bool = False) -> DataF
     ``include_first_in_monetary``."""
     days = tx.groupBy("empresa_id", "order_date").agg(F.sum("valor_final").alias("_v"))
     end = tx.agg(F.max("order_date")).scalar()  # observation end: scalar subquery
-    first = days.groupBy("empresa_id").agg(F.min("order_date").alias("_first"))
-    d = days.join(first, "empresa_id")
-    repeat = F.col("order_date") > F.col("_first")
-    mv_sel = F.lit(True) if include_first_in_monetary else repeat
-    g = d.groupBy("empresa_id", "_first").agg(
-        (F.count(F.lit(1)) - 1).alias("frequency"),
-        F.max("order_date").alias("_last"),
-        F.sum(F.when(mv_sel, F.col("_v"))).alias("_mv_sum"),
-        F.count(F.when(mv_sel, F.lit(1))).alias("_mv_n"))
+    g = days.groupBy("empresa_id").agg(
+        F.min("order_date").alias("_first"), F.max("order_date").alias("_last"), (F.count(F.lit(1)) - 1).alias("frequency"),
+        F.sum("_v").alias("_all"), F.min_by("_v", "order_date").alias("_first_v"))
+    if include_first_in_monetary:
+        g = g.withColumns({"_mv_sum": F.col("_all"), "_mv_n": F.col("frequency") + 1})
+    else:  # repeat days only
+        g = g.withColumns({"_mv_sum": F.col("_all") - F.col("_first_v"), "_mv_n": F.col("frequency")})
     g = g.withColumn("_end", end)
-    mv = F.when(F.col("_mv_n") > 0, F.round(F.col("_mv_sum").cast("decimal(28,2)") / F.col("_mv_n").cast("decimal(10,0)"), 2))
+    mv = F.when(F.col("_mv_n") > 0, F.round(F.col("_mv_sum").cast("decimal(28,2)") / F.col("_mv_n").cast("decimal(20,0)"), 2))
     return g.select(
         "empresa_id",
         F.col("frequency").cast("double").alias("frequency"),
@@ -128,18 +126,19 @@ def _evaluate(stats: DataFrame, cands: list[np.ndarray], objective) -> list[floa
 
 
 def nelder_mead(evaluate, x0: np.ndarray, step: float = 0.5, max_iter: int = 400, xtol: float = 1e-4,
-                ftol: float = 1e-6) -> tuple[np.ndarray, float, int]:
+                ftol: float = 1e-6) -> tuple[np.ndarray, float, int, bool]:
     """Nelder–Mead on the driver; every iteration evaluates reflection, expansion and both
     contractions in one batch (one Spark job), a shrink in a second one."""
     n = len(x0)
     simplex = [x0] + [x0 + step * np.eye(n)[i] for i in range(n)]
     fs = evaluate(simplex)
-    it = 0
+    it, converged = 0, False
     for it in range(1, max_iter + 1):
         order = np.argsort(fs)
         simplex = [simplex[i] for i in order]
         fs = [fs[i] for i in order]
         if max(abs(f - fs[0]) for f in fs) <= ftol and max(np.max(np.abs(s - simplex[0])) for s in simplex) <= xtol:
+            converged = True
             break
         centroid = np.mean(simplex[:-1], axis=0)
         worst = simplex[-1]
@@ -161,54 +160,7 @@ def nelder_mead(evaluate, x0: np.ndarray, step: float = 0.5, max_iter: int = 400
             simplex = [simplex[0]] + new
             fs = [fs[0]] + evaluate(new)
     best = int(np.argmin(fs))
-    return simplex[best], fs[best], it
-
-
-def bfgs(evaluate, x0: np.ndarray, h: float = 1e-5, max_iter: int = 100, gtol: float = 1e-6,
-         steps: tuple = (2.0, 1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001)) -> tuple[np.ndarray, float, int]:
-    """Quasi-Newton (BFGS) on the driver with central-difference gradients. Each iteration
-    is two Spark jobs: the 2n+1 gradient points in one batch, then all line-search step
-    sizes in one batch (best Armijo step). Falls back to the best point when no step
-    decreases the objective."""
-    n = len(x0)
-    x = np.asarray(x0, dtype=float)
-    hmat = np.eye(n)
-    it = 0
-
-    def grad_at(x):
-        pts = [x] + [x + h * np.eye(n)[i] for i in range(n)] + [x - h * np.eye(n)[i] for i in range(n)]
-        f = evaluate(pts)
-        g = np.array([(f[1 + i] - f[1 + n + i]) / (2 * h) for i in range(n)])
-        return f[0], g
-
-    fx, g = grad_at(x)
-    for it in range(1, max_iter + 1):
-        if not np.all(np.isfinite(g)) or np.max(np.abs(g)) <= gtol:
-            break
-        d = -hmat @ g
-        if g @ d >= 0:  # not a descent direction: restart from steepest descent
-            hmat = np.eye(n)
-            d = -g
-        cands = [x + a * d for a in steps]
-        fs = evaluate(cands)
-        ok = [(f, i) for i, f in enumerate(fs) if np.isfinite(f) and f <= fx + 1e-4 * steps[i] * (g @ d)]
-        if not ok:
-            break
-        _, k = min(ok)
-        x_new = cands[k]
-        f_new, g_new = grad_at(x_new)
-        s_vec, y_vec = x_new - x, g_new - g
-        sy = s_vec @ y_vec
-        if sy > 1e-12:
-            rho = 1.0 / sy
-            eye = np.eye(n)
-            hmat = (eye - rho * np.outer(s_vec, y_vec)) @ hmat @ (eye - rho * np.outer(y_vec, s_vec)) \
-                + rho * np.outer(s_vec, s_vec)
-        converged = abs(fx - f_new) <= 1e-10 * max(1.0, abs(fx))
-        x, fx, g = x_new, f_new, g_new
-        if converged:
-            break
-    return x, fx, it
+    return simplex[best], fs[best], it, converged
 
 
 @dataclass(frozen=True)
@@ -227,23 +179,21 @@ def _bgnbd_objective(penalizer: float):
     return obj
 
 
-def _minimise(evaluate, x0, max_iter, method):
-    if method == "nelder-mead":
-        return nelder_mead(evaluate, x0, max_iter=max_iter)
-    x, f, it = bfgs(evaluate, x0, max_iter=max_iter)
-    # polish with a few Nelder-Mead steps from the quasi-Newton point (guards a flat line search)
-    x2, f2, it2 = nelder_mead(evaluate, x, step=0.05, max_iter=max(10, max_iter // 10))
-    return (x2, f2, it + it2) if f2 <= f else (x, f, it + it2)
+def _fitted(evaluate, x0, max_iter: int, require: bool):
+    x, f, it, converged = nelder_mead(evaluate, x0, max_iter=max_iter)
+    if require and not converged:
+        raise RuntimeError(f"no optimum within {max_iter} iterations (objective {f})")
+    return x, f, it, converged
 
 
 def fit_bgnbd(rfm: DataFrame, penalizer: float = 0.001, max_iter: int = 400,
-              method: str = "nelder-mead") -> tuple[BGNBDParams, float, int]:
+              require_convergence: bool = False) -> tuple[BGNBDParams, float, int, bool]:
     """V2: maximum likelihood BG/NBD (mean negative log-likelihood + penalizer·Σθ², on
-    log-parameters). Returns the parameters, the objective and the iteration count."""
+    log-parameters). Returns the parameters, the objective, the iteration count and whether it converged."""
     stats = bgnbd_stats(rfm).checkpoint(eager=True)
-    x, f, it = _minimise(lambda c: _evaluate(stats, c, _bgnbd_objective(penalizer)), np.zeros(4), max_iter, method)
+    x, f, it, converged = _fitted(lambda c: _evaluate(stats, c, _bgnbd_objective(penalizer)), np.zeros(4), max_iter, require_convergence)
     r, alpha, a, b = np.exp(x)
-    return BGNBDParams(float(r), float(alpha), float(a), float(b)), float(f), it
+    return BGNBDParams(float(r), float(alpha), float(a), float(b)), float(f), it, converged
 
 
 def gg_loglik(x: F.Column, m: F.Column, p, q, v) -> F.Column:
@@ -263,28 +213,57 @@ def _gg_objective(penalizer: float):
 
 
 def fit_gamma_gamma(rfm: DataFrame, penalizer: float = 0.001, max_iter: int = 400,
-                    method: str = "nelder-mead") -> tuple[GGParams, float, int]:
+                    require_convergence: bool = False) -> tuple[GGParams, float, int, bool]:
     """V3: Gamma-Gamma spend model on repeat buyers (frequency > 0, positive spend)."""
     data = (rfm.where((F.col("frequency") > 0) & (F.col("monetary_value") > 0))
             .select(F.col("frequency").alias("x"), F.col("monetary_value").alias("m")).checkpoint(eager=True))
-    x, f, it = _minimise(lambda c: _evaluate(data, c, _gg_objective(penalizer)), np.zeros(3), max_iter, method)
+    x, f, it, converged = _fitted(lambda c: _evaluate(data, c, _gg_objective(penalizer)), np.zeros(3), max_iter, require_convergence)
     p, q, v = np.exp(x)
-    return GGParams(float(p), float(q), float(v)), float(f), it
+    return GGParams(float(p), float(q), float(v)), float(f), it, converged
 
 
 # ====================================================================== prediction (V4, V5, V7)
-def _hyp2f1(a: np.ndarray, b: np.ndarray, c: np.ndarray, z: np.ndarray, max_terms: int = 100000) -> np.ndarray:
-    """Gauss hypergeometric series, vectorised over a batch (|z| < 1)."""
-    term = np.ones_like(z)
-    total = np.ones_like(z)
+def _lgamma(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln |Γ(z)| and the sign of Γ(z); infinite at the poles 0, -1, -2, ..."""
+    z = np.asarray(z, dtype=float)
+    pole = (z <= 0) & (z == np.round(z))
+    value = np.vectorize(math.lgamma, otypes=[float])(np.where(pole, 1.0, z)) if z.size else z
+    return np.where(pole, np.inf, value), np.where((z > 0) | (np.floor(z) % 2 == 0), 1.0, -1.0)
+
+
+def _series_2f1(a, b, c, z, max_terms: int) -> np.ndarray:
+    """Gauss series; NaN where ``max_terms`` terms do not reach double precision."""
+    term, total = np.ones_like(z), np.ones_like(z)
     active = np.ones(z.shape, dtype=bool)
-    k = 0
-    while active.any() and k < max_terms:
+    for k in range(max_terms):
         term = np.where(active, term * (a + k) * (b + k) / ((c + k) * (k + 1)) * z, 0.0)
         total = total + term
-        active = active & (np.abs(term) > 1e-15 * np.abs(total))
-        k += 1
-    return total
+        active = active & (np.abs(term) > 1e-16 * np.abs(total)) & np.isfinite(total)
+        if not active.any():
+            return total
+    return np.where(active, np.nan, total)
+
+
+def _hyp2f1(a: np.ndarray, b: np.ndarray, c: np.ndarray, z: np.ndarray, max_terms: int = 2_000_000) -> np.ndarray:
+    """₂F₁(a, b; c; z) for 0 <= z < 1, vectorised over a batch. Near 1 the series in z hardly converges; there the
+    two series in 1 - z are used (unless c - a - b is next to an integer, where they cancel). Never a partial sum:
+    values that do not converge are NaN."""
+    a, b, c, z = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(a, b, c, z))
+    d = c - a - b
+    far = (z > 0.9) & (np.abs(d - np.round(d)) > 1e-5)
+    out = np.empty_like(z)
+    if (~far).any():
+        n = ~far
+        out[n] = _series_2f1(a[n], b[n], c[n], z[n], max_terms)
+    if far.any():
+        a, b, c, z, d = a[far], b[far], c[far], z[far], d[far]
+        (gc, _), (gd, sd), (ge, se) = _lgamma(c), _lgamma(d), _lgamma(-d)
+        (ca, sca), (cb, scb), (ga, sa), (gb, sb) = _lgamma(c - a), _lgamma(c - b), _lgamma(a), _lgamma(b)
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = sd * sca * scb * np.exp(gc + gd - ca - cb) * _series_2f1(a, b, 1.0 - d, 1.0 - z, max_terms)
+            rest = se * sa * sb * np.exp(gc + ge - ga - gb + d * np.log1p(-z)) * _series_2f1(c - a, c - b, 1.0 + d, 1.0 - z, max_terms)
+            out[far] = near + rest
+    return out
 
 
 def _expected_purchases_np(t: float, x, tx, tt, p: BGNBDParams) -> np.ndarray:
@@ -296,8 +275,10 @@ def _expected_purchases_np(t: float, x, tx, tt, p: BGNBDParams) -> np.ndarray:
     z = t / (alpha + tt + t)
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         ln_hyp = np.log(_hyp2f1(_a, _b, _c, z))
-        alt = np.log(_hyp2f1(_c - _a, _c - _b, _c, z)) + (_c - _a - _b) * np.log1p(-z)
-        ln_hyp = np.where(np.isfinite(ln_hyp), ln_hyp, alt)
+        bad = ~np.isfinite(ln_hyp)
+        if bad.any():  # overflow: Euler's transformation has the smaller terms
+            a_, b_, c_, z_ = _a[bad], _b[bad], _c[bad], z[bad]
+            ln_hyp[bad] = np.log(_hyp2f1(c_ - a_, c_ - b_, c_, z_)) + (c_ - a_ - b_) * np.log1p(-z_)
         first = (a + b + x - 1.0) / (a - 1.0)
         second = 1.0 - np.exp(ln_hyp + (r + x) * np.log((alpha + tt) / (alpha + t + tt)))
         den = 1.0 + (x > 0) * (a / (b + x - 1.0)) * ((alpha + tt) / (alpha + tx)) ** (r + x)
@@ -369,7 +350,7 @@ def segment_by_clv(clv: DataFrame, months: int = 12, n_segments: int = 4) -> Dat
         lo, hi = int(math.floor(h)) + 1, int(math.ceil(h)) + 1
         edges.append(at[lo] + (at[hi] - at[lo]) * (h - math.floor(h)))
     uniq = sorted(set(edges))
-    labels = SEGMENT_LABELS[:n_segments]
+    labels = SEGMENT_LABELS[:n_segments] if n_segments <= len(SEGMENT_LABELS) else [f"segment_{i + 1}" for i in range(n_segments)]
     v = F.col(col)
     seg = F.lit(None).cast("string")
     if len(uniq) == 1:  # every value equal: a single closed bin holding all of them

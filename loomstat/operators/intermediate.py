@@ -28,12 +28,12 @@ def count_if(cond) -> F.Column:
 def money_avg(c: F.Column, scale: int = 2) -> F.Column:
     """Exact average of a decimal column, rounded half away from zero (NULL when empty)."""
     n = F.count(c)
-    return F.round(F.sum(c).cast("decimal(28,2)") / F.nullif(n, F.lit(0)).cast("decimal(10,0)"), scale)
+    return F.round(F.sum(c).cast("decimal(28,2)") / F.nullif(n, F.lit(0)).cast("decimal(20,0)"), scale)
 
 
 def money_div(num: F.Column, den: F.Column, scale: int = 2) -> F.Column:
     """Exact ``ROUND(decimal / count, s)``; NULL when the count is 0."""
-    return F.round(num.cast("decimal(28,2)") / F.nullif(den, F.lit(0)).cast("decimal(10,0)"), scale)
+    return F.round(num.cast("decimal(28,2)") / F.nullif(den, F.lit(0)).cast("decimal(20,0)"), scale)
 
 
 # ------------------------------------------------------------------ I1
@@ -177,7 +177,7 @@ def int_oficina_performance(m: Marketplace, as_of: str | None = None, reference_
         F.coalesce(F.col("cm_premium"), F.lit(False)).alias("tem_cert_premium"),
         F.when(cap > 0, pct(F.coalesce(F.col("om_pecas"), F.lit(0)), cap * F.lit(HISTORY_MONTHS)))
         .alias("taxa_utilizacao_capacidade_pct"),
-        (F.col("ultimo_pedido") >= as_of_ts(as_of) - F.expr("INTERVAL 60 DAYS")).alias("ativo_recente"),
+        (F.col("ultimo_pedido") >= as_of_ts(as_of or m.as_of) - F.expr("INTERVAL 60 DAYS")).alias("ativo_recente"),
     )
 
 
@@ -213,7 +213,7 @@ def int_empresa_activity(m: Marketplace, as_of: str | None = None) -> DataFrame:
         count_if(F.col("tipo") == "oficina_viewed").alias("ea_views"),
     )
     j = e.join(oh, e.empresa_id == oh._oh_id, "left").join(ea, e.empresa_id == ea._ea_id, "left")
-    now = as_of_ts(as_of)
+    now = as_of_ts(as_of or m.as_of)
     total = F.coalesce(F.col("oh_total"), F.lit(0))
     meses = F.coalesce(F.col("oh_meses"), F.lit(0))
     rep = F.coalesce(F.col("oh_repeat"), F.lit(0))
@@ -364,7 +364,7 @@ def int_daily_platform_snapshot(m: Marketplace, as_of: str | None = None) -> Dat
         F.count(F.lit(1)).alias("ev_n"), F.countDistinct("usuario_id").alias("ev_users"),
         F.countDistinct("session_id").alias("ev_sess"))
     first_day = p.agg(F.min(day("dt_criacao")).alias("d0"))
-    spine = first_day.select(F.explode(F.sequence(F.col("d0"), as_of_date(as_of), F.expr("INTERVAL 1 DAY")))
+    spine = first_day.select(F.explode(F.sequence(F.col("d0"), as_of_date(as_of or m.as_of), F.expr("INTERVAL 1 DAY")))
                              .alias("dia"))
     j = (spine.join(dp, spine.dia == dp._dp_dia, "left").join(dsg, spine.dia == dsg._ds_dia, "left")
          .join(dpg, spine.dia == dpg._pg_dia, "left").join(dpr, spine.dia == dpr._pr_dia, "left")

@@ -29,7 +29,7 @@ def marts_platform_kpis(m: Marketplace, as_of: str | None = None) -> DataFrame:
     with at least one bid); the reference computes it with the match-rate formula,
     which stays available as ``match_rate_pct``. All windows run over one row per month."""
     snap = I.int_daily_platform_snapshot(m, as_of)
-    now = as_of_ts(as_of)
+    now = as_of_ts(as_of or m.as_of)
     mb = snap.where(F.col("dia") <= F.to_date(now)).groupBy(F.date_trunc("month", "dia").alias("mes")).agg(
         F.sum("gmv_dia").alias("gmv"), F.sum("receita_plataforma").alias("receita"),
         F.sum("novos_pedidos").alias("novos_pedidos"), F.sum("pedidos_publicados").alias("pedidos_publicados"),
@@ -193,7 +193,7 @@ def marts_empresa_clv(m: Marketplace, as_of: str | None = None) -> DataFrame:
     """RFM + heuristic CLV. The three quintiles are exact NTILE(5) computed as
     distributed global row numbers (ties broken by brand id)."""
     p = S.stg_pedidos(m)
-    now = as_of_ts(as_of)
+    now = as_of_ts(as_of or m.as_of)
     fin = F.col("foi_finalizado")
     rfm = p.groupBy("empresa_id").agg(
         days_between(now, F.max("dt_criacao")).alias("recency_days"),
@@ -273,14 +273,14 @@ def marts_revenue_analytics(m: Marketplace, as_of: str | None = None, reference_
     mr = pg.groupBy(mes.alias("mes"), "metodo").agg(
         F.count(F.lit(1)).alias("n"), F.sum(bruto).alias("gmv"), F.sum("taxa_plataforma").alias("receita"),
         F.sum("valor_liquido").alias("pago"),
-        F.round(F.sum(rate).cast("decimal(28,4)") / F.count(rate).cast("decimal(10,0)"), 8).alias("taxa_media"),
+        F.round(F.sum(rate).cast("decimal(28,4)") / F.count(rate).cast("decimal(20,0)"), 8).alias("taxa_media"),
         F.sum(F.when(met == "pix", bruto)).alias("gmv_pix"),
         F.sum(F.when(met == "boleto", bruto)).alias("gmv_boleto"),
         F.sum(F.when(met == "transferencia", bruto)).alias("gmv_transferencia"))
     ma = mr.groupBy("mes").agg(
         F.sum("n").alias("n_pagamentos"), F.sum("gmv").alias("gmv"), F.sum("receita").alias("receita"),
         F.sum("pago").alias("pago"),
-        F.round(F.sum("taxa_media") / F.count("taxa_media").cast("decimal(10,0)"), 2).alias("take_rate_real_pct"),
+        F.round(F.sum("taxa_media") / F.count("taxa_media").cast("decimal(20,0)"), 2).alias("take_rate_real_pct"),
         F.max("gmv_pix").alias("gmv_pix"), F.max("gmv_boleto").alias("gmv_boleto"),
         F.max("gmv_transferencia").alias("gmv_transferencia"))
     ue = S.stg_usuarios(m, as_of).groupBy(F.date_trunc("month", "dt_cadastro").alias("_ue_mes")).agg(
@@ -382,7 +382,7 @@ def v_platform_summary(m: Marketplace, as_of: str | None = None) -> DataFrame:
         e.alias("total_empresas_ativas"), o.alias("total_oficinas_ativas"),
         p.getField("total_pedidos").alias("total_pedidos"), p.getField("pedidos_finalizados").alias("pedidos_finalizados"),
         pg.getField("gmv_total").alias("gmv_total"), pg.getField("receita_total").alias("receita_total"),
-        as_of_ts(as_of).alias("snapshot_at"))
+        as_of_ts(as_of or m.as_of).alias("snapshot_at"))
 
 
 # ------------------------------------------------------------------ M10

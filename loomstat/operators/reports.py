@@ -213,11 +213,9 @@ def demand_kpis(clv: DataFrame) -> DataFrame:
     return k.withColumn("median_clv", med.scalar())
 
 
-def recency_frequency_sample(clv: DataFrame, n: int = 500) -> DataFrame:
-    """The first n brands of the CLV mart in its published order (CLV desc, NULLs last),
-    with recency, frequency, spend and segment."""
-    return clv.orderBy(F.col("clv_12m_estimado").desc_nulls_last(), F.col("empresa_id")).limit(n).select(
-        "empresa_id", "recencia_dias", "frequencia", "gasto_total", "rfm_segment")
+def recency_frequency(clv: DataFrame) -> DataFrame:
+    """Recency, frequency, spend and segment of every brand of the CLV mart (how many a chart draws is the chart's choice)."""
+    return clv.select("empresa_id", "recencia_dias", "frequencia", "gasto_total", "rfm_segment")
 
 
 def journey_kpis(funnel: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def stg_usuarios(m: Marketplace, as_of: str | None = None) -> DataFrame:
     """P3."""
     u = m.usuarios
     role = F.col("role")
-    now = as_of_ts(as_of)
+    now = as_of_ts(as_of or m.as_of)
     last = F.col("ultimo_login")
     return u.where(F.col("deleted_at").isNull()).select(
         F.col("id").alias("usuario_id"),
@@ -257,7 +257,7 @@ def stg_avaliacoes(m: Marketplace, positive_from: int = 5) -> DataFrame:
 def stg_certificacoes(m: Marketplace, as_of: str | None = None) -> DataFrame:
     """P9."""
     c = m.certificacoes
-    today = as_of_date(as_of)
+    today = as_of_date(as_of or m.as_of)
     val = F.col("data_validade")
     prestige = F.lit(2)
     for name, p in reversed(CERT_PRESTIGE):
@@ -279,7 +279,7 @@ def stg_certificacoes(m: Marketplace, as_of: str | None = None) -> DataFrame:
 def stg_pagamentos(m: Marketplace, as_of: str | None = None) -> DataFrame:
     """P10."""
     pg = m.pagamentos
-    today = as_of_date(as_of)
+    today = as_of_date(as_of or m.as_of)
     st = F.col("status")
     paid_or_created = F.coalesce(F.col("data_pagamento"), F.col("created_at"))
     return pg.select(

@@ -125,6 +125,15 @@ def _funnel(m):
     return I.int_funnel_stages(m)
 
 
+#: Columns of the cohort matrices: months since sign-up. The orders span 1992 to 1998 and sign-up is a brand's first order.
+MATRIX_MONTHS = list(range(84))
+
+
+def _matrix_sql(aggregate: str, close: str = "") -> str:
+    cells = ", ".join(f'{aggregate} FILTER (WHERE mes_n = {k}){close} AS "{k}"' for k in MATRIX_MONTHS)
+    return f"SELECT cohort_label, {cells} FROM marts_cohort_analysis GROUP BY cohort_label"
+
+
 def _cohorts(m):
     return M.marts_cohort_analysis(m)
 
@@ -136,12 +145,10 @@ for _name, _fn, _sql in [
     ("C4_drop_off_analysis", lambda m: A.drop_off_analysis(_funnel(m)), "SELECT * FROM c_drop_off"),
     ("C5_cohort_funnel", lambda m: A.cohort_funnel(_funnel(m)), "SELECT * FROM c_cohort_funnel"),
     ("C6_gmv_by_stage", lambda m: A.gmv_by_stage(_funnel(m)), "SELECT * FROM c_gmv_by_stage"),
-    ("K1_retention_matrix", lambda m: A.retention_matrix(_cohorts(m)),
-     "SELECT * FROM (PIVOT (SELECT cohort_label, mes_n, round(retention_rate_pct, 1) AS v FROM marts_cohort_analysis) "
-     "ON mes_n USING max(v) GROUP BY cohort_label)"),
-    ("K2_revenue_matrix", lambda m: A.revenue_matrix(_cohorts(m)),
-     "SELECT * FROM (PIVOT (SELECT cohort_label, mes_n, receita_cohort AS v FROM marts_cohort_analysis) "
-     "ON mes_n USING coalesce(max(v), 0) GROUP BY cohort_label)"),
+    ("K1_retention_matrix", lambda m: A.retention_matrix(_cohorts(m), MATRIX_MONTHS),
+     _matrix_sql("max(round(retention_rate_pct, 1))")),
+    ("K2_revenue_matrix", lambda m: A.revenue_matrix(_cohorts(m), MATRIX_MONTHS),
+     _matrix_sql("coalesce(max(receita_cohort)", ", 0)")),
     ("K3_average_retention_curve", lambda m: A.average_retention_curve(_cohorts(m)),
      "SELECT * FROM k_average_retention_curve"),
     ("K4_cohort_summary", lambda m: A.cohort_summary(_cohorts(m)), "SELECT * FROM k_cohort_summary"),
@@ -193,7 +200,7 @@ for _name, _fn, _key in [
     ("D3_order_stages_by_month", lambda m: D.order_stages_by_month(M.marts_platform_kpis(m)), "D3"),
     ("D4_last_six_months", lambda m: D.last_months(M.marts_platform_kpis(m), 6), "D4"),
     ("D5_demand_kpis", lambda m: D.demand_kpis(M.marts_empresa_clv(m)), "D5"),
-    ("D7_recency_frequency_sample", lambda m: D.recency_frequency_sample(M.marts_empresa_clv(m)), "D7"),
+    ("D7_recency_frequency", lambda m: D.recency_frequency(M.marts_empresa_clv(m)), "D7"),
     ("D13_journey_kpis", lambda m: D.journey_kpis(A.funnel_summary(I.int_funnel_stages(m))), "D13"),
     ("S6_kpis_between_months", lambda m: _io.between_months(M.marts_platform_kpis(m), "mes", "1998-01-01",
                                                            "1999-12-01"), "S6"),
@@ -226,9 +233,11 @@ from loomstat.streaming import live as T  # noqa: E402
 
 register("T3_order_codes", "SELECT * FROM t_order_codes")(lambda m: T.order_codes(m.pedidos))
 register("T4_daily_activity_stream", "SELECT * FROM t_daily_activity")(
-    lambda m: T.run_available_now(T.daily_activity(T.event_stream(m.spark, m.sf_dir)), m.spark, "t4"))
+    lambda m: T.with_open_days(T.run_available_now(T.daily_activity(T.event_stream(m.spark, m.sf_dir)), m.spark, "t4"),
+                               T.event_batch(m.spark, m.sf_dir)))
 register("T5_user_sessions_stream", "SELECT * FROM t_sessions")(
-    lambda m: T.run_available_now(T.user_sessions(T.event_stream(m.spark, m.sf_dir)), m.spark, "t5"))
+    lambda m: T.with_open_sessions(T.run_available_now(T.user_sessions(T.event_stream(m.spark, m.sf_dir)), m.spark, "t5"),
+                                   T.event_batch(m.spark, m.sf_dir)))
 register("T6_dedup_events_stream", "SELECT * FROM t_dedup")(
     lambda m: T.run_available_now(T.deduplicated_events(T.event_stream(m.spark, m.sf_dir)), m.spark, "t6"))
 
@@ -253,7 +262,7 @@ _FITS: dict = {}
 def _fit_cache(m, what: str):
     """Summary and fitted models, each computed once per session and source version; the two
     fits are separate entries so no single query has to run both optimisations."""
-    base = (id(m.spark._jsparkSession), m.sf_dir, m.__dict__.get("published_path"))
+    base = (m.spark.sparkContext.applicationId, m.published_path)
     key = base + (what,)
     if key not in _FITS:
         if what == "rfm":
@@ -267,16 +276,16 @@ def _fit_cache(m, what: str):
 
 def _v2(m):
     rfm = _fit_cache(m, "rfm")
-    bg, f, it = _fit_cache(m, "bg")
-    return m.spark.createDataFrame([(bg.r, bg.alpha, bg.a, bg.b, f, it, rfm.count())],
+    bg, f, it, converged = _fit_cache(m, "bg")
+    return m.spark.createDataFrame([(bg.r, bg.alpha, bg.a, bg.b, f, it, converged, rfm.count())],
                                    "r double, alpha double, a double, b double, objective double, iterations int, "
-                                   "n_customers long")
+                                   "converged boolean, n_customers long")
 
 
 def _v3(m):
-    gg, f, it = _fit_cache(m, "gg")
-    return m.spark.createDataFrame([(gg.p, gg.q, gg.v, f, it)],
-                                   "p double, q double, v double, objective double, iterations int")
+    gg, f, it, converged = _fit_cache(m, "gg")
+    return m.spark.createDataFrame([(gg.p, gg.q, gg.v, f, it, converged)],
+                                   "p double, q double, v double, objective double, iterations int, converged boolean")
 
 
 def _v4(m):
@@ -299,7 +308,7 @@ register("V7_segment_by_clv")(lambda m: V.segment_by_clv(_v4(m), 12, 4))
 
 # ---------------------------------------------------------------- T1/T2: live workshop scores with upsert sink
 register("T1_live_workshop_scores", "SELECT * FROM t_live_scores")(
-    lambda m: T.run_live_scores(m.spark, m.published_path + "/avaliacoes"))
+    lambda m: T.run_live_scores(m.spark, m.path_of("avaliacoes")))
 
 
 # ---------------------------------------------------------------- S2: COPY text bulk format round trip

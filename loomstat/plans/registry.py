@@ -12,45 +12,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomstat.plans import oracle as O
 from loomstat.session import apply_defaults
-from loomstat.sources.binding import SOURCE_TABLES
-from loomstat.sources.binding import Marketplace, bind, publish_sources
+from loomstat.sources.binding import PublishedMarketplace
 from loomstat.sources.io import finalize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_PUBLISHED: dict[tuple, str] = {}
+ORACLES: dict[str, str] = {}
+_PUBLISHED: dict[tuple, PublishedMarketplace] = {}
+
+
+#: "Now" of the registered queries: the day up to which the given tables (orders until 1998) are observed.
+AS_OF = "2001-08-02 00:00:00"
 
 
-def sources(spark: SparkSession, sf_dir: str) -> Marketplace:
-    """Bound source tables for ``sf_dir``, written once per session and input version
-    under the shared checkpoint folder (S4); later queries read the written tables."""
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """Bytes, files and latest change of a table, from the file system that Spark reads it with."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return (path, None)
+    files = list(fs.listStatus(p))
+    return (path, len(files), sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0))
+
+
+def sources(spark: SparkSession, sf_dir: str) -> PublishedMarketplace:
+    """Source tables of ``sf_dir`` (S4): each is written under the shared checkpoint folder when a query first needs it,
+    once per application and input version; later queries read the written tables."""
     import hashlib
-    import os
     import uuid
 
     from loomstat.session import ensure_checkpoint_dir
     from loomstat.sources.io import TABLES, table_path
 
-    stamp = []
-    for t in TABLES:
-        try:
-            st = os.stat(table_path(sf_dir, t))
-            stamp.append((t, st.st_size, int(st.st_mtime)))
-        except OSError:  # not a local path: key by name only
-            stamp.append((t, 0, 0))
-    key = (id(spark._jsparkSession), sf_dir, tuple(stamp))
-    m = bind(spark, sf_dir)
-    if key in _PUBLISHED:
-        path = _PUBLISHED[key]
-        for name in SOURCE_TABLES:
-            m.__dict__[name] = spark.read.parquet(f"{path}/{name}")
-        m.__dict__["published_path"] = path
-        return m
-    tag = hashlib.sha1(repr(key[1:]).encode()).hexdigest()[:12]
-    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/sources/{tag}-{uuid.uuid4().hex[:8]}"
-    out = publish_sources(m, path)
-    _PUBLISHED[key] = path
-    return out
-ORACLES: dict[str, str] = {}
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(_stamp(spark, table_path(sf_dir, t)) for t in TABLES))
+    if key not in _PUBLISHED:
+        tag = hashlib.sha1(repr(key).encode()).hexdigest()[:12]
+        path = ensure_checkpoint_dir(spark).rstrip("/") + f"/sources/{tag}-{uuid.uuid4().hex[:8]}"
+        _PUBLISHED[key] = PublishedMarketplace(spark, sf_dir, AS_OF, path)
+    return _PUBLISHED[key]
 
 
 def register(name: str, oracle_final: str | None = None):

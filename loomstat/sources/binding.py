@@ -45,6 +45,7 @@ class Marketplace:
 
     spark: SparkSession
     sf_dir: str
+    as_of: str
     _raw: dict = field(default_factory=dict)
 
     def raw(self, name: str) -> DataFrame:
@@ -253,7 +254,7 @@ class Marketplace:
         return o.select(
             F.col("o_orderkey").alias("id"),
             F.concat(F.lit("PED-"), F.year("o_orderdate").cast("string"), F.lit("-"),
-                     F.lpad(F.col("o_orderkey").cast("string"), 7, "0")).alias("codigo"),
+                     F.format_string("%07d", F.col("o_orderkey"))).alias("codigo"),
             F.col("o_custkey").alias("empresa_id"),
             F.when(st != "O", F.col("first_supp")).alias("oficina_id"),
             F.concat(F.lit(" Pedido "), F.col("o_orderkey").cast("string"), F.lit(" ")).alias("titulo"),
@@ -428,8 +429,9 @@ class Marketplace:
         )
 
 
-def bind(spark: SparkSession, sf_dir: str) -> Marketplace:
-    return Marketplace(spark, sf_dir)
+def bind(spark: SparkSession, sf_dir: str, as_of: str) -> Marketplace:
+    """The source tables of ``sf_dir``; ``as_of`` is the job's "now"."""
+    return Marketplace(spark, sf_dir, as_of)
 
 
 # Source tables in foreign-key order (parents before children).
@@ -437,40 +439,35 @@ SOURCE_TABLES = ["categorias_produto", "empresas", "oficinas", "eventos_platafor
                  "pedido_items", "propostas", "producao", "avaliacoes", "certificacoes", "pagamentos"]
 
 
-# Parents each derived table reads (besides the raw tables), for the publication waves.
-SOURCE_PARENTS = {"usuarios": ("empresas", "oficinas", "eventos_plataforma"), "propostas": ("pedidos",),
-                  "pagamentos": ("pedidos",)}
-
-
-def publish_sources(m: Marketplace, path: str, parallel_jobs: int = 4) -> Marketplace:
-    """Write every bound source table once to a new run directory and return a
-    Marketplace that reads the written tables. Tables whose parents are written go in
-    the same wave; a wave's writes are submitted concurrently (Spark schedules jobs from
-    several threads), and every later table derives from the written parents (payments
-    from the written orders, and so on) instead of recomputing them. Parquet has no
-    multi-table transaction: the directory is only handed out after every table is written."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    spark = m.spark
-    out = Marketplace(spark, m.sf_dir)
-    out._raw = m._raw
-    for helper in ("_lines", "_order_lines", "_states", "_supplier_lines"):
-        getattr(out, helper)  # define shared sub-plans once, before threads use them
-    written: set[str] = set()
-    pending = list(SOURCE_TABLES)
-
-    def write(name: str) -> str:
-        getattr(out, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        return name
-
-    while pending:
-        wave = [t for t in pending if all(p in written for p in SOURCE_PARENTS.get(t, ()))]
-        for t in wave:
-            getattr(out, t)  # build the DataFrame on the driver thread (parents already re-read)
-        with ThreadPoolExecutor(max_workers=max(1, parallel_jobs)) as pool:
-            for name in pool.map(write, wave):
-                out.__dict__[name] = spark.read.parquet(f"{path}/{name}")
-                written.add(name)
-        pending = [t for t in pending if t not in written]
-    out.__dict__["published_path"] = path
-    return out
+class PublishedMarketplace(Marketplace):
+    """Source tables that are written once each, when a query first asks for one, and read from there after.
+
+    A table derives from its parents as written (payments from the written orders, and so on). Only the tables that
+    queries need are ever written. A table is handed out after its write has committed."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, as_of: str, path: str):
+        super().__init__(spark, sf_dir, as_of)
+        self.published_path = path
+        self._written: dict[str, DataFrame] = {}
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self._written:
+            df = Marketplace.__dict__[name].func(self)
+            path = f"{self.published_path}/{name}"
+            df.write.mode("overwrite").parquet(path)
+            self._written[name] = self.spark.read.schema(df.schema).parquet(path)
+        return self._written[name]
+
+    def path_of(self, name: str) -> str:
+        """Folder of a written source table."""
+        self.table(name)
+        return f"{self.published_path}/{name}"
+
+    def publish_all(self) -> PublishedMarketplace:
+        for name in SOURCE_TABLES:
+            self.table(name)
+        return self
+
+
+for _name in SOURCE_TABLES:
+    setattr(PublishedMarketplace, _name, property(lambda self, n=_name: self.table(n)))

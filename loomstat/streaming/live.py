@@ -3,8 +3,9 @@
 Streams read the event log (or lineitem for reviews) as a file source; tests and the
 registry run them with ``trigger(availableNow=True)`` into a Parquet sink under the
 shared checkpoint folder (``spark.checkpoint.dir``) and read the sink back, so the
-output never passes through the driver. Windows still open when the input ends
-(event time beyond the watermark) are not emitted, as in any append-mode stream.
+output never passes through the driver. Windows still open when the input ends (their end is
+beyond the watermark) stay in the stream's state; ``with_open_days`` and ``with_open_sessions``
+add them from the same events, so every event that the stream accepts is counted.
 """
 
 from __future__ import annotations
@@ -24,17 +25,48 @@ SESSION_GAP = "30 minutes"
 def event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Structured Streaming source over the event table (timestamps cast at the source:
     watermarks reject zone-less timestamps)."""
-    r = spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events.parquet")
+    r = spark.readStream.schema(SCHEMAS["events"])
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    path = f"{sf_dir}/events.parquet"
+    if _is_folder(spark, path):  # part files of a table
+        return r.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    return r.option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def event_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events as a batch."""
+    return spark.read.schema(SCHEMAS["events"]).parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _final_watermark(events: DataFrame, watermark: str) -> F.Column:
+    return events.agg(F.max("ts") - F.expr(f"INTERVAL {watermark}")).scalar()
+
+
+def with_open_days(closed: DataFrame, events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """T4's closed days and the days that end beyond the final watermark (the last day or two of the input)."""
+    day = F.date_trunc("day", F.col("ts"))
+    late = events.withColumn("_w", _final_watermark(events, watermark)).where(day + F.expr("INTERVAL 1 DAY") > F.col("_w"))
+    return closed.unionByName(_daily(late))
+
+
+def with_open_sessions(closed: DataFrame, events: DataFrame, gap: str = SESSION_GAP, watermark: str = WATERMARK) -> DataFrame:
+    """T5's closed sessions and, per user, those of the events after the last closed one that end beyond the final watermark."""
+    last = closed.groupBy("user_id").agg(F.max("fim").alias("_last"))
+    rest = events.join(last, "user_id", "left").where(F.col("_last").isNull() | (F.col("ts") >= F.col("_last")))
+    open_ = _sessions(rest, gap).withColumn("_w", _final_watermark(events, watermark)).where(F.col("fim") > F.col("_w")).drop("_w")
+    return closed.unionByName(open_)
 
 
 def daily_activity(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """T4: per day: events, exact distinct users, exact distinct sessions (user + hour).
     Exact distinct counts are not allowed on a stream; grouping first by (day, user, session),
     then (day, user), then day gives them exactly, with state bounded by the watermark."""
-    e = events.withWatermark("ts", watermark).withColumn(
+    return _daily(events.withWatermark("ts", watermark))
+
+
+def _daily(events: DataFrame) -> DataFrame:
+    e = events.withColumn(
         "session_id", F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMddHH")))
     l1 = e.groupBy(F.window("ts", "1 day").alias("w"), "user_id", "session_id").agg(F.count(F.lit(1)).alias("n"))
     l2 = l1.groupBy("w", "user_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("s"))
@@ -45,7 +77,11 @@ def daily_activity(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
 
 def user_sessions(events: DataFrame, gap: str = SESSION_GAP, watermark: str = WATERMARK) -> DataFrame:
     """T5: sessions per user (start, end = last event + gap, number of events)."""
-    s = events.withWatermark("ts", watermark).groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(
+    return _sessions(events.withWatermark("ts", watermark), gap)
+
+
+def _sessions(events: DataFrame, gap: str) -> DataFrame:
+    s = events.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(
         F.count(F.lit(1)).alias("n_eventos"))
     return s.select("user_id", F.col("s.start").alias("inicio"), F.col("s.end").alias("fim"), "n_eventos")
 
@@ -68,7 +104,7 @@ def run_available_now(df: DataFrame, spark: SparkSession, name: str) -> DataFram
 
 
 def order_codes(pedidos: DataFrame) -> DataFrame:
-    """``PED-YYYY-NNNNN`` numbered per creation year by (created_at, id). Assigned in
+    """``PED-YYYY-NNNNN`` (more digits from the 100,000th order of a year on) numbered per creation year by (created_at, id). Assigned in
     the batch layer: a count+1 trigger races under concurrency. The per-year sequence is a
     global row number over (year, created_at, id) minus the rows of earlier years, so a
     large year is spread over many tasks rather than one window partition."""
@@ -85,7 +121,7 @@ def order_codes(pedidos: DataFrame) -> DataFrame:
     seq = F.col("_g") - F.col("_before")
     return j.select("pedido_id", "ano", seq.alias("seq"),
                     F.concat(F.lit("PED-"), F.col("ano").cast("string"), F.lit("-"),
-                             F.lpad(seq.cast("string"), 5, "0")).alias("codigo"))
+                             F.format_string("%05d", seq)).alias("codigo"))  # five digits at least
 
 
 # ---------------------------------------------------------------- T1 / T2
@@ -103,12 +139,16 @@ def upsert_snapshot(base: str, keys: list[str], ts_col: str):
         w = Window.partitionBy(*keys).orderBy(F.col(ts_col).desc())
         latest = batch.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
         prev = f"{base}/v{epoch_id - 1:08d}"
-        if _exists(spark, prev):
+        if epoch_id == 0:
+            merged = latest
+        elif _exists(spark, prev):
             current = spark.read.parquet(prev)
             merged = current.join(latest.select(*keys), keys, "left_anti").unionByName(latest)
-        else:  # first epoch: no previous snapshot
-            merged = latest
+        else:
+            raise FileNotFoundError(f"snapshot {prev} is gone: epoch {epoch_id} has nothing to merge into")
         merged.write.mode("overwrite").parquet(f"{base}/v{epoch_id:08d}")
+        if epoch_id > 1:  # a retried epoch needs its predecessor, nothing older
+            _remove(spark, f"{base}/v{epoch_id - 2:08d}")
 
     return write
 
@@ -118,6 +158,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(fs.exists(p) and fs.getFileStatus(p).isDirectory())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def latest_snapshot(spark: SparkSession, base: str) -> DataFrame:
     """Read the newest snapshot version written by ``upsert_snapshot``."""
     jvm = spark._jvm

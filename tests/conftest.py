@@ -21,4 +21,4 @@ def spark():
 def market(spark):
     from loomstat.sources.binding import bind
 
-    return bind(spark, SF_SMALL)
+    return bind(spark, SF_SMALL, "2001-08-02 00:00:00")

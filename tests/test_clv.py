@@ -48,10 +48,11 @@ def test_lgamma_column(spark):
 
 
 def test_fit_predict_segment(rfm):
-    bg, obj, _ = V.fit_bgnbd(rfm, max_iter=25)
+    bg, obj, _, converged = V.fit_bgnbd(rfm, max_iter=25)
+    assert not converged
     start = -_ll_numpy(1.0, 1.0, 1.0, 1.0) / len(RFM) + 0.001 * 4
     assert obj < start
-    gg, _, _ = V.fit_gamma_gamma(rfm, max_iter=25)
+    gg, *_ = V.fit_gamma_gamma(rfm, max_iter=25)
     out = V.predict_clv(rfm, bg, gg).collect()
     assert len(out) == len(RFM)
     assert all(0.0 <= r["prob_alive"] <= 1.0 for r in out)
@@ -60,3 +61,47 @@ def test_fit_predict_segment(rfm):
     assert {r["clv_segment"] for r in seg} <= set(V.SEGMENT_LABELS) and all(r["clv_segment"] for r in seg)
     pa = {r["empresa_id"]: r["prob_alive"] for r in V.probability_alive(rfm, bg).collect()}
     assert pa["e3"] == 1.0  # no repeat purchase: alive by definition
+
+
+def test_hypergeometric_against_closed_forms():
+    z = np.array([0.0, 0.1, 0.5, 0.89, 0.95, 0.999, 0.99999])
+    for got, want in [
+        (V._hyp2f1(1.0, 1.0, 2.0, z[1:]), -np.log1p(-z[1:]) / z[1:]),  # c - a - b = 0
+        (V._hyp2f1(0.5, 1.0, 1.5, z[1:]), np.arctanh(np.sqrt(z[1:])) / np.sqrt(z[1:])),
+        (V._hyp2f1(0.5, 0.5, 1.5, z[1:]), np.arcsin(np.sqrt(z[1:])) / np.sqrt(z[1:])),
+        (V._hyp2f1(0.7, 1.3, 1.3, z), (1 - z) ** -0.7),
+    ]:
+        assert np.allclose(got, want, rtol=1e-9)
+    k = np.arange(6_000_000)  # the plain series, summed to the end
+    plain = 1 + np.exp(np.cumsum(np.log((1.5 + k) * (2 + k) / ((3 + k) * (k + 1)) * 0.99999))).sum()
+    assert V._hyp2f1(1.5, 2.0, 3.0, 0.99999) == pytest.approx(plain, rel=1e-9)
+    assert np.isnan(V._hyp2f1(1.0, 1.0, 2.0, 0.999999, max_terms=100))  # never a partial sum
+
+
+def test_unfinished_fit_is_reported(rfm):
+    with pytest.raises(RuntimeError, match="no optimum"):
+        V.fit_gamma_gamma(rfm, max_iter=3, require_convergence=True)
+
+
+def test_more_than_four_segments(spark):
+    clv = spark.createDataFrame([(str(i), float(i)) for i in range(60)], "empresa_id string, clv_12m_predicted double")
+    got = V.segment_by_clv(clv, 12, 6).groupBy("clv_segment").count().collect()
+    assert sorted((r[0], r[1]) for r in got) == [(f"segment_{i}", 10) for i in range(1, 7)]
+
+
+def test_recovers_parameters_of_simulated_customers(spark):
+    rng = np.random.default_rng(8)
+    r, alpha, a, b = 0.9, 20.0, 0.8, 2.5
+    rows = []
+    for i in range(4000):
+        rate, drop, span = rng.gamma(r, 1 / alpha), rng.beta(a, b), rng.uniform(100, 400)
+        t = x = tx = 0
+        while (t := t + rng.exponential(1 / rate)) <= span:
+            x, tx = x + 1, t
+            if rng.random() < drop:
+                break
+        rows.append((str(i), float(x), float(tx), span, 0.0))
+    rfm = spark.createDataFrame(rows, "empresa_id string, frequency double, recency double, T double, monetary_value double")
+    p, _, _, converged = V.fit_bgnbd(rfm, penalizer=0.0)
+    assert converged
+    assert p.r / p.alpha == pytest.approx(r / alpha, rel=0.1) and p.a / (p.a + p.b) == pytest.approx(a / (a + b), rel=0.15)
