@@ -204,14 +204,15 @@ def int_empresa_activity(m: Marketplace, as_of: str | None = None) -> DataFrame:
     )
     u = S.stg_usuarios(m, as_of).where(F.col("empresa_id").isNotNull()).select(
         F.col("usuario_id").alias("_u_id"), F.col("empresa_id").alias("_u_emp"))
-    ev = S.stg_eventos_plataforma(m)
-    ea = ev.join(u, ev.usuario_id == u._u_id).groupBy(F.col("_u_emp").alias("_ea_id")).agg(
-        F.count("evento_id").alias("ea_total"),
-        F.countDistinct("dia_evento").alias("ea_dias"),
-        F.max("dt_evento").alias("ultimo_evento"),
-        count_if(F.col("tipo") == "search_performed").alias("ea_buscas"),
-        count_if(F.col("tipo") == "oficina_viewed").alias("ea_views"),
-    )
+    # the event log is reduced to a row per user and day before it meets the users; days of a brand are rows after that
+    ev = S.stg_eventos_plataforma(m).groupBy(F.col("usuario_id").alias("_ev_u"), "dia_evento").agg(
+        F.count("evento_id").alias("n"), F.max("dt_evento").alias("ultimo"),
+        count_if(F.col("tipo") == "search_performed").alias("buscas"), count_if(F.col("tipo") == "oficina_viewed").alias("views"))
+    per_day = ev.join(u, ev._ev_u == u._u_id).groupBy(F.col("_u_emp").alias("_ea_id"), "dia_evento").agg(
+        F.sum("n").alias("n"), F.max("ultimo").alias("ultimo"), F.sum("buscas").alias("buscas"), F.sum("views").alias("views"))
+    ea = per_day.groupBy("_ea_id").agg(
+        F.sum("n").alias("ea_total"), F.count("dia_evento").alias("ea_dias"), F.max("ultimo").alias("ultimo_evento"),
+        F.sum("buscas").alias("ea_buscas"), F.sum("views").alias("ea_views"))
     j = e.join(oh, e.empresa_id == oh._oh_id, "left").join(ea, e.empresa_id == ea._ea_id, "left")
     now = as_of_ts(as_of or m.as_of)
     total = F.coalesce(F.col("oh_total"), F.lit(0))
@@ -316,10 +317,15 @@ def int_match_pairs(m: Marketplace) -> DataFrame:
     q = F.coalesce(F.col("avaliacao_nota_qualidade").cast("decimal(8,3)"), F.col("_o_sq") * half)
     pt = F.coalesce(F.col("avaliacao_nota_pontualidade").cast("decimal(8,3)"), F.col("_o_sp") * half)
     # Nth match of the (brand, workshop) pair, numbered without a per-pair window so a
-    # hot pair is spread over many tasks (exact; ties broken by order id, then rating id)
-    j = ranks.grouped_row_number(j, ["empresa_id", "oficina_id"],
-                                 [F.col("dt_criacao"), F.col("pedido_id"), F.col("_a_id").asc_nulls_first()],
-                                 "numero_match_no_par")
+    # hot pair is spread over many tasks (exact; ties broken by order id, then rating id). Only the keys are
+    # sorted; the number meets the wide rows by (order, rating), which is unique.
+    keys = p.join(a, (p.pedido_id == a._a_pedido) & (a._a_of == p.oficina_id), "left").select(
+        "empresa_id", "oficina_id", "dt_criacao", "pedido_id", "_a_id")
+    nth = ranks.grouped_row_number(keys, ["empresa_id", "oficina_id"],
+                                   [F.col("dt_criacao"), F.col("pedido_id"), F.col("_a_id").asc_nulls_first()],
+                                   "numero_match_no_par").select(
+        F.col("pedido_id").alias("_n_pedido"), F.coalesce(F.col("_a_id"), F.lit("")).alias("_n_a"), "numero_match_no_par")
+    j = j.join(nth, (F.col("pedido_id") == F.col("_n_pedido")) & (F.coalesce(F.col("_a_id"), F.lit("")) == F.col("_n_a")))
     return j.select(
         "pedido_id", "empresa_id", "oficina_id", "empresa_nome", "empresa_estado", "empresa_segmento",
         "empresa_porte", "oficina_nome", "oficina_estado", "oficina_tier", "oficina_score_no_match",
@@ -360,9 +366,13 @@ def int_daily_platform_snapshot(m: Marketplace, as_of: str | None = None) -> Dat
         F.sum("taxa_plataforma").alias("pg_taxa"), F.sum("valor_liquido").alias("pg_liq"))
     dpr = S.stg_propostas(m).groupBy(day("dt_envio").alias("_pr_dia")).agg(
         F.count(F.lit(1)).alias("pr_n"), count_if(F.col("foi_aceita")).alias("pr_acc"))
-    de = S.stg_eventos_plataforma(m).groupBy(day("dia_evento").alias("_ev_dia")).agg(
-        F.count(F.lit(1)).alias("ev_n"), F.countDistinct("usuario_id").alias("ev_users"),
-        F.countDistinct("session_id").alias("ev_sess"))
+    # exact distinct users and sessions from one narrow grouping (two distincts in one aggregate would expand the raw log)
+    seen = S.stg_eventos_plataforma(m).groupBy(day("dia_evento").alias("_ev_dia"), "usuario_id", "session_id").agg(F.count(F.lit(1)).alias("n"))
+    users = seen.groupBy("_ev_dia", "usuario_id").agg(F.sum("n").alias("n")).groupBy("_ev_dia").agg(
+        F.sum("n").alias("ev_n"), F.count("usuario_id").alias("ev_users"))
+    sess = seen.groupBy("_ev_dia", "session_id").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("_ev_dia").alias("_es_dia")).agg(
+        F.count("session_id").alias("ev_sess"))
+    de = users.join(sess, users._ev_dia == sess._es_dia)  # a row a day
     first_day = p.agg(F.min(day("dt_criacao")).alias("d0"))
     spine = first_day.select(F.explode(F.sequence(F.col("d0"), as_of_date(as_of or m.as_of), F.expr("INTERVAL 1 DAY")))
                              .alias("dia"))

@@ -10,6 +10,7 @@ from loomstat.functions.scalar import as_of_ts, days_between, dround, pct, ratio
 from loomstat.operators import intermediate as I
 from loomstat.operators import staging as S
 from loomstat.operators.intermediate import count_if, money_avg, money_div
+from loomstat.session import ensure_checkpoint_dir
 from loomstat.sources.binding import Marketplace
 
 # Fixed values of the scoring mart (weights and bands of the reference).
@@ -39,11 +40,16 @@ def marts_platform_kpis(m: Marketplace, as_of: str | None = None) -> DataFrame:
     p = S.stg_pedidos(m)
     bids = S.stg_propostas(m).groupBy(F.col("pedido_id").alias("_b_id")).agg(F.count(F.lit(1)).alias("_nb"))
     published = (F.col("status") == "publicado") | F.col("data_publicacao").isNotNull()
-    ma = (p.join(bids, p.pedido_id == bids._b_id, "left")
-          .groupBy(F.date_trunc("month", "dt_criacao").alias("_ma_mes")).agg(
-              F.countDistinct("empresa_id").alias("empresas_com_pedido"),
-              F.countDistinct(F.when(F.col("foi_matched"), F.col("oficina_id"))).alias("oficinas_com_pedido"),
-              count_if(published & (F.col("_nb") >= 1)).alias("publicados_com_proposta")))
+    # orders reduced to (month, brand, matched workshop); from there distinct brands and workshops are row counts
+    narrow = (p.join(bids, p.pedido_id == bids._b_id, "left")
+              .groupBy(F.date_trunc("month", "dt_criacao").alias("_m"), "empresa_id",
+                       F.when(F.col("foi_matched"), F.col("oficina_id")).alias("_of"))
+              .agg(count_if(published & (F.col("_nb") >= 1)).alias("n")))
+    brands = narrow.groupBy("_m", "empresa_id").agg(F.sum("n").alias("n")).groupBy(F.col("_m").alias("_ma_mes")).agg(
+        F.count("empresa_id").alias("empresas_com_pedido"), F.sum("n").alias("publicados_com_proposta"))
+    shops = narrow.groupBy("_m", "_of").agg(F.sum("n").alias("n")).groupBy(F.col("_m").alias("_sh_mes")).agg(
+        F.count("_of").alias("oficinas_com_pedido"))
+    ma = brands.join(shops, brands._ma_mes == shops._sh_mes)  # a row a month
     j = mb.join(ma, mb.mes == ma._ma_mes, "left")
     w = Window.orderBy("mes")
     gmv, prev_gmv = F.col("gmv"), F.lag("gmv").over(w)
@@ -184,7 +190,9 @@ def marts_oficina_scoring(m: Marketplace, as_of: str | None = None) -> DataFrame
         F.when(sc >= 8.5, "elite").when(sc >= 7.0, "premium").when(sc >= 5.0, "standard").otherwise("basico")
         .alias("ranking_tier"),
     )
-    out = ranks.percent_rank_by_value(scored, "score_composto", "_pr")
+    # the I2 chain runs once: scores are written before they are counted and ranked
+    ensure_checkpoint_dir(m.spark)
+    out = ranks.percent_rank_by_value(scored.checkpoint(eager=True), "score_composto", "_pr")
     return out.withColumn("percentil_rank", F.col("_pr") * F.lit(100.0)).drop("_pr")
 
 
@@ -204,9 +212,14 @@ def marts_empresa_clv(m: Marketplace, as_of: str | None = None) -> DataFrame:
         F.max(F.when(fin, F.col("dt_criacao"))).alias("last_order_date"),
         (days_between(F.max("dt_criacao"), F.min("dt_criacao")) / F.lit(30.0)).alias("age_months"),
     ).where(F.col("frequency") > 0)
-    rs = ranks.ntile(rfm, 5, [F.col("recency_days").desc(), F.col("empresa_id").asc()], "r_score")
-    rs = ranks.ntile(rs, 5, [F.col("frequency").asc(), F.col("empresa_id").asc()], "f_score")
-    rs = ranks.ntile(rs, 5, [F.col("monetary_avg").asc_nulls_last(), F.col("empresa_id").asc()], "m_score")
+    ensure_checkpoint_dir(m.spark)
+    rfm = rfm.checkpoint(eager=True)
+    rs = rfm
+    for column, order, score in (("recency_days", F.col("recency_days").desc(), "r_score"), ("frequency", F.col("frequency").asc(), "f_score"),
+                                 ("monetary_avg", F.col("monetary_avg").asc_nulls_last(), "m_score")):
+        # only (value, id) is sorted; the score meets the summary by the id
+        part = ranks.ntile(rfm.select(column, "empresa_id"), 5, [order, F.col("empresa_id").asc()], score)
+        rs = rs.join(part.select(F.col("empresa_id").alias("_" + score), score), F.col("empresa_id") == F.col("_" + score))
     r, f_, mo = F.col("r_score"), F.col("f_score"), F.col("m_score")
     rec, freq, age = F.col("recency_days"), F.col("frequency"), F.col("age_months")
     rfm_score = dround(r * F.lit(0.3) + f_ * F.lit(0.4) + mo * F.lit(0.3), 2)

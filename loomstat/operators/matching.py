@@ -82,8 +82,8 @@ def score_pairs(pairs: DataFrame, orders: DataFrame, supply: DataFrame, regions:
                       F.when(F.coalesce(F.col("quantidade_total"), F.lit(0)) == 0, F.lit(100))
                       .otherwise(F.col("quantidade_total")).alias("_qty"))
     j = (pairs.select("pedido_id", "oficina_id").join(o, "pedido_id").join(terms, "oficina_id")
-         .join(F.broadcast(reg_o), F.col("_ostate") == F.col("_os"), "left")
-         .join(F.broadcast(reg_w), F.col("estado") == F.col("_ws"), "left"))
+         .join(reg_o, F.col("_ostate") == F.col("_os"), "left")
+         .join(reg_w, F.col("estado") == F.col("_ws"), "left"))
     geo = geo_score(F.col("_ostate"), F.col("_oreg"), F.col("estado"), F.col("_wreg"))
     cap = capacity_score(F.col("_qty"), F.col("capacidade_mensal_pecas"))
     total = (F.col("quality_score") * WEIGHTS["quality"] + F.col("punctuality_score") * WEIGHTS["punctuality"]

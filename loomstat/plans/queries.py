@@ -157,6 +157,8 @@ for _name, _fn, _sql in [
     ("R1_compute_scores", lambda m: A.compute_scores(A.scoring_input(m)), "SELECT * FROM r_scores"),
     ("R2_ranked_oficinas", lambda m: A.ranked_oficinas(A.scoring_input(m), None, 0.0, 50),
      "SELECT * FROM r_scores WHERE score_composto >= 0 ORDER BY score_composto DESC, oficina_id LIMIT 50"),
+    ("R2_ranked_oficinas_filtered", lambda m: A.ranked_oficinas(A.scoring_input(m), "NATION_9", 7.1, 20),
+     "SELECT * FROM r_scores WHERE estado = 'NATION_9' AND score_composto >= 7.1 ORDER BY score_composto DESC, oficina_id LIMIT 20"),
     ("R3_explain_scores", lambda m: A.explain_scores(A.scoring_input(m)), "SELECT * FROM r_explain"),
     ("R4_compare_weights", lambda m: A.compare_weights(A.scoring_input(m), A.ScoringWeights(0.20, 0.20, 0.20, 0.20,
                                                                                             0.10, 0.10)),
@@ -210,6 +212,8 @@ for _name, _fn, _key in [
     ("D10_tier_counts", lambda m: D.tier_counts(M.marts_oficina_scoring(m)), "D10"),
     ("D11_workshops_by_state", lambda m: D.workshops_by_state(M.marts_oficina_scoring(m)), "D11"),
     ("D12_ranked_workshops", lambda m: D.ranked_workshops(M.marts_oficina_scoring(m)), "D12"),
+    ("D12_ranked_workshops_filtered", lambda m: D.ranked_workshops(
+        M.marts_oficina_scoring(m), ["premium", "elite"], (7.02, 7.12), ["NATION_9", "NATION_11", "NATION_19", "NATION_6"], 100), "D12b"),
     ("D14_match_kpis", lambda m: D.match_kpis(M.marts_match_quality(m)), "D14"),
     ("D15_matches_by_geo", lambda m: D.matches_by_geo(M.marts_match_quality(m)), "D15"),
     ("D16_matched_gmv_by_state", lambda m: D.matched_gmv_by_state(M.marts_match_quality(m)), "D16"),
@@ -253,6 +257,12 @@ def g2(m):
     return GR.recommendations(D.open_orders(m), D.available_oficinas(m), regions, top_n=5)
 
 
+@register("G1_score_bids", "SELECT * FROM g_bid_scores")
+def g1(m):
+    regions = G.region_table_from_nations(m.raw("nation"), m.raw("region"))
+    return G.score_pairs(S.stg_propostas(m), D.open_orders(m), D.available_oficinas(m), regions)
+
+
 # ---------------------------------------------------------------- V2-V5, V7: CLV model (no SQL form: rows-only checks)
 from pyspark.sql import functions as _F  # noqa: E402
 
@@ -300,6 +310,31 @@ register("V2_bgnbd_loglik_fixed", "SELECT * FROM v_bgnbd_loglik")(
         _F.lit(_O.V6_PARAMS[1]), _F.lit(_O.V6_PARAMS[2]), _F.lit(_O.V6_PARAMS[3])) * 1e6) / 1e6).alias("loglik")))(
         V.rfm_summary(V.transactions(m))))
 register("V3_fit_gamma_gamma")(_v3)
+
+
+def _rfm(m):
+    return V.rfm_summary(V.transactions(m))
+
+
+def _clv_fixed(m):
+    return V.predict_clv(_rfm(m), V.BGNBDParams(*_O.V6_PARAMS), V.GGParams(*_O.GG_PARAMS), months=12, discount_rate=0.01)
+
+
+@register("V3_gg_loglik_fixed", "SELECT * FROM v_gg_loglik")
+def v3_fixed(m):
+    buyers = _rfm(m).where((_F.col("frequency") > 0) & (_F.col("monetary_value") > 0))
+    ll = V.gg_loglik(_F.col("frequency"), _F.col("monetary_value"), *[_F.lit(p) for p in _O.GG_PARAMS])
+    return buyers.select("empresa_id", (_F.round(ll * 1e6) / 1e6).alias("loglik"))
+
+
+@register("V5_expected_purchases_fixed", "SELECT * FROM v_expected_30d")
+def v5_fixed(m):
+    e = V.expected_purchases(_rfm(m), V.BGNBDParams(*_O.V6_PARAMS), 30)
+    return e.select("empresa_id", (_F.round(_F.col("expected_purchases") * 1e6) / 1e6).alias("expected_purchases"))
+
+
+register("V4_predict_clv_fixed", "SELECT * FROM v_clv")(_clv_fixed)
+register("V7_segment_by_clv_fixed", "SELECT * FROM v_clv_segments")(lambda m: V.segment_by_clv(_clv_fixed(m), 12, 4))
 register("V4_predict_clv")(_v4)
 register("V5_expected_purchases_30d")(
     lambda m: V.expected_purchases(_fit_cache(m, "rfm"), _fit_cache(m, "bg")[0], 30))
