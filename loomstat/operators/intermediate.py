@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loomstat.functions import ranks
 from loomstat.functions.scalar import as_of_date, as_of_ts, days_between, dow_sunday0, dround, pct, ratio, to_int_rounded
 from loomstat.operators import staging as S
+from loomstat.operators.model import built
 from loomstat.sources.binding import Marketplace
 
 # The reference's "south" states for the geography class of a match.
@@ -37,6 +38,7 @@ def money_div(num: F.Column, den: F.Column, scale: int = 2) -> F.Column:
 
 
 # ------------------------------------------------------------------ I1
+@built
 def int_pedidos_enriched(m: Marketplace) -> DataFrame:
     p = S.stg_pedidos(m)
     e = S.stg_empresas(m).select(
@@ -87,6 +89,7 @@ def int_pedidos_enriched(m: Marketplace) -> DataFrame:
 
 
 # ------------------------------------------------------------------ I2
+@built
 def int_oficina_performance(m: Marketplace, as_of: str | None = None, reference_quirks: bool = False) -> DataFrame:
     """Workshop performance on the workshop spine.
 
@@ -182,6 +185,7 @@ def int_oficina_performance(m: Marketplace, as_of: str | None = None, reference_
 
 
 # ------------------------------------------------------------------ I3
+@built
 def int_empresa_activity(m: Marketplace, as_of: str | None = None) -> DataFrame:
     """Brand activity. Repeat orders: the reference numbers each brand's non-cancelled
     orders with ROW_NUMBER and counts ranks > 1, which is exactly (n - 1); computing
@@ -248,6 +252,7 @@ def int_empresa_activity(m: Marketplace, as_of: str | None = None) -> DataFrame:
 
 
 # ------------------------------------------------------------------ I4
+@built
 def int_funnel_stages(m: Marketplace, as_of: str | None = None) -> DataFrame:
     """Funnel stage timestamps per brand. The correlated "second completed order"
     (F9) is two aggregations: first completion per brand, then the earliest
@@ -291,6 +296,7 @@ def int_funnel_stages(m: Marketplace, as_of: str | None = None) -> DataFrame:
 
 
 # ------------------------------------------------------------------ I5
+@built
 def int_match_pairs(m: Marketplace) -> DataFrame:
     """One row per matched order × its ratings of the matched workshop (the left
     join fans out when an order has several such ratings, as in the reference)."""
@@ -341,6 +347,7 @@ def int_match_pairs(m: Marketplace) -> DataFrame:
 
 
 # ------------------------------------------------------------------ I6
+@built
 def int_daily_platform_snapshot(m: Marketplace, as_of: str | None = None) -> DataFrame:
     """Daily platform metrics on a calendar spine (first order day .. as_of).
     The spine and the 7-day window are one row per day: bounded by the calendar,

@@ -11,6 +11,7 @@ from loomstat.operators import intermediate as I
 from loomstat.operators import staging as S
 from loomstat.operators.intermediate import count_if, money_avg, money_div
 from loomstat.session import ensure_checkpoint_dir
+from loomstat.operators.model import built
 from loomstat.sources.binding import Marketplace
 
 # Fixed values of the scoring mart (weights and bands of the reference).
@@ -25,6 +26,7 @@ def _month_label(c):
 
 
 # ------------------------------------------------------------------ M1
+@built
 def marts_platform_kpis(m: Marketplace, as_of: str | None = None) -> DataFrame:
     """Monthly KPIs. ``liquidez_pct`` follows the glossary definition (published orders
     with at least one bid); the reference computes it with the match-rate formula,
@@ -79,6 +81,7 @@ def marts_platform_kpis(m: Marketplace, as_of: str | None = None) -> DataFrame:
 
 
 # ------------------------------------------------------------------ M2
+@built
 def marts_customer_journey(m: Marketplace, as_of: str | None = None) -> DataFrame:
     """Funnel per signup cohort. Medians are exact (``percentile_cont``) and computed
     from per-cohort histograms of the day counts, so a large cohort is not one task."""
@@ -121,6 +124,7 @@ def marts_customer_journey(m: Marketplace, as_of: str | None = None) -> DataFram
 
 
 # ------------------------------------------------------------------ M3
+@built
 def marts_cohort_analysis(m: Marketplace) -> DataFrame:
     """Monthly retention cohorts (the flagship query).
 
@@ -157,6 +161,7 @@ def m4_composite(prefix: str = "") -> F.Column:
     return dround(total * F.lit(2.0), 2)
 
 
+@built
 def marts_oficina_scoring(m: Marketplace, as_of: str | None = None) -> DataFrame:
     """Composite workshop score (1–5 dimensions, ×2). Because I2 keeps NULL for
     workshops without ratings or bids, the reference's own defaults apply here
@@ -197,6 +202,7 @@ def marts_oficina_scoring(m: Marketplace, as_of: str | None = None) -> DataFrame
 
 
 # ------------------------------------------------------------------ M5
+@built
 def marts_empresa_clv(m: Marketplace, as_of: str | None = None) -> DataFrame:
     """RFM + heuristic CLV. The three quintiles are exact NTILE(5) computed as
     distributed global row numbers (ties broken by brand id)."""
@@ -250,6 +256,7 @@ def marts_empresa_clv(m: Marketplace, as_of: str | None = None) -> DataFrame:
 
 
 # ------------------------------------------------------------------ M6
+@built
 def marts_match_quality(m: Marketplace) -> DataFrame:
     mp = I.int_match_pairs(m)
     ps = mp.groupBy("empresa_estado", "oficina_estado", "tipo_match_geografico", "empresa_segmento",
@@ -274,6 +281,7 @@ def marts_match_quality(m: Marketplace) -> DataFrame:
 
 
 # ------------------------------------------------------------------ M7
+@built
 def marts_revenue_analytics(m: Marketplace, as_of: str | None = None, reference_quirks: bool = False) -> DataFrame:
     """Revenue by payment month. Two-level aggregation: (month, method) then month;
     the monthly take rate is the unweighted mean over methods, as in the reference.
@@ -323,6 +331,7 @@ def marts_revenue_analytics(m: Marketplace, as_of: str | None = None, reference_
 
 
 # ------------------------------------------------------------------ M8
+@built
 def marts_geographic_analysis(m: Marketplace, as_of: str | None = None) -> DataFrame:
     """Supply–demand balance per state. Orders are pre-aggregated per brand and
     certificates per workshop before the state-level aggregation, so the distinct
@@ -382,6 +391,7 @@ def marts_geographic_analysis(m: Marketplace, as_of: str | None = None) -> DataF
 
 
 # ------------------------------------------------------------------ M9
+@built
 def v_platform_summary(m: Marketplace, as_of: str | None = None) -> DataFrame:
     """One-row health snapshot: global aggregates over the source tables as scalar subqueries (A10)."""
     e = m.empresas.where(F.col("deleted_at").isNull() & F.col("ativo")).agg(F.count(F.lit(1))).scalar()

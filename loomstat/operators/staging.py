@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomstat.functions.scalar import (array_length_pg, as_of_date, as_of_ts, date_diff_days, days_between,
                                        digits_only, dow_sunday0, dround, hours_between, null_safe_flag, pct,
                                        ratio, to_int_rounded)
+from loomstat.operators.model import built
 from loomstat.sources.binding import Marketplace
 
 # Fixed values (enumerations of the source model, in the reference's order).
@@ -38,6 +39,7 @@ def _registration_status() -> F.Column:
             .otherwise("ativo"))
 
 
+@built
 def stg_empresas(m: Marketplace) -> DataFrame:
     """P1."""
     e = m.empresas
@@ -62,6 +64,7 @@ def stg_empresas(m: Marketplace) -> DataFrame:
     )
 
 
+@built
 def stg_oficinas(m: Marketplace) -> DataFrame:
     """P2."""
     o = m.oficinas
@@ -93,6 +96,7 @@ def stg_oficinas(m: Marketplace) -> DataFrame:
     )
 
 
+@built
 def stg_usuarios(m: Marketplace, as_of: str | None = None) -> DataFrame:
     """P3."""
     u = m.usuarios
@@ -119,6 +123,7 @@ def stg_usuarios(m: Marketplace, as_of: str | None = None) -> DataFrame:
     )
 
 
+@built
 def stg_pedidos(m: Marketplace) -> DataFrame:
     """P4. Derived columns test the *raw* money columns before they are coalesced
     (one ``select``: a same-named output column never shadows the input)."""
@@ -167,6 +172,7 @@ def _live_orders(m: Marketplace) -> DataFrame:
         F.col("quantidade_total").alias("_p_qty"), F.col("data_publicacao").alias("_p_pub"))
 
 
+@built
 def stg_pedido_items(m: Marketplace) -> DataFrame:
     """P5 (inner join to live orders)."""
     it = m.pedido_items.join(_live_orders(m).select("_p_id"), F.col("pedido_id") == F.col("_p_id"))
@@ -183,6 +189,7 @@ def stg_pedido_items(m: Marketplace) -> DataFrame:
     )
 
 
+@built
 def stg_propostas(m: Marketplace) -> DataFrame:
     """P6 (inner join to live orders)."""
     pr = m.propostas.join(_live_orders(m), F.col("pedido_id") == F.col("_p_id"))
@@ -206,6 +213,7 @@ def stg_propostas(m: Marketplace) -> DataFrame:
     )
 
 
+@built
 def stg_producao(m: Marketplace) -> DataFrame:
     """P7."""
     pr = m.producao
@@ -229,6 +237,7 @@ def stg_producao(m: Marketplace) -> DataFrame:
     )
 
 
+@built
 def stg_avaliacoes(m: Marketplace, positive_from: int = 5) -> DataFrame:
     """P8. ``positive_from`` = 5 reproduces the reference, where a grade of 4 is 'negativo'."""
     a = m.avaliacoes
@@ -254,6 +263,7 @@ def stg_avaliacoes(m: Marketplace, positive_from: int = 5) -> DataFrame:
     )
 
 
+@built
 def stg_certificacoes(m: Marketplace, as_of: str | None = None) -> DataFrame:
     """P9."""
     c = m.certificacoes
@@ -276,6 +286,7 @@ def stg_certificacoes(m: Marketplace, as_of: str | None = None) -> DataFrame:
     )
 
 
+@built
 def stg_pagamentos(m: Marketplace, as_of: str | None = None) -> DataFrame:
     """P10."""
     pg = m.pagamentos
@@ -303,6 +314,7 @@ def stg_pagamentos(m: Marketplace, as_of: str | None = None) -> DataFrame:
     )
 
 
+@built
 def stg_eventos_plataforma(m: Marketplace) -> DataFrame:
     """P11."""
     e = m.eventos_plataforma

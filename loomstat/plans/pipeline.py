@@ -2,20 +2,22 @@
 
 Each model declares the models it reads; the order is derived (topological sort), not
 written by hand. Every model is registered as a temporary view; with ``out_dir`` it is
-also written as Parquet (marts with a month column partitioned by it), so reports read
-materialised marts instead of recomputing the chain. The run stops at the first error.
+also written as Parquet (marts with a month column partitioned by it), and the models
+after it and the reports read the written table. The run stops at the first error.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from loomstat.operators import intermediate as I
 from loomstat.operators import marts as M
 from loomstat.operators import staging as S
+from loomstat.sources import io
 from loomstat.sources.binding import Marketplace
 
 
@@ -80,21 +82,71 @@ def build_order(only: list[str] | None = None) -> list[str]:
     return order
 
 
-def run_all(m: Marketplace, out_dir: str | None = None, only: list[str] | None = None) -> list[tuple[str, str]]:
-    """Build models in dependency order; register views; optionally publish. Stops at the
-    first error and re-raises it with the model's name."""
+class QualityGate(RuntimeError):
+    """The loaded source tables miss rows or hold orphans."""
+
+
+def check_load(m: Marketplace) -> None:
+    """Q1 and Q2 as a gate: raise if a source table has fewer rows than its input asks for, or a foreign key dangles."""
+    from loomstat.operators import quality as Q
+
+    short = Q.row_counts(m).where("NOT passed").select("table_name").collect()  # at most a row a table
+    orphans = Q.referential_integrity(m).where("violations > 0").select("rule").collect()  # at most a row a key
+    if short or orphans:
+        raise QualityGate(f"incomplete tables {[r[0] for r in short]}, orphans {[r[0] for r in orphans]}")
+
+
+def write_model(m: Marketplace, name: str, path: str) -> DataFrame:
+    """Build one model, write it (partitioned by month where it says so) and let later models read the written table."""
+    model = BY_NAME[name]
+    df = model.build(m)
+    io.publish(df, path, list(model.partition_by))
+    # a month is read back from its folder name; the columns keep their order
+    m.models[name] = m.spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    return m.models[name]
+
+
+def run_all(m: Marketplace, out_dir: str | None = None, only: list[str] | None = None, gate: bool = True,
+            keep: int = 2) -> list[tuple[str, str]]:
+    """Build models in dependency order and register them as views. With ``out_dir`` the load is checked (Q1, Q2), every
+    model is written to a new run folder and read from there by the models after it, and only when all are written the
+    pointer file moves to the run; readers of the old run are not disturbed. Runs before the last ``keep`` are removed.
+    Stops at the first error and re-raises it with the model's name."""
+    import uuid
+
+    if out_dir and gate:
+        check_load(m)
+    run = f"{time.strftime('%Y%m%dT%H%M%S', time.gmtime())}-{uuid.uuid4().hex[:8]}"
     done = []
     for name in build_order(only):
-        model = BY_NAME[name]
         try:
-            df = model.build(m)
+            df = write_model(m, name, f"{out_dir.rstrip('/')}/runs/{run}/{name}") if out_dir else BY_NAME[name].build(m)
             df.createOrReplaceTempView(name)
-            if out_dir:
-                w = df.write.mode("overwrite")
-                if model.partition_by:
-                    w = w.partitionBy(*model.partition_by)
-                w.parquet(f"{out_dir.rstrip('/')}/{name}")
         except Exception as exc:  # stop on the first failing model
             raise RuntimeError(f"model {name} failed: {exc}") from exc
         done.append((name, "published" if out_dir else "view"))
+    if out_dir:
+        _point(m.spark, out_dir.rstrip("/"), run, keep)
     return done
+
+
+def _point(spark: SparkSession, out_dir: str, run: str, keep: int) -> None:
+    """Move the pointer ``current`` to ``run`` (written aside, then renamed) and remove old runs."""
+    jvm = spark._jvm
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(f"{out_dir}/{p}")
+    fs = path("runs").getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = path(f"current-{run}")
+    out = fs.create(aside, True)
+    out.write(run.encode())
+    out.close()
+    fs.delete(path("current"), False)
+    fs.rename(aside, path("current"))
+    runs = sorted(f.getPath().getName() for f in fs.listStatus(path("runs")))
+    for old in runs[:-keep]:
+        fs.delete(path(f"runs/{old}"), True)
+
+
+def published(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
+    """A model of the run that the pointer names."""
+    run = spark.read.text(f"{out_dir.rstrip('/')}/current").first()[0]
+    return spark.read.parquet(f"{out_dir.rstrip('/')}/runs/{run}/{name}")

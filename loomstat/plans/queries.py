@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loomstat.operators import staging as S
-from loomstat.plans.registry import register
+from loomstat.plans.registry import mart, register
 
 # ---------------------------------------------------------------- P: staging
 # Raw array columns are published as their lengths only (the arrays themselves
@@ -122,7 +122,7 @@ from loomstat.operators import analytics as A  # noqa: E402
 
 
 def _funnel(m):
-    return I.int_funnel_stages(m)
+    return mart(m, "int_funnel_stages")
 
 
 #: Columns of the cohort matrices: months since sign-up. The orders span 1992 to 1998 and sign-up is a brand's first order.
@@ -134,8 +134,13 @@ def _matrix_sql(aggregate: str, close: str = "") -> str:
     return f"SELECT cohort_label, {cells} FROM marts_cohort_analysis GROUP BY cohort_label"
 
 
+def _scoring(m):
+    mart(m, "int_oficina_performance")
+    return A.scoring_input(m)
+
+
 def _cohorts(m):
-    return M.marts_cohort_analysis(m)
+    return mart(m, "marts_cohort_analysis")
 
 
 for _name, _fn, _sql in [
@@ -154,16 +159,16 @@ for _name, _fn, _sql in [
     ("K4_cohort_summary", lambda m: A.cohort_summary(_cohorts(m)), "SELECT * FROM k_cohort_summary"),
     ("K5_ltv_by_cohort", lambda m: A.ltv_by_cohort(_cohorts(m), 12), "SELECT * FROM k_ltv_by_cohort"),
     ("K6_best_and_worst_cohorts", lambda m: A.best_and_worst_cohorts(_cohorts(m)), "SELECT * FROM k_best_worst"),
-    ("R1_compute_scores", lambda m: A.compute_scores(A.scoring_input(m)), "SELECT * FROM r_scores"),
-    ("R2_ranked_oficinas", lambda m: A.ranked_oficinas(A.scoring_input(m), None, 0.0, 50),
+    ("R1_compute_scores", lambda m: A.compute_scores(_scoring(m)), "SELECT * FROM r_scores"),
+    ("R2_ranked_oficinas", lambda m: A.ranked_oficinas(_scoring(m), None, 0.0, 50),
      "SELECT * FROM r_scores WHERE score_composto >= 0 ORDER BY score_composto DESC, oficina_id LIMIT 50"),
-    ("R2_ranked_oficinas_filtered", lambda m: A.ranked_oficinas(A.scoring_input(m), "NATION_9", 7.1, 20),
+    ("R2_ranked_oficinas_filtered", lambda m: A.ranked_oficinas(_scoring(m), "NATION_9", 7.1, 20),
      "SELECT * FROM r_scores WHERE estado = 'NATION_9' AND score_composto >= 7.1 ORDER BY score_composto DESC, oficina_id LIMIT 20"),
-    ("R3_explain_scores", lambda m: A.explain_scores(A.scoring_input(m)), "SELECT * FROM r_explain"),
-    ("R4_compare_weights", lambda m: A.compare_weights(A.scoring_input(m), A.ScoringWeights(0.20, 0.20, 0.20, 0.20,
+    ("R3_explain_scores", lambda m: A.explain_scores(_scoring(m)), "SELECT * FROM r_explain"),
+    ("R4_compare_weights", lambda m: A.compare_weights(_scoring(m), A.ScoringWeights(0.20, 0.20, 0.20, 0.20,
                                                                                             0.10, 0.10)),
      "SELECT *, rank_current - rank_alt AS rank_delta FROM r_compare"),
-    ("R5_tier_distribution", lambda m: A.tier_distribution(A.scoring_input(m)), "SELECT * FROM r_tiers"),
+    ("R5_tier_distribution", lambda m: A.tier_distribution(_scoring(m)), "SELECT * FROM r_tiers"),
 ]:
     register(_name, _sql)(_fn)
 
@@ -197,30 +202,30 @@ def _gaps(m):
 register("G4_supply_demand_gaps", "SELECT * FROM g_gaps")(_gaps)
 
 for _name, _fn, _key in [
-    ("D1_headline_totals", lambda m: D.headline_totals(M.marts_platform_kpis(m)), "D1"),
-    ("D2_latest_vs_previous", lambda m: D.latest_vs_previous(M.marts_platform_kpis(m)), "D2"),
-    ("D3_order_stages_by_month", lambda m: D.order_stages_by_month(M.marts_platform_kpis(m)), "D3"),
-    ("D4_last_six_months", lambda m: D.last_months(M.marts_platform_kpis(m), 6), "D4"),
-    ("D5_demand_kpis", lambda m: D.demand_kpis(M.marts_empresa_clv(m)), "D5"),
-    ("D7_recency_frequency", lambda m: D.recency_frequency(M.marts_empresa_clv(m)), "D7"),
-    ("D13_journey_kpis", lambda m: D.journey_kpis(A.funnel_summary(I.int_funnel_stages(m))), "D13"),
-    ("S6_kpis_between_months", lambda m: _io.between_months(M.marts_platform_kpis(m), "mes", "1998-01-01",
+    ("D1_headline_totals", lambda m: D.headline_totals(mart(m, "marts_platform_kpis")), "D1"),
+    ("D2_latest_vs_previous", lambda m: D.latest_vs_previous(mart(m, "marts_platform_kpis")), "D2"),
+    ("D3_order_stages_by_month", lambda m: D.order_stages_by_month(mart(m, "marts_platform_kpis")), "D3"),
+    ("D4_last_six_months", lambda m: D.last_months(mart(m, "marts_platform_kpis"), 6), "D4"),
+    ("D5_demand_kpis", lambda m: D.demand_kpis(mart(m, "marts_empresa_clv")), "D5"),
+    ("D7_recency_frequency", lambda m: D.recency_frequency(mart(m, "marts_empresa_clv")), "D7"),
+    ("D13_journey_kpis", lambda m: D.journey_kpis(A.funnel_summary(mart(m, "int_funnel_stages"))), "D13"),
+    ("S6_kpis_between_months", lambda m: _io.between_months(mart(m, "marts_platform_kpis"), "mes", "1998-01-01",
                                                            "1999-12-01"), "S6"),
-    ("D6_brands_per_segment", lambda m: D.brands_per_segment(M.marts_empresa_clv(m)), "D6"),
-    ("D8_top_brands_by_clv", lambda m: D.top_brands_by_clv(M.marts_empresa_clv(m), 50), "D8"),
-    ("D9_supply_kpis", lambda m: D.supply_kpis(M.marts_oficina_scoring(m)), "D9"),
-    ("D10_tier_counts", lambda m: D.tier_counts(M.marts_oficina_scoring(m)), "D10"),
-    ("D11_workshops_by_state", lambda m: D.workshops_by_state(M.marts_oficina_scoring(m)), "D11"),
-    ("D12_ranked_workshops", lambda m: D.ranked_workshops(M.marts_oficina_scoring(m)), "D12"),
+    ("D6_brands_per_segment", lambda m: D.brands_per_segment(mart(m, "marts_empresa_clv")), "D6"),
+    ("D8_top_brands_by_clv", lambda m: D.top_brands_by_clv(mart(m, "marts_empresa_clv"), 50), "D8"),
+    ("D9_supply_kpis", lambda m: D.supply_kpis(mart(m, "marts_oficina_scoring")), "D9"),
+    ("D10_tier_counts", lambda m: D.tier_counts(mart(m, "marts_oficina_scoring")), "D10"),
+    ("D11_workshops_by_state", lambda m: D.workshops_by_state(mart(m, "marts_oficina_scoring")), "D11"),
+    ("D12_ranked_workshops", lambda m: D.ranked_workshops(mart(m, "marts_oficina_scoring")), "D12"),
     ("D12_ranked_workshops_filtered", lambda m: D.ranked_workshops(
-        M.marts_oficina_scoring(m), ["premium", "elite"], (7.02, 7.12), ["NATION_9", "NATION_11", "NATION_19", "NATION_6"], 100), "D12b"),
-    ("D14_match_kpis", lambda m: D.match_kpis(M.marts_match_quality(m)), "D14"),
-    ("D15_matches_by_geo", lambda m: D.matches_by_geo(M.marts_match_quality(m)), "D15"),
-    ("D16_matched_gmv_by_state", lambda m: D.matched_gmv_by_state(M.marts_match_quality(m)), "D16"),
-    ("D17_gap_by_state", lambda m: D.gap_by_state(M.marts_geographic_analysis(m), _gaps(m)), "D17"),
-    ("D18_financial_kpis", lambda m: D.financial_kpis(M.marts_revenue_analytics(m)), "D18"),
-    ("D18_gmv_mom", lambda m: D.gmv_mom(M.marts_revenue_analytics(m)), "D18b"),
-    ("D19_payment_mix", lambda m: D.payment_mix(M.marts_revenue_analytics(m)), "D19"),
+        mart(m, "marts_oficina_scoring"), ["premium", "elite"], (7.02, 7.12), ["NATION_9", "NATION_11", "NATION_19", "NATION_6"], 100), "D12b"),
+    ("D14_match_kpis", lambda m: D.match_kpis(mart(m, "marts_match_quality")), "D14"),
+    ("D15_matches_by_geo", lambda m: D.matches_by_geo(mart(m, "marts_match_quality")), "D15"),
+    ("D16_matched_gmv_by_state", lambda m: D.matched_gmv_by_state(mart(m, "marts_match_quality")), "D16"),
+    ("D17_gap_by_state", lambda m: D.gap_by_state(mart(m, "marts_geographic_analysis"), _gaps(m)), "D17"),
+    ("D18_financial_kpis", lambda m: D.financial_kpis(mart(m, "marts_revenue_analytics")), "D18"),
+    ("D18_gmv_mom", lambda m: D.gmv_mom(mart(m, "marts_revenue_analytics")), "D18b"),
+    ("D19_payment_mix", lambda m: D.payment_mix(mart(m, "marts_revenue_analytics")), "D19"),
 ]:
     register(_name, _O.REPORTS[_key])(_fn)
 

@@ -52,6 +52,15 @@ def sources(spark: SparkSession, sf_dir: str) -> PublishedMarketplace:
     return _PUBLISHED[key]
 
 
+def mart(m: PublishedMarketplace, name: str) -> DataFrame:
+    """A published model (S7): written beside the source tables when a report first asks for it, read from there after."""
+    from loomstat.plans.pipeline import write_model
+
+    if name not in m.models:
+        write_model(m, name, f"{m.published_path}/models/{name}")
+    return m.models[name]
+
+
 def register(name: str, oracle_final: str | None = None):
     """Decorator: ``fn(marketplace) -> DataFrame`` becomes ``(spark, sf_dir) -> DataFrame``."""
 

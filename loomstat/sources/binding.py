@@ -47,6 +47,7 @@ class Marketplace:
     sf_dir: str
     as_of: str
     _raw: dict = field(default_factory=dict)
+    models: dict = field(default_factory=dict)  # written models by name
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._raw:
