@@ -13,13 +13,13 @@ restricted to band k. Their union contains the exact top-n of the profile.
 
 Band k for quantity q is an interval of capacity c (integer arithmetic, identical to
 the ratio bands of G1). "Top-n by B among workshops of group X with c in [lo, hi)" is a
-range top-n: workshops of X are positioned by (c, id), a segment tree keeps the top-n of
-every dyadic block of positions (each level from the one below, ≤ 2n rows per block, all
-levels in one job, checkpointed once), and an interval is the union of at most two blocks
-per level.
+range top-n: workshops of X are positioned by (c, id), a tree of fan-out 8 keeps the top-n
+of every block of positions (each level from the one below, ≤ 8n rows per block, all
+levels in one job, checkpointed once), and an interval is the union of at most 14 blocks
+per level. The wide fan-out keeps the plan short: a third of the levels of a binary tree.
 
 Work is bounded by (workshops × levels × 3 groups) for the tree and by
-(profiles × 3 groups × 6 bands × 2 blocks per level × n) for candidates; no
+(profiles × 3 groups × 6 bands × 14 blocks per level × n) for candidates; no
 order × workshop product is formed. Ranking is by the unrounded score, ties by id
 (the reference sorts rounded scores with an unstable sort, so its tie order is undefined).
 """
@@ -36,6 +36,7 @@ from loomstat.operators.matching import WEIGHTS, capacity_score, geo_score, work
 
 NEG_INF = -(2 ** 62)
 POS_INF = 2 ** 62
+FAN_BITS = 3  # children of a tree block: 2 ** FAN_BITS
 
 
 def _band_intervals(q: F.Column) -> list[tuple[int, F.Column, F.Column]]:
@@ -65,11 +66,11 @@ def _grouped_positions(long: DataFrame) -> DataFrame:
 
 
 def _segment_tree(pos: DataFrame, n: int, levels: int) -> DataFrame:
-    """Rows (grp, lvl, blk, oficina_id, b_score): the top-n by (b_score desc, id) of every dyadic block."""
+    """Rows (grp, lvl, blk, oficina_id, b_score): the top-n by (b_score desc, id) of every tree block."""
     level = pos.select("grp", F.lit(0).alias("lvl"), F.col("pos").alias("blk"), "oficina_id", "b_score")
     out = [level]
     for lvl in range(1, levels + 1):
-        parent = level.select("grp", F.lit(lvl).alias("lvl"), F.shiftright("blk", 1).alias("blk"), "oficina_id",
+        parent = level.select("grp", F.lit(lvl).alias("lvl"), F.shiftright("blk", FAN_BITS).alias("blk"), "oficina_id",
                               "b_score")
         w = Window.partitionBy("grp", "blk").orderBy(F.col("b_score").desc(), F.col("oficina_id"))
         level = parent.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
@@ -124,7 +125,7 @@ def recommendations(orders: DataFrame, supply: DataFrame, regions: DataFrame, to
             .unionByName(ws.select(F.lit("A").alias("grp"), "c", "oficina_id", "b_score")))
     pos = _grouped_positions(long).checkpoint(eager=True)
     max_group = pos.agg(F.max("_n")).first()[0] or 1
-    levels = max(0, math.ceil(math.log2(max_group)))
+    levels = max(0, math.ceil(math.log2(max_group) / FAN_BITS))
     tree = _segment_tree(pos.select("grp", "pos", "oficina_id", "b_score"), top_n, levels)
 
     # order profiles: (state, quantity); a missing or zero quantity counts as 100 pieces
@@ -148,23 +149,19 @@ def recommendations(orders: DataFrame, supply: DataFrame, regions: DataFrame, to
     lb = _lower_bounds(pos, bounds, qkeys)
     ivals = (lb.groupBy("grp", *key, "band").pivot("side", ["lo", "hi"]).agg(F.first("lb"))
              .withColumnRenamed("lo", "plo").withColumnRenamed("hi", "phi").where(F.col("plo") < F.col("phi")))
-    # canonical dyadic decomposition: at each level, the leftmost and rightmost blocks inside
-    # [plo, phi) whose parent block is not inside
-    lvl = F.col("lvl")
-    size = F.expr("shiftleft(CAST(1 AS BIGINT), lvl)")
-    psize = F.expr("shiftleft(CAST(1 AS BIGINT), lvl + 1)")
+    # canonical decomposition: at each level, the blocks inside [plo, phi) whose parent block is not inside
+    fan = 1 << FAN_BITS
+    size = F.expr(f"shiftleft(CAST(1 AS BIGINT), lvl * {FAN_BITS})")
+    per_lvl = ivals.select(*key, "grp", "plo", "phi", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("lvl"))
+    per_lvl = per_lvl.select("*", F.ceil(F.col("plo") / size).cast("long").alias("l"), F.floor(F.col("phi") / size).cast("long").alias("r"),
+                             F.ceil(F.col("plo") / (size * fan)).cast("long").alias("pl"), F.floor(F.col("phi") / (size * fan)).cast("long").alias("pr"))
 
-    def inside(start, sz):
-        return (start >= F.col("plo")) & (start + sz <= F.col("phi"))
+    def run(lo, hi):  # blocks lo .. hi - 1
+        return F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>"))
 
-    per_lvl = ivals.select(*key, "grp", "plo", "phi", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("lvl"))
-    left = F.ceil(F.col("plo") / size).cast("long")
-    right = (F.floor(F.col("phi") / size) - 1).cast("long")
-    blocks = per_lvl.select(*key, "grp", "lvl", "plo", "phi",
-                            F.explode(F.array_distinct(F.array(left, right))).alias("blk"))
-    start = F.col("blk") * size
-    pstart = F.shiftright("blk", 1) * psize
-    blocks = blocks.where(inside(start, size) & ~((lvl < levels) & inside(pstart, psize)))
+    whole = (F.col("lvl") == levels) | (F.col("pl") >= F.col("pr"))  # no parent inside
+    kept = F.when(whole, run(F.col("l"), F.col("r"))).otherwise(F.concat(run(F.col("l"), F.col("pl") * fan), run(F.col("pr") * fan, F.col("r"))))
+    blocks = per_lvl.select(*key, "grp", "lvl", F.explode(kept).alias("blk"))
     cands = blocks.join(tree, ["grp", "lvl", "blk"]).select(*key, "oficina_id").distinct()
     # exact score of every candidate for its profile, then top-n per profile
     scored = cands.join(profiles, key).join(ws.drop("b_score"), "oficina_id")
