@@ -7,6 +7,7 @@ import time
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstat.sources.io import SCHEMAS
@@ -63,3 +64,65 @@ def test_sessions_and_daily_activity(spark, event_dir):
     d1 = by_day[dt.date(2024, 1, 1)]
     assert d1["total_eventos"] == 4 and d1["usuarios_ativos"] == 2  # late event of user 9 is not counted
     assert dt.date(2024, 1, 4) not in by_day  # window still open at the end of the input
+
+
+def test_open_windows_are_added(spark, event_dir):
+    events = spark.read.schema(SCHEMAS["events"]).parquet(event_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    seen = T.deduplicated_events(_stream(spark, event_dir))
+    on_time = T.run_available_now(seen, spark, "open").cache()
+    daily = T.with_open_days(T.run_available_now(T.daily_activity(_stream(spark, event_dir)), spark, "t4-open"), events)
+    by_day = {r["dia"].date(): r["total_eventos"] for r in daily.collect()}
+    assert by_day == {dt.date(2024, 1, 1): 4, dt.date(2024, 1, 2): 3, dt.date(2024, 1, 4): 1}  # all but the late row
+    sess = T.with_open_sessions(T.run_available_now(T.user_sessions(_stream(spark, event_dir)), spark, "t5-open"), events)
+    assert sess.agg(F.sum("n_eventos")).first()[0] == 8 and on_time.count() == 7
+    assert sess.where("inicio >= '2024-01-04'").count() == 1
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_event_stream_reads_a_file_and_a_folder(spark, tmp_path, folder):
+    rows = [(i, dt.datetime(2024, 1, 1, i), 1, "view", 1.0, "{}") for i in range(4)]
+    if folder:
+        os.makedirs(tmp_path / "events.parquet")
+        _write(str(tmp_path / "events.parquet" / "part-0.parquet"), rows[:2])
+        _write(str(tmp_path / "events.parquet" / "part-1.parquet"), rows[2:] + rows[:1])  # one id twice
+    else:
+        _write(str(tmp_path / "events.parquet"), rows + rows[:1])
+        _write(str(tmp_path / "other.parquet"), [(99, dt.datetime(2024, 1, 1), 1, "view", 1.0, "{}")])
+    out = T.run_available_now(T.deduplicated_events(T.event_stream(spark, str(tmp_path))), spark, "layout")
+    assert sorted(r["event_id"] for r in out.collect()) == [0, 1, 2, 3]
+    assert T.event_batch(spark, str(tmp_path)).count() == 5
+
+
+def test_order_codes_stay_distinct(spark):
+    orders = spark.range(120_000).select(F.col("id"), F.lit(dt.datetime(1997, 5, 1)).alias("created_at"))
+    codes = T.order_codes(orders)
+    r = codes.agg(F.countDistinct("codigo").alias("n"), F.min("codigo").alias("lo"), F.max(F.length("codigo")).alias("w")).first()
+    assert (r["n"], r["lo"], r["w"]) == (120_000, "PED-1997-00001", len("PED-1997-120000"))
+
+
+def test_source_order_codes_above_seven_digits(spark, market, tmp_path):
+    from loomstat.sources.binding import bind
+
+    big = bind(spark, market.sf_dir, market.as_of)
+    big._raw["orders"] = market.raw("orders").limit(10).withColumn("o_orderkey", F.lit(9_999_995) + F.row_number().over(Window.orderBy("o_orderkey")))
+    codes = sorted(r[0].split("-")[2] for r in big.pedidos.select("codigo").collect())
+    assert len(set(codes)) == 10 and "10000000" in codes and "9999996" in codes
+
+
+def _batch(spark, rows):
+    return spark.createDataFrame(rows, "k long, v double, at long")
+
+
+def test_upsert_updates_retries_and_refuses_a_lost_snapshot(spark, tmp_path):
+    base = str(tmp_path / "s")
+    write = T.upsert_snapshot(base, ["k"], "at")
+    write(_batch(spark, [(1, 1.0, 1), (2, 2.0, 1), (1, 1.5, 2)]), 0)
+    write(_batch(spark, [(1, 9.0, 3), (3, 3.0, 3)]), 1)
+    want = {(1, 9.0), (2, 2.0), (3, 3.0)}
+    assert {(r["k"], r["v"]) for r in T.latest_snapshot(spark, base).collect()} == want
+    write(_batch(spark, [(1, 9.0, 3), (3, 3.0, 3)]), 1)  # the epoch again, as after a failure
+    assert {(r["k"], r["v"]) for r in T.latest_snapshot(spark, base).collect()} == want
+    write(_batch(spark, [(2, 7.0, 4)]), 2)
+    assert sorted(os.listdir(base)) == ["v00000001", "v00000002"]  # the one a retry needs, and the newest
+    with pytest.raises(FileNotFoundError):
+        write(_batch(spark, [(5, 1.0, 9)]), 9)
