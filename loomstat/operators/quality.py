@@ -181,24 +181,27 @@ def lifecycle_invariants(m: Marketplace) -> DataFrame:
 
 
 def column_profile(m: Marketplace, table: str) -> DataFrame:
-    """Q6: one wide aggregate per table, unpivoted to one row per column:
-    type, null count, approximate distinct count, min and max (as strings)."""
+    """Q6: per column type, null count, distinct count, min and max (as strings). Nulls and bounds come from one wide
+    aggregate; distinct values are counted exactly in two levels, by (column, value) and then by column, so a frequent
+    value is one row per task and no column's values meet in one task."""
     df = getattr(m, table)
+    fields = df.schema.fields
     aggs = []
-    for f in df.schema.fields:
+    for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
         comparable = f.dataType.typeName() not in ("array", "map", "struct", "binary")
-        aggs += [F.count(F.when(c.isNull(), 1)).alias(f"{f.name}__nulls"),
-                 F.approx_count_distinct(c).alias(f"{f.name}__ndv"),
-                 (F.min(c).cast("string") if comparable else F.lit(None).cast("string")).alias(f"{f.name}__min"),
-                 (F.max(c).cast("string") if comparable else F.lit(None).cast("string")).alias(f"{f.name}__max")]
-    wide = df.agg(*aggs)
-    structs = [F.struct(F.lit(table).alias("table_name"), F.lit(f.name).alias("column_name"),
-                        F.lit(f.dataType.simpleString()).alias("data_type"),
-                        F.col(f"`{f.name}__nulls`").alias("null_count"), F.col(f"`{f.name}__ndv`").alias("approx_distinct"),
-                        F.col(f"`{f.name}__min`").alias("min_value"), F.col(f"`{f.name}__max`").alias("max_value"))
-               for f in df.schema.fields]
-    return wide.select(F.explode(F.array(*structs)).alias("p")).select("p.*")
+        aggs.append(F.struct(
+            F.lit(i).alias("i"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
+            F.count(F.when(c.isNull(), 1)).alias("null_count"),
+            (F.min(c).cast("string") if comparable else F.lit(None).cast("string")).alias("min_value"),
+            (F.max(c).cast("string") if comparable else F.lit(None).cast("string")).alias("max_value")))
+    wide = df.agg(F.array(*aggs).alias("p")).select(F.explode("p").alias("p")).select("p.*")  # a row a column
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{f.name}`").cast("string").alias("v"))
+                                           for i, f in enumerate(fields)])).alias("x")).select("x.*").where(F.col("v").isNotNull())
+    distinct = values.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("i").agg(F.count(F.lit(1)).alias("n_distinct"))
+    return wide.join(distinct, "i", "left").select(
+        F.lit(table).alias("table_name"), "column_name", "data_type", "null_count", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
+        "min_value", "max_value")
 
 
 def schema_profile(m: Marketplace) -> DataFrame:

@@ -184,12 +184,10 @@ for _name, _fn, _key in [
     ("Q3_row_constraints", Q.row_constraints, "Q3"),
     ("Q4_enum_domains", Q.enum_domains, "Q4"),
     ("Q5_lifecycle_invariants", Q.lifecycle_invariants, "Q5"),
+    ("Q6_schema_profile", Q.schema_profile, "Q6"),
 ]:
     register(_name, _QSQL[_key])(lambda m, _f=_fn: _f(m))
 
-# Q6 uses approximate distinct counts (HyperLogLog): no exact oracle, rows-only check.
-register("Q6_schema_profile")(lambda m: Q.schema_profile(m))
-
 # ---------------------------------------------------------------- G4 and reports
 from loomstat.operators import reports as D  # noqa: E402
 from loomstat.sources import io as _io  # noqa: E402

@@ -1,5 +1,4 @@
-"""Physical-plan review of every registered query (no execution beyond what building the
-DataFrame needs). For each query: exchanges, join strategies, single-partition exchanges,
+"""Physical-plan review of every registered query, from the final plan after it ran (AQE). For each query: exchanges, join strategies, single-partition exchanges,
 windows, Python UDF nodes and scans; pushed filters and read schemas are checked for the
 flagship query. usage: python scripts/plan_report.py [sf_dir] [name-prefix ...]"""
 
@@ -28,7 +27,9 @@ def main() -> None:
         if name.startswith(STREAMING):
             continue  # streams run to completion when built; their plans are reviewed in tests
         df = fn(spark, sf_dir)
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        run = df._jdf.queryExecution()
+        run.toRdd().count()
+        plan = run.executedPlan().toString().split("== Initial Plan ==")[0]
         single = len(re.findall(r"Exchange SinglePartition", plan))
         print(f"{name:38s} {plan.count('Exchange'):4d} {single:5d} {plan.count('BroadcastHashJoin'):4d} "
               f"{plan.count('SortMergeJoin'):4d} {plan.count('ShuffledHashJoin'):4d} {len(re.findall(r'Window ', plan)):4d} "
