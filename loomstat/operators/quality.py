@@ -42,7 +42,7 @@ def _count(df: DataFrame) -> DataFrame:
 
 
 SOURCE_TABLES = ["categorias_produto", "empresas", "oficinas", "usuarios", "pedidos", "pedido_items", "propostas",
-                 "producao", "avaliacoes", "certificacoes", "pagamentos", "eventos_plataforma"]
+                 "producao", "avaliacoes", "certificacoes", "pagamentos", "eventos_plataforma", "mensagens", "notificacoes"]
 
 
 def expected_counts(m: Marketplace) -> DataFrame:
@@ -50,6 +50,7 @@ def expected_counts(m: Marketplace) -> DataFrame:
     li, o = m.raw("lineitem"), m.raw("orders")
     lines = li.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     per_part = li.select("l_suppkey", "l_partkey").distinct().join(m.raw("part"), F.col("l_partkey") == F.col("p_partkey"))
+    matched = o.where(F.col("o_orderstatus") != "O").join(li.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
     frames = {
         "categorias_produto": m.raw("region").select("r_regionkey").unionAll(m.raw("nation").select("n_nationkey")),
         "empresas": m.raw("customer"), "oficinas": m.raw("supplier"),
@@ -57,6 +58,9 @@ def expected_counts(m: Marketplace) -> DataFrame:
         "pedidos": o, "pedido_items": li, "propostas": lines.select("l_orderkey", "l_suppkey").distinct(), "producao": lines,
         "avaliacoes": lines.where(F.col("l_returnflag").isin("A", "R")),
         "certificacoes": per_part.select("l_suppkey", "p_type").distinct(),
+        "mensagens": m.raw("conversations").where(F.col("role").isin("user", "assistant")).join(
+            matched.select(F.col("o_orderkey").alias("conv_id")), "conv_id", "left_semi"),
+        "notificacoes": matched.select("o_orderkey").unionAll(matched.where(F.col("o_orderstatus") == "F").select("o_orderkey")),
         "pagamentos": o.where(F.col("o_orderstatus") == "F"), "eventos_plataforma": m.raw("events"),
     }
     return reduce(lambda a, b: a.unionByName(b), [
@@ -97,6 +101,10 @@ FOREIGN_KEYS = [
     ("pagamentos", "empresa_id", "empresas", "id"),
     ("pagamentos", "oficina_id", "oficinas", "id"),
     ("eventos_plataforma", "usuario_id", "usuarios", "id"),
+    ("mensagens", "remetente_id", "usuarios", "id"),
+    ("mensagens", "destinatario_id", "usuarios", "id"),
+    ("mensagens", "pedido_id", "pedidos", "id"),
+    ("notificacoes", "usuario_id", "usuarios", "id"),
 ]
 
 
@@ -130,6 +138,7 @@ def row_constraints(m: Marketplace) -> DataFrame:
         ("pedidos.prioridade_1_5", viol(p, F.col("prioridade").between(1, 5))),
         ("avaliacoes.notas_1_5", viol(a, reduce(lambda x, y: x & y, [F.coalesce(F.col(g).between(1, 5), F.lit(True))
                                                                     for g in grades]))),
+        ("mensagens.not_to_self", viol(m.mensagens, F.col("remetente_id") != F.col("destinatario_id"))),
         ("avaliacoes.one_reviewed_party", viol(a, (F.col("avaliado_empresa_id").isNotNull()
                                                    != F.col("avaliado_oficina_id").isNotNull()))),
     ]

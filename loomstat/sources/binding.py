@@ -429,6 +429,37 @@ class Marketplace:
             created.alias("updated_at"),
         )
 
+    @cached_property
+    def mensagens(self) -> DataFrame:
+        """A conversation belongs to the order with its number: user turns are the brand's messages to the matched
+        workshop, assistant turns the answers. Every other message has been read, an hour later."""
+        c = self.raw("conversations").where(F.col("role").isin("user", "assistant"))
+        p = self.pedidos.where(F.col("oficina_id").isNotNull()).select(
+            F.col("id").alias("pedido_id"), F.col("empresa_id").alias("_brand"), (-F.col("oficina_id") - 1).alias("_shop"), F.col("created_at").alias("_t"))
+        sent = F.timestamp_micros(F.unix_micros("_t") + F.col("turn") * 3_600_000_000)
+        asks, read = F.col("role") == "user", F.col("turn") % 2 == 0
+        return c.join(p, c.conv_id == p.pedido_id).select(
+            F.concat_ws("-", "conv_id", "turn").alias("id"),
+            F.when(asks, F.col("_brand")).otherwise(F.col("_shop")).alias("remetente_id"),
+            F.when(asks, F.col("_shop")).otherwise(F.col("_brand")).alias("destinatario_id"),
+            "pedido_id", F.col("text").alias("conteudo"), read.alias("lida"),
+            F.when(read, F.timestamp_micros(F.unix_micros(sent) + 3_600_000_000)).alias("data_leitura"), sent.alias("created_at"))
+
+    @cached_property
+    def notificacoes(self) -> DataFrame:
+        """The brand hears of each matched order, the workshop of each payment."""
+        def note(df: DataFrame, kind: str, user, entity: str, title: str, channel: str) -> DataFrame:
+            read = F.col("id") % 3 != 0
+            return df.select(
+                F.concat_ws("-", F.lit(kind), F.col("id").cast("string")).alias("id"), user.alias("usuario_id"), F.lit(title).alias("titulo"),
+                F.concat_ws(" ", F.lit(title), F.col("id").cast("string")).alias("conteudo"), F.lit(kind).alias("tipo"), F.lit(channel).alias("canal"),
+                F.lit(entity).alias("entidade_tipo"), F.col("id").alias("entidade_id"), read.alias("lida"),
+                F.when(read, _add_days_ts(F.col("created_at"), F.lit(1))).alias("data_leitura"), "created_at")
+
+        matched = note(self.pedidos.where(F.col("oficina_id").isNotNull()), "pedido_update", F.col("empresa_id"), "pedido", "Pedido atualizado", "plataforma")
+        paid = note(self.pagamentos.where(F.col("oficina_id").isNotNull()), "pagamento", -F.col("oficina_id") - 1, "pagamento", "Pagamento registrado", "email")
+        return matched.unionByName(paid)
+
 
 def bind(spark: SparkSession, sf_dir: str, as_of: str) -> Marketplace:
     """The source tables of ``sf_dir``; ``as_of`` is the job's "now"."""
@@ -437,7 +468,7 @@ def bind(spark: SparkSession, sf_dir: str, as_of: str) -> Marketplace:
 
 # Source tables in foreign-key order (parents before children).
 SOURCE_TABLES = ["categorias_produto", "empresas", "oficinas", "eventos_plataforma", "usuarios", "pedidos",
-                 "pedido_items", "propostas", "producao", "avaliacoes", "certificacoes", "pagamentos"]
+                 "pedido_items", "propostas", "producao", "avaliacoes", "certificacoes", "pagamentos", "mensagens", "notificacoes"]
 
 
 class PublishedMarketplace(Marketplace):

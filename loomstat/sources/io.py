@@ -30,6 +30,7 @@ SCHEMAS: dict[str, T.StructType] = {
                         ("l_returnflag", _S), ("l_linestatus", _S), ("l_shipdate", _TS)),
     "events": _schema(("event_id", _L), ("ts", _TS), ("user_id", _L), ("event_type", _S), ("value", _D),
                       ("props", _S)),
+    "conversations": _schema(("conv_id", _L), ("turn", _L), ("role", _S), ("text", _S)),
 }
 
 TABLES = tuple(SCHEMAS)
