@@ -22,70 +22,128 @@ from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstat.llm.common import bounded_batches, tidy
+
 TIERS = (256, 512, 1024, 2048, 4096)
 WINDOW = TIERS[-1]
 END_ID = 2
 GROUP_TOKENS = 4_000_000
 STEP_TOKENS = 16 * WINDOW
-CACHE_WORDS = 250_000
-SCHEMA = ("doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
+CACHE_WORDS = 800_000
+BATCH_CHARS = 1 << 24  # bytes of text that are split at once
+SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "tier int, step_id long")
 
-# Letters, marks and signs that lower case and composition leave in place, without other digits or white space.
-_SAFE = re.compile("[!-~¡-©«¬®-±´¶-¸»¿-ɏ]+")
-# Fixed value: the vocabulary's word pattern, for safe words.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+# Letters, marks and signs that lower case (letter by letter) and composition leave in place, without other digits or white
+# space, and ASCII white space: in such texts the vocabulary's own pattern finds the same parts.
+_SAFE = "^[\t-\r -~¡-©«¬®-±´¶-¸»¿-įı-ɏ]*$"
+# Fixed value: the vocabulary's word pattern, for such texts (its letter branch first, as no other begins with a letter).
+_PARTS = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\s\w]|_)+")
+_SIGNS = r"([^\t-\r \pL]+)"
+_CONTRACTION = "'(?:s|t|re|ve|m|ll|d)"
 _WORDS = re.compile("[^ \t-\r]+")
 
 
+class _Cache:
+    """Bounded map that forgets what was not asked for lately: a full young half becomes the old one."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size // 2, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        if len(key) <= 64:
+            self.young[key] = value
+
+
 class WordEncoder:
-    """Ids of a text, word by word: the vocabulary never joins across white space, so words are looked up in a bounded
-    cache and only new ones are tokenised."""
+    """Ids of a batch of texts. The vocabulary never joins across white space, so Arrow splits the lower-cased texts into
+    words (and signs from letters, in texts without contractions) and numbers the distinct ones; those are looked up in a
+    bounded cache, new ones are cut into parts by the vocabulary's pattern, and only new parts are tokenised. Texts with characters outside ``_SAFE`` go word by
+    word. Ids are kept as little-endian bytes of ``width``."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, list[int]] = {}
-        self.parts: dict[str, list[int]] = {}
-
-    def _encode(self, s: str) -> list[int]:
-        return self.tokenizer.encode(s, add_special_tokens=False).ids
-
-    def _word(self, w: str) -> list[int]:
-        if not _SAFE.fullmatch(w) or "<|" in w:
-            return self._encode(w)
-        out: list[int] = []
-        for p in _PARTS.findall(w.lower()):
-            ids = self.parts.get(p)
-            if ids is None:
-                if len(self.parts) >= CACHE_WORDS:
-                    self.parts.clear()
-                ids = self.parts[p] = self._encode(p)
-            out += ids
+        self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
+        self.words = _Cache(CACHE_WORDS)
+        self.end = np.array([END_ID], self.width)
+
+    def _plain(self, s: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, self.width)
+
+    def _tokenised(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of parts, many in a call."""
+        out = {}
+        for a in range(0, len(new), 512):
+            some = new[a : a + 512]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, cuts = np.array(e.ids, self.width), np.searchsorted(np.array(e.word_ids), np.arange(len(some) + 1))
+            out.update((p, ids[i:j].tobytes()) for p, i, j in zip(some, cuts[:-1], cuts[1:], strict=True))
         return out
 
-    def ids(self, text: str | None) -> np.ndarray:
-        out: list[int] = []
-        if text:
-            words = self.words
-            for w in _WORDS.findall(text) if _ODD_SPACE.search(text) else text.split():
-                ids = words.get(w)
-                if ids is None:
-                    ids = self._word(w)
-                    if len(w) <= 64:
-                        if len(words) >= CACHE_WORDS:
-                            words.clear()
-                        words[w] = ids
-                out += ids
-        out.append(END_ID)
-        return np.array(out, "<u4")
+    def _distinct(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct lower-case words."""
+        out = [self.words.get(w) for w in words]
+        new = [k for k, x in enumerate(out) if x is None]
+        ids: dict[str, bytes] = {w: None for k in new if (w := words[k]).isalpha()}  # one part each
+        open_ = [(k, _PARTS.findall(w)) for k in new if not (w := words[k]).isalpha()]
+        for _, parts in open_:
+            for p in parts:
+                if p not in ids:
+                    ids[p] = self.words.get(p)
+        got = self._tokenised([p for p, x in ids.items() if x is None])
+        ids.update(got)
+        for k, parts in open_:
+            got[words[k]] = b"".join([ids[p] for p in parts])
+        for p, x in got.items():
+            self.words.put(p, x)
+        for k in new:
+            out[k] = got[words[k]]
+        return out
+
+    def _safe(self, texts: pa.Array) -> list[np.ndarray]:
+        low = pc.utf8_lower(texts)
+        apart = pc.replace_substring_regex(low, _SIGNS, r" \1 ")  # letter runs are parts, unless a contraction takes some
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(low, _CONTRACTION), low, apart))
+        coded = lists.flatten().dictionary_encode()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        each = self._distinct(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(each), self.width)
+        size = np.array([len(x) for x in each], np.int64) // self.width.itemsize
+        at = np.r_[0, np.cumsum(size)][:-1] if len(size) else size
+        code = coded.indices.to_numpy()
+        n = size[code]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(at[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        words = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        cuts = np.r_[0, ends][words]
+        return [np.r_[ids[i:j], self.end] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text with the end id; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        safe = pc.and_not(pc.match_substring_regex(texts, _SAFE), pc.match_substring(texts, "<|"))
+        simple = iter(self._safe(texts.filter(safe)))
+        out = []
+        for k, ok in enumerate(safe.to_pylist()):
+            out.append(next(simple) if ok else np.concatenate([*(self._plain(w) for w in _WORDS.findall(texts[k].as_py())), self.end]))
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -179,12 +237,15 @@ def _steps(windows: list) -> list[int]:
 def packed(documents: DataFrame, tokenizer: str) -> DataFrame:
     """``documents(doc_id, text)`` packed with the vocabulary file ``tokenizer``: one row per piece."""
 
-    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bounded_batches(documents.sparkSession)
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, at = encoder(tokenizer), TaskContext.get().partitionId() << 33
         n_seq = n_step = held = 0
         docs: list[tuple] = []
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal n_seq, n_step, docs, held
             windows = pack([len(x) for _, x in docs])
             steps = _steps(windows)
@@ -193,22 +254,25 @@ def packed(documents: DataFrame, tokenizer: str) -> DataFrame:
                 offset = 0
                 for i, a, b in pieces:
                     doc_id, ids = docs[i]
-                    out.append((doc_id, a, b - a, zlib.crc32(ids[a:b].tobytes()), len(ids), at + n_seq + k, offset, size, at + n_step + steps[k]))
+                    out.append((doc_id, a, b - a, zlib.crc32(ids[a:b].astype("<u4").tobytes()), len(ids), at + n_seq + k, offset, size, at + n_step + steps[k]))
                     offset += b - a
             n_seq, n_step = n_seq + len(windows), n_step + max(steps, default=-1) + 1
             docs, held = [], 0
-            return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+            types = [pa.int32() if n == "tier" else pa.int64() for n in names]
+            return pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
         for b in rows:
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                ids = enc.ids(text)
-                docs.append((doc_id, ids))
-                held += len(ids)
-                if held >= GROUP_TOKENS:
-                    yield flush()
+            doc_ids, texts = b.column(0).to_pylist(), b.column(1).cast(pa.large_string())
+            size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+            cuts = [0, *np.searchsorted(size, np.arange(BATCH_CHARS, size[-1], BATCH_CHARS)) + 1, len(b)] if len(b) else [0]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                for doc_id, ids in zip(doc_ids[i:j], enc.ids(texts[i:j]) if j > i else (), strict=True):
+                    docs.append((doc_id, ids))
+                    held += len(ids)
+                    if held >= GROUP_TOKENS:
+                        yield flush()
+            tidy()
         if docs:
             yield flush()
 
-    # ids travel as text: pandas has no nullable long without loss
-    out = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)

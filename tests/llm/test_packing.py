@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomstat.llm.packing import END_ID, WINDOW, WordEncoder, pack, packed
@@ -28,8 +29,10 @@ def test_word_cache_gives_the_same_ids(plain):
     rng = random.Random(3)
     alphabet = "abcDEFéÉß123 \n.,'!_-&<|>́ 日"
     more = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60))) for _ in range(400)]
-    for t in TEXTS + more:
-        assert enc.ids(t).tolist() == plain(t), t
+    texts = TEXTS + more
+    for part in (texts, texts[::-1], texts[:1], ["İ I", None], []):  # again, from the cache
+        for t, got in zip(part, enc.ids(pa.array(part, pa.large_string())), strict=True):
+            assert got.tolist() == plain(t), t
 
 
 @pytest.mark.parametrize("lengths", [[], [1], [4096], [5000, 1, 1], [4096 * 3, 257], [random.Random(1).randint(1, 9000) for _ in range(300)], [3] * 1000])
