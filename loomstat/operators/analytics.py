@@ -115,23 +115,26 @@ def gmv_by_stage(df: DataFrame) -> DataFrame:
 
 
 # ================================================================ cohorts (K1-K6)
-def _all_months(df: DataFrame, months: list[int]) -> DataFrame:
-    """``df``, failing where a month offset has no column: a matrix never drops a month silently."""
+def _all_months(df: DataFrame, months: list[int] | None) -> tuple[DataFrame, list[int]]:
+    """``df``, failing where a month offset has no column (a matrix never drops a month silently), and the columns: the
+    offsets that occur unless given (months of the calendar, so few)."""
+    if months is None:
+        return df, [r[0] for r in df.select("mes_n").distinct().orderBy("mes_n").collect()]
     known = F.col("mes_n").isin(*months)
     return df.withColumn("mes_n", F.when(known | F.col("mes_n").isNull(), F.col("mes_n")).otherwise(
-        F.raise_error(F.concat(F.lit("no matrix column for month "), F.col("mes_n").cast("string")))))
+        F.raise_error(F.concat(F.lit("no matrix column for month "), F.col("mes_n").cast("string"))))), months
 
 
-def retention_matrix(df: DataFrame, months: list[int]) -> DataFrame:
+def retention_matrix(df: DataFrame, months: list[int] | None = None) -> DataFrame:
     """K1: cohort × month-offset matrix of retention %, 1 decimal; missing cells stay NULL. One column per entry of ``months``."""
-    df = _all_months(df, months)
+    df, months = _all_months(df, months)
     p = df.groupBy("cohort_label").pivot("mes_n", months).agg(F.max("retention_rate_pct"))
     return p.select("cohort_label", *[dround(F.col(str(mn)), 1).alias(str(mn)) for mn in months])
 
 
-def revenue_matrix(df: DataFrame, months: list[int]) -> DataFrame:
+def revenue_matrix(df: DataFrame, months: list[int] | None = None) -> DataFrame:
     """K2: cohort × month-offset revenue matrix, missing cells 0, 2 decimals. One column per entry of ``months``."""
-    df = _all_months(df, months)
+    df, months = _all_months(df, months)
     p = df.groupBy("cohort_label").pivot("mes_n", months).agg(F.max("receita_cohort"))
     return p.select("cohort_label", *[F.round(F.coalesce(F.col(str(mn)), F.lit(0).cast("decimal(22,2)")), 2)
                                       .alias(str(mn)) for mn in months])

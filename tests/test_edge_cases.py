@@ -25,7 +25,7 @@ def make_market(spark, market):
                for t in SOURCE_TABLES}
 
     def build(**tables):
-        m = Marketplace(spark, "/nonexistent")
+        m = Marketplace(spark, "/nonexistent", str(AS_OF))
         for t in SOURCE_TABLES:
             rows = tables.get(t, [])
             names = [f.name for f in schemas[t].fields]
