@@ -278,3 +278,20 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     found = near_duplicates(docs, scratch, rid)
     gone = scratch.pin(found.where(~F.col("first")).select(F.col("rid").alias(rid)))
     return docs.join(small(gone), rid, "left_anti").drop(rid)
+
+
+ORACLE = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents),
+d AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) >= {SHINGLE_WORDS} THEN list_transform(range(1, len(ws) - {SHINGLE_WORDS - 2}),
+    lambda i: array_to_string(ws[i : i + {SHINGLE_WORDS - 1}], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+s AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM d),
+e AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= {SIMILAR_PERCENT} * (a.n + b.n - count(*))),
+r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+SELECT d.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = d.doc_id
+"""

@@ -254,3 +254,15 @@ def _placed(fit: DataFrame, nodes: DataFrame) -> DataFrame:
     key = lambda c: F.xxhash64(c)
     n = nodes.select(key("v").alias("h"), F.col("v").alias("nv"), "cid")
     return fit.select("vec_id", "v", key("v").alias("h")).join(n, "h").where(F.col("v") == F.col("nv")).select("vec_id", "cid")
+
+
+#: Links by comparing all pairs, for small tables; the search finds them all there.
+ORACLE = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, len(embedding) = (SELECT mode(len(embedding)) FROM embeddings)
+    AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0 AND len(list_filter(embedding, lambda z: z <> 0)) > 0 AS fine FROM embeddings),
+e AS (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.fine AND b.fine WHERE list_cosine_similarity(a.x, b.x) >= {THRESHOLD}),
+r(i, j) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.i, e.j FROM r JOIN e ON e.i = r.j)
+SELECT c.i AS vec_id, (SELECT count(*) FROM e WHERE e.i = c.i) AS n_links, c.component_id, c.i = c.component_id AS kept
+FROM (SELECT i, min(j) AS component_id FROM r GROUP BY i) c
+"""

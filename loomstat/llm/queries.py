@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstat.llm import mixing, secrets_scan, tool_calls
+from loomstat.llm import minhash_join, mixing, nn_descent, secrets_scan, tool_calls
 from loomstat.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {"op2_source_mixing": mixing.ORACLE, "op3_secret_scan": secrets_scan.ORACLE,
-                           "op7_tool_call_linking": tool_calls.ORACLE}
+                           "op6_nn_descent": nn_descent.ORACLE, "op7_tool_call_linking": tool_calls.ORACLE, "op8_minhash_near_dedup": minhash_join.ORACLE}
 
 
 def query(fn: Query) -> Query:

@@ -40,3 +40,26 @@ def test_stages(spark):
 
 def test_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)] * 3 + [(1, "", "en", None, 0)]])
+def test_stages_on_empty_and_null_rows(spark, rows):
+    scratch = Scratch(spark, "test-empty")
+    docs = spark.createDataFrame([(*r, "x", None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _rid string, size int")
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "near_dedup" and rows:  # a later stage's own input, not only what the first one leaves
+            docs = spark.createDataFrame([(*r, "x", None) for r in rows], docs.schema)
+        docs = scratch.pin(stage(spark, docs, SF_SMALL))
+        assert docs.columns == names or name == "packing"
+    assert docs.count() == 0  # nothing has words to mix
+
+
+def test_each_stage_keeps_clashing_columns(spark):
+    text = "the quick brown fox jumps over the lazy dog again and again"
+    rows = [(i, f"{text} {i}" if i % 4 else text, "en", f"s{i % 2}", 60, "r", 1, 2, "c", True) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, h int, copies int, hash string, kept boolean")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF_SMALL)
+        assert out.schema.simpleString() == docs.schema.simpleString() and 0 < out.count() <= 48, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_SMALL).select("doc_id").distinct().count() == 24
