@@ -16,9 +16,32 @@ from loomstat.session import ensure_checkpoint_dir
 
 #: Largest number of rows that a hinted broadcast may have; the caller counts before it hints.
 BROADCAST_ROWS = 200_000
+#: Rows of an Arrow batch that a Python worker gets at once; texts are long.
+BATCH_ROWS = 4000
 _OPEN: list[Scratch] = []
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold the rows of an Arrow batch to BATCH_ROWS, so that a worker's memory is bounded by a few texts' sizes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def tidy() -> None:
+    """Give memory that a Python worker has freed back to the system; workers live on for later tasks."""
+    import ctypes
+    import sys
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+
 class Scratch:
     """Parquet tables under the session's shared checkpoint folder; dropped when superseded or when Python exits."""
 
@@ -26,6 +49,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        bounded_batches(spark)
         _OPEN.append(self)
 
     def pin(self, df: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import held_out
+from loomstat.llm.common import bounded_batches, held_out, tidy
 
 BITS = 12
 DIM = 1 << BITS
@@ -47,9 +47,8 @@ _TABLES: dict[str, np.ndarray] = {}
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """By code point: whether it is a letter; its lower case if that is one code point."""
     if not _TABLES:
-        points = [chr(i) for i in range(0x110000)]
-        _TABLES["letter"] = np.fromiter((c.isalpha() for c in points), bool, 0x110000)
-        _TABLES["lower"] = np.fromiter((ord(x) if len(x := c.lower()) == 1 else i for i, c in enumerate(points)), np.uint32, 0x110000)
+        _TABLES["letter"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+        _TABLES["lower"] = np.fromiter((ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(0x110000)), np.uint32, 0x110000)
     return _TABLES["letter"], _TABLES["lower"]
 
 
@@ -148,6 +147,7 @@ def _features_of(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x = [features(t) for t in b["text"]]
         ok = [i for i, v in enumerate(x) if v is not None]
         yield pd.DataFrame({"lang": b["lang"].iloc[ok].to_numpy(), "x": [x[i].astype(np.float16).tobytes() for i in ok]})
+    tidy()
 
 
 def train(documents: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
@@ -168,11 +168,13 @@ def train(documents: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
 
 def language(documents: DataFrame, text: Column) -> Column:
     """Struct (lang, score) of a text, by a model fitted on ``documents``."""
+    bounded_batches(documents.sparkSession)
     model = documents.sparkSession.sparkContext.broadcast(train(documents))
 
     @F.pandas_udf("lang string, score double")
     def identify(t: pd.Series) -> pd.DataFrame:
         lang, score = predict(model.value, t)
+        tidy()
         return pd.DataFrame({"lang": lang, "score": score})
 
     return identify(text)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import Scratch, small, tokens, with_row_id
+from loomstat.llm.common import Scratch, small, tidy, tokens, with_row_id
 from loomstat.llm.graph import connected_components
 
 SHINGLE_WORDS = 5
@@ -80,6 +80,7 @@ def _signed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n.append(len(s))
             dig.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
             sig.append(signature(s).tobytes() if len(s) else None)
+        tidy()
         yield pd.DataFrame({"rid": b["_rid"], "doc_id": b["doc_id"], "n": n, "digest": dig, "sig": sig})
 
 
@@ -102,6 +103,7 @@ def _keyed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if width - len(out) > 3:  # does not fit 64 bits: mix
                     key = key * _GOLD
                 yield pd.DataFrame({"key": key.view(np.int64), "cid": b["cid"].to_numpy()})
+    tidy()
 
 
 def _close(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,6 +117,7 @@ def _close(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _sets(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in rows:
         yield pd.DataFrame({"cid": b["cid"], "s": [shingle_set(t).view(np.int64) for t in b["text"]]})
+    tidy()
 
 
 def _sets_of(wanted: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -169,6 +172,8 @@ def _near_in_tile(tile: pd.DataFrame) -> pd.DataFrame:
             near += sig[part, k][:, None] != sig[right, k]
         i, j = np.nonzero((near <= MAX_DISTANCE) & (comp[part][:, None] != comp[right]))
         hit[part[i]] = hit[right[j]] = True
+    if len(tile) > 256:
+        tidy()
     return tile.loc[hit, ["key", "a", "b", "p", "cid", "comp"]]
 
 
@@ -205,6 +210,8 @@ def _linked_in_tile(tile: pd.DataFrame) -> pd.DataFrame:
         if u != v:
             top[u] = v
             out.append((cid[x], cid[y]))
+    if len(tile) > 256:
+        tidy()
     return pd.DataFrame(out, columns=["a", "b"])
 
 

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstat.llm.common import bounded_batches, tidy
+
 KEEP = 0.3
 SPREAD = 1.5  # of the smoothing, in steps of the path tree
 
@@ -182,7 +184,9 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in rows:
             text = [main_text(h) for h in b["html"]]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
+        tidy()
 
+    bounded_batches(pages.sparkSession)
     # ids travel as text: pandas has no nullable long without loss
     out = pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInPandas(
         run, "page_id string, url string, text string, n_chars long")
