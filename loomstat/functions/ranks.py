@@ -5,7 +5,7 @@ task (``Exchange SinglePartition``). The helpers here keep the work distributed:
 
 * ``percent_rank_by_value`` – for a bounded value domain (e.g. a score with two
   decimals): count rows per distinct value, rank the (small) table of counts,
-  broadcast it back. The broadcast side is bounded by the domain, not the data.
+  join it back (AQE broadcasts it if its size allows).
 * ``global_row_number`` / ``ntile`` – exact global row numbers: range-partition on
   the sort key, materialise with a reliable checkpoint (so a re-run sample cannot
   move rows), number rows inside each partition, add per-partition offsets. The
@@ -39,7 +39,7 @@ def percent_rank_by_value(df: DataFrame, value: str, out: str = "percent_rank")
         F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_below"),
         F.sum("_c").over(Window.partitionBy(F.lit(1))).alias("_n"),
     ).select(value, F.when(F.col("_n") > 1, F.col("_below") / (F.col("_n") - 1)).otherwise(F.lit(0.0)).alias(out))
-    return df.join(F.broadcast(ranked), on=value, how="left")
+    return df.join(ranked, on=value, how="left")
 
 
 def global_row_number(df: DataFrame, order: list[Column], out: str = "row_number",

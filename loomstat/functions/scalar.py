@@ -59,11 +59,6 @@ def dow_sunday0(c: Column) -> Column:
     return F.dayofweek(c) - 1
 
 
-def months_between_starts(later: Column, earlier: Column) -> Column:
-    """AGE() in whole months between two month starts."""
-    return (F.year(later) - F.year(earlier)) * 12 + F.month(later) - F.month(earlier)
-
-
 def array_length_pg(c: Column) -> Column:
     """ARRAY_LENGTH(a, 1) is NULL for an empty or NULL array."""
     return F.nullif(F.size(c), F.lit(0))

@@ -245,7 +245,7 @@ def pandas_pct_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     r = counts.select(value, F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_below"), "_c",
                       F.sum("_c").over(Window.partitionBy(F.lit(1))).alias("_n"))
     r = r.select(value, dround(((F.col("_below") + (F.col("_c") + 1) / 2.0) / F.col("_n")) * 100.0, 1).alias(out))
-    return df.join(F.broadcast(r), value, "left")
+    return df.join(r, value, "left")
 
 
 def compute_scores(df: DataFrame, weights: ScoringWeights | None = None) -> DataFrame:
@@ -297,7 +297,7 @@ def _desc_rank_int(df: DataFrame, value: str, out: str) -> DataFrame:
     w = Window.orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
     r = counts.select(value, F.floor(F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2.0)
                       .cast("int").alias(out))
-    return df.join(F.broadcast(r), value, "left")
+    return df.join(r, value, "left")
 
 
 def compare_weights(df: DataFrame, alt: ScoringWeights, current: ScoringWeights | None = None) -> DataFrame:

@@ -62,7 +62,7 @@ def _grouped_positions(long: DataFrame) -> DataFrame:
     sizes = long.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.select("grp", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"), "_n")
-    return numbered.join(F.broadcast(offs), "grp").withColumn("pos", F.col("_g") - F.col("_off") - 1).drop("_g", "_off")
+    return numbered.join(offs, "grp").withColumn("pos", F.col("_g") - F.col("_off") - 1).drop("_g", "_off")
 
 
 def _segment_tree(pos: DataFrame, n: int, levels: int) -> DataFrame:
@@ -103,7 +103,7 @@ def _lower_bounds(pos: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFra
     sizes = pos.groupBy("grp").agg(F.count(F.lit(1)).alias("_gn"))
     w = Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("grp", F.coalesce(F.sum("_gn").over(w), F.lit(0)).alias("_wb"))  # one row per group
-    return (all_n.join(b_n, ["grp", "_tie"]).join(F.broadcast(before), "grp", "left")
+    return (all_n.join(b_n, ["grp", "_tie"]).join(before, "grp", "left")
             .select("grp", *keys, (F.col("_rn_all") - F.col("_rn_bound") - F.coalesce(F.col("_wb"), F.lit(0)))
                     .alias("lb")))
 
@@ -112,7 +112,7 @@ def recommendations(orders: DataFrame, supply: DataFrame, regions: DataFrame, to
     """Top ``top_n`` workshops per open order: (pedido_id, oficina_id, rank, score and sub-scores)."""
     terms = workshop_terms(supply)
     reg = regions.select(F.col("estado").alias("_rs"), F.col("region").alias("_rr"))
-    ws = (terms.join(F.broadcast(reg), terms.estado == reg._rs, "left")
+    ws = (terms.join(reg, terms.estado == reg._rs, "left")
           .select("oficina_id", "estado", F.col("_rr").alias("region"),
                   F.coalesce(F.col("capacidade_mensal_pecas"), F.lit(0)).cast("long").alias("c"),
                   "quality_score", "punctuality_score", "speed_score", "tier",
@@ -134,7 +134,7 @@ def recommendations(orders: DataFrame, supply: DataFrame, regions: DataFrame, to
         .withColumn("pk_s", F.coalesce(F.col("p_estado"), F.lit("")))
     key = ["pk_s", "p_qty"]
     profiles = (o.select("pk_s", "p_estado", "p_qty").distinct()
-                .join(F.broadcast(reg), F.col("p_estado") == reg._rs, "left")
+                .join(reg, F.col("p_estado") == reg._rs, "left")
                 .select("pk_s", "p_estado", "p_qty", F.col("_rr").alias("p_region")))
     queries = profiles.select(*key, F.explode(F.array(
         F.concat(F.lit("S:"), F.col("p_estado")), F.concat(F.lit("R:"), F.col("p_region")), F.lit("A"))).alias("grp")) \
