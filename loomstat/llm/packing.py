@@ -35,7 +35,7 @@ WINDOW = TIERS[-1]
 END_ID = 2
 GROUP_TOKENS = 4_000_000
 STEP_TOKENS = 16 * WINDOW
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 BATCH_CHARS = 1 << 24  # bytes of text that are split at once
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "tier int, step_id long")
