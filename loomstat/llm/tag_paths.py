@@ -5,7 +5,9 @@ steps of it). Per path, text length and punctuation are summed and
 divided by the number of nodes (text-to-path and punctuation-to-path ratio). Both are smoothed over the path tree: a path
 also counts its neighbours, with a weight that falls with the distance in the tree, so that a heading next to long
 paragraphs is lifted and a lone notice elsewhere is not. The fused ratio is the geometric mean of the two; paths of at
-least ``KEEP`` of the page's largest value are content. Paths through elements that never hold the article (menus, page
+least ``KEEP`` of the page's largest value are content, and choose the article: the smallest element that holds all their
+nodes, or the ``article`` and ``main`` elements that hold one. Every node in it that is not left out belongs to the text,
+whatever its ratio (lists, tables, code, quotes). Paths through elements that never hold the article (menus, page
 headers and footers, asides, forms, scripts, styles, or a class or id that names such a part) are left out beforehand; if
 the page marks an ``article`` or ``main`` element, only paths through one take part.
 
@@ -162,16 +164,37 @@ def content_paths(found: list[tuple[_Element, int, str]]) -> set[tuple]:
     return {p for p, v in fused.items() if v >= least}
 
 
+def _up(e: _Element | None) -> Iterator[_Element]:
+    while e:
+        yield e
+        e = e.parent
+
+
+def _article(content: list[_Element]) -> list[_Element]:
+    """Elements whose whole text is the article: the outermost article and main elements around content nodes, or the
+    smallest element around all of them."""
+    if any(e.holds for e in content):
+        return list({id(x): x for e in content for x in _up(e) if x.holds and not (x.parent and x.parent.holds)}.values())
+    around = list(_up(content[0]))
+    for e in content[1:]:
+        own = set(map(id, _up(e)))
+        around = [x for x in around if id(x) in own]
+    return around[:1]
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    found = [(e, b, text) for e, b, raw in nodes(html) if not e.never and (text := unescape(raw)) and not text.isspace()]
+    every = list(nodes(html))
+    found = [(e, b, text) for e, b, raw in every if not e.never and (text := unescape(raw)) and not text.isspace()]
     if any(e.holds for e, _, _ in found):
         found = [x for x in found if x[0].holds]
     keep = content_paths(found)
+    roots = set(map(id, _article([e for e, _, _ in found if e.path in keep]))) if found else set()
+    taken = {id(e) for e, _, _ in found if any(id(x) in roots for x in _up(e))}
     blocks: dict[int, list[str]] = {}
-    for e, b, raw in nodes(html):  # again, as white space between nodes separates words
-        if not e.never and e.path in keep or raw.isspace() and b in blocks:
+    for e, b, raw in every:  # white space between nodes separates words
+        if id(e) in taken or raw.isspace() and b in blocks:
             blocks.setdefault(b, []).append(unescape(raw))
     lines = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
     return "\n".join(x for x in lines if x)

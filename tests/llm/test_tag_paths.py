@@ -41,3 +41,12 @@ def test_odd_rows(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, 2), (1, 1_199_999)]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+@pytest.mark.parametrize("article", ["<article>{}</article>", "<main>{}</main>", "<div class=post>{}</div><div><p>x</div>"])
+def test_nothing_of_the_article_is_dropped_for_its_ratio(article):
+    body = (f"<h1>Title</h1><p>{LONG * 4}</p><ul><li>one</li><li>two</li></ul><table><tr><td>a</td><td>1</td></tr></table>"
+            f"<pre>x = 1</pre><blockquote>So</blockquote><section><div><h2>Part</h2></div><p>{LONG * 9}</p></section>")
+    page = "<body><nav><a>Home</a></nav>" + article.format(body) + "<footer>us</footer>"
+    want = f"Title\n{LONG * 4}\none\ntwo\na\n1\nx = 1\nSo\nPart\n{LONG * 9}"
+    assert main_text(page) == want
