@@ -8,7 +8,10 @@ paragraphs is lifted and a lone notice elsewhere is not. The fused ratio is the
 least ``KEEP`` of the page's largest value are content, and choose the article: the smallest element that holds all their
 nodes, or the ``article`` and ``main`` elements that hold one. Every node in it that is not left out belongs to the text,
 whatever its ratio (lists, tables, code, quotes). Paths through elements that never hold the article (menus, page
-headers and footers, asides, forms, scripts, styles, or a class or id that names such a part) are left out beforehand; if
+headers and footers, asides, forms, scripts, styles, or a class or id that names such a part) are left out beforehand.
+A name does not count if it only says what a part has (``has-sidebar``, ``comments-open``), if it names a header inside the
+article, or if its element holds the article: the largest ``article`` or ``main``, if that has more text than all else so
+marked that no name leaves out, or, on a page without these elements, most of the text. If
 the page marks an ``article`` or ``main`` element, only paths through one take part.
 
 The text is that of the content nodes in page order: character references decoded, white space inside a block one
@@ -50,7 +53,10 @@ NEVER = set("nav footer aside form head button select label dialog menu object c
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|notice|popup|modal|overlay|"
     r"sidebar|nav|navbar|navigation|menu|breadcrumbs?|masthead|header|footer|comments?|commentlist|disqus|replies|respond|related|"
-    r"recommended|share|sharing|social|newsletter|subscribe|signup|login|widget|pagination|pager|toolbar|skip)(?:$|[\s_-]|\d)", re.I)
+    r"recommended|share|sharing|social|newsletter|subscribe|signup|login|widget|pagination|pager|toolbar|skip)(?=$|[\s_-]|\d)", re.I)
+# Names of what a part has or how it is set, and names of headers.
+MODIFIER = re.compile(r"(?:^|(?<=\s))(?:(?:has|no|with)[_-]\S*|\S*[_-](?:open|enabled))(?=$|\s)", re.I)
+HEADERS = re.compile(r"[\s_-]*(?:header|masthead)", re.I)
 ROLES = re.compile(r"(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu|menubar)\b", re.I)
 HOLDS = {"article", "main"}
 
@@ -60,13 +66,31 @@ _PUNCT = re.compile(r"[.,;:!?…،。、！？]")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "depth", "never", "holds", "parent")
+    __slots__ = ("tag", "path", "depth", "out", "named", "wraps", "holds", "parent")
 
-    def __init__(self, tag: str, label: str, parent: _Element | None, never: bool):
+    def __init__(self, tag: str, label: str, parent: _Element | None, out: bool, named: bool = False):
         self.tag, self.parent = tag, parent
         self.path = (*parent.path, label) if parent and tag not in STYLE else parent.path if parent else (label,)
         self.holds = tag in HOLDS or bool(parent and parent.holds)
-        self.never = never or bool(parent and parent.never)
+        self.out = out or bool(parent and parent.out)  # by its kind
+        self.named = named  # by its class or id, unless it wraps the article
+        self.wraps = False
+
+    @property
+    def never(self) -> bool:
+        return self.out or any(e.named and not e.wraps for e in _up(self))
+
+
+def _up(e: _Element | None) -> Iterator[_Element]:
+    while e:
+        yield e
+        e = e.parent
+
+
+def _named(value: str, tag: str, holds: bool) -> bool:
+    """Whether a class or id names a part that is never the article."""
+    found = (m[0] for m in NAMED.finditer(MODIFIER.sub("", value)))
+    return not tag.startswith("h1") and any(not (holds and HEADERS.fullmatch(x)) for x in found)
 
 
 def nodes(html: str) -> Iterator[tuple[_Element, int, str]]:
@@ -110,7 +134,7 @@ def nodes(html: str) -> Iterator[tuple[_Element, int, str]]:
                     break
                 if stack[k].tag in SCOPES:
                     break
-        never, label = tag in NEVER, tag
+        never, named, label = tag in NEVER, False, tag
         if tag == "header" and not stack[-1].holds:
             never = True
         if m[3] and tag not in ("html", "body"):
@@ -121,7 +145,7 @@ def nodes(html: str) -> Iterator[tuple[_Element, int, str]]:
                 elif key == "role":
                     never |= bool(ROLES.match(value))
                 elif value and tag not in HOLDS:
-                    never |= bool(NAMED.search(value)) and not tag.startswith("h1")
+                    named |= _named(value, tag, stack[-1].holds)
                     if key == "class":
                         label = tag + "." + value.split()[0] if value.split() else tag
         if tag in RAW:
@@ -130,7 +154,7 @@ def nodes(html: str) -> Iterator[tuple[_Element, int, str]]:
             at = end if close < 0 else close
         if m[3].endswith("/") and tag in ("svg", "math"):
             continue
-        stack.append(_Element(tag, label, stack[-1], never))
+        stack.append(_Element(tag, label, stack[-1], never, named))
 
 
 def _distance(a: tuple, b: tuple) -> int:
@@ -164,10 +188,30 @@ def content_paths(found: list[tuple[_Element, int, str]]) -> set[tuple]:
     return {p for p, v in fused.items() if v >= least}
 
 
-def _up(e: _Element | None) -> Iterator[_Element]:
-    while e:
-        yield e
-        e = e.parent
+def _wrap(every: list[tuple[_Element, int, str]]) -> None:
+    """Set ``wraps`` of the elements around the article, so that their names do not count."""
+    size: dict[int, int] = {}
+    elements: dict[int, _Element] = {}
+    total = clean = 0
+    for e, _, raw in every:
+        if e.out or raw.isspace():
+            continue
+        total += len(raw)
+        clean += len(raw) * (e.holds and not e.never)
+        for x in _up(e):
+            elements[id(x)] = x
+            size[id(x)] = size.get(id(x), 0) + len(raw)
+    if not any(x.named for x in elements.values()):
+        return
+    marked = [x for x in elements.values() if x.tag in HOLDS]
+    if marked:
+        most = max(marked, key=lambda x: (x.tag == "article", size[id(x)]))
+        if size[id(most)] > clean:
+            for x in _up(most):
+                x.wraps = True
+    else:
+        for i, x in elements.items():
+            x.wraps = 2 * size[i] > total
 
 
 def _article(content: list[_Element]) -> list[_Element]:
@@ -186,6 +230,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     every = list(nodes(html))
+    _wrap(every)
     found = [(e, b, text) for e, b, raw in every if not e.never and (text := unescape(raw)) and not text.isspace()]
     if any(e.holds for e, _, _ in found):
         found = [x for x in found if x[0].holds]

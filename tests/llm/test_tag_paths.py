@@ -50,3 +50,19 @@ def test_nothing_of_the_article_is_dropped_for_its_ratio(article):
     page = "<body><nav><a>Home</a></nav>" + article.format(body) + "<footer>us</footer>"
     want = f"Title\n{LONG * 4}\none\ntwo\na\n1\nx = 1\nSo\nPart\n{LONG * 9}"
     assert main_text(page) == want
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    (f"<div class='layout has-sidebar'><article><p>{LONG}</article><div class=sidebar>{LONG}</div></div>", LONG),
+    (f"<div class='post comments-open'><article><p>{LONG}</article></div>", LONG),
+    (f"<div class='post comments-open no-share'><p>{LONG}</div>", LONG),
+    (f"<article><div class=entry-header><h1>Title</h1></div><p>{LONG}<div class=share>{LONG}</div></article>", f"Title\n{LONG}"),
+    (f"<div class=content-sidebar-wrap><main><p>{LONG}</main></div>", LONG),
+    (f"<main><h1>T</h1><div class=sidebar-layout><article><p>{LONG}</article><div class=sidebar>{LONG}</div></div></main>", f"T\n{LONG}"),
+    (f"<div id=page-widget><p>{LONG}<p>{LONG}</div><div class=related><p>{LONG}</div>", f"{LONG}\n{LONG}"),
+    (f"<article><p>{LONG}</article><div class=related><article><p>{LONG}</article></div>", LONG),
+    (f"<main><p>{LONG}<div class=comments><article><p>Nice.</article></div></main>", LONG),
+    (f"<main><p>{LONG}<div class='nav-header'>{LONG}</div></main>", LONG),
+])
+def test_names_of_wrappers(html, want):
+    assert main_text(html) == want
