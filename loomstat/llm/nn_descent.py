@@ -10,8 +10,11 @@ than the threshold angle are linked by the triangle inequality, two whose angles
 between are compared, in tiles of bounded size that emit one count per member. So a tight group of any size costs counts
 of bins, not pairs.
 
-Recall is audited: ``AUDIT`` nodes are compared with all rows, and while less than ``RECALL`` of their links are
-found, lists double and refinement goes on.
+Recall is audited node by node against all rows: nodes outside the enlarged components, until ``AUDIT`` of them have
+links or all are compared, and ``AUDIT`` nodes within. While nodes with one link, nodes with more, or nodes within have less
+than ``RECALL`` of their links found on average, lists double and refinement goes on from further buckets; after ``STARTS``
+starts all nodes are compared with all, in blocks of bounded size (quadratic in the nodes; a dense component gives one
+link to another node). Rounds settle by the new links of lists that are not saturated.
 
 Links are decided by the cosine in double precision (>= threshold). Edge cases: vectors that are null, zero or hold null
 or non-finite components, and those of another length than the most frequent one, link with nothing and are their own
@@ -41,6 +44,9 @@ BUCKET = 128
 PIECE = 48  # neighbours compared with each other around one node
 SETTLED = 0.002
 AUDIT = 200
+STARTS = 3
+QUERIES = 4096  # nodes compared with all others in one job
+ROWS = 256  # of them at once
 RECALL = 0.97
 SLACK = 1e-4  # of single precision in the search; links are confirmed in double
 BIN = math.radians(0.5)
@@ -77,7 +83,7 @@ def _start(nodes: DataFrame, n: int, dim: int, k: int, round_: int) -> DataFrame
 
     code = nodes.select("cid", "x").mapInPandas(coded, "tree int, code long, cid long, x array<float>")
     sizes = code.groupBy("tree", "code").agg(F.ceil(F.count(F.lit(1)) / (4 * BUCKET)).alias("m"))
-    dealt = code.join(sizes, ["tree", "code"]).withColumn("piece", F.pmod(F.xxhash64("cid", "tree"), "m"))
+    dealt = code.join(sizes, ["tree", "code"]).withColumn("piece", F.pmod(F.xxhash64("cid", "tree", F.lit(round_)), "m"))
     return dealt.groupBy("tree", "code", "piece").applyInPandas(near, "u long, v long, s float")
 
 
@@ -86,13 +92,13 @@ def _trim(edges: DataFrame, k: int) -> DataFrame:
     return edges.groupBy("u", "v").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
-def _refine(nodes: DataFrame, graph: DataFrame, k: int) -> DataFrame:
-    """New edges among each node's neighbours, where they improve a list."""
+def _refine(nodes: DataFrame, graph: DataFrame, k: int, round_: int) -> DataFrame:
+    """New edges among each node's neighbours, where they improve a list; each round cuts a hub's into other pieces."""
     both = graph.select("u", "v").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     degree = both.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PIECE).alias("m"))
     least = graph.groupBy(F.col("u").alias("v")).agg(F.when(F.count(F.lit(1)) >= k, F.min("s")).otherwise(F.lit(-2.0)).alias("least"))
     side = nodes.select(F.col("cid").alias("v"), "x").join(least, "v", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
-    around = (both.join(degree, "u").withColumn("piece", F.when(F.col("m") > 1, F.pmod(F.xxhash64("v", "u"), "m")).otherwise(0))
+    around = (both.join(degree, "u").withColumn("piece", F.when(F.col("m") > 1, F.pmod(F.xxhash64("v", "u", F.lit(round_)), "m")).otherwise(0))
               .select("u", "piece", "v").join(side, "v"))
 
     def near(b: pd.DataFrame) -> pd.DataFrame:
@@ -170,27 +176,91 @@ def _enlarged(members: DataFrame, threshold: float, dim: int, scratch: Scratch)
     return base.unionByName(counted).groupBy("cid").agg(F.sum("linked").alias("linked"))
 
 
-def _audit(nodes: DataFrame, found: DataFrame, n: int, threshold: float, dim: int) -> float:
-    """Share of the links of AUDIT nodes, compared with all rows, that were found."""
-    spark = nodes.sparkSession
-    draw = F.pmod(F.xxhash64(F.lit(3), "cid"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, AUDIT / n)) + 1)
-    got = nodes.where(draw).select("cid", "v").limit(2 * AUDIT).toPandas().sort_values("cid")
+def _saturated(graph: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Nodes (id) whose whole list is above the threshold."""
+    return graph.groupBy("u").agg(F.count(F.lit(1)).alias("c"), F.min("s").alias("s")).where((F.col("c") >= k) & (F.col("s") >= threshold - SLACK)).select(F.col("u").alias("id"))
+
+
+def _blocks(nodes: DataFrame, size: int) -> Iterator[DataFrame]:
+    """``nodes`` in random blocks of about ``size``."""
+    m = math.ceil(nodes.count() / size)
+    for i in range(m):
+        yield nodes.where(F.pmod(F.xxhash64(F.lit(3), "cid"), F.lit(m)) == i)
+
+
+def _recall(nodes: DataFrame, part: DataFrame, found: DataFrame, threshold: float, dim: int) -> list[tuple[int, int, float]]:
+    """(1 link or 2 for more, nodes, sum of the shares of a node's links that were found) of the nodes of ``part`` that have links."""
+    got = part.select("cid", "v").toPandas()
     if not len(got):
-        return 1.0
-    q = spark.sparkContext.broadcast((got["cid"].to_numpy(), matrix(got["v"], dim)))
+        return []
+    q = nodes.sparkSession.sparkContext.broadcast((got["cid"].to_numpy(), matrix(got["v"], dim)))
 
     def links(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, p = q.value
+        total = np.zeros(len(ids), np.int64)
         for b in it:
             if len(b):
-                x = matrix(b["v"], dim)
-                cos = (p @ x.T) / np.sqrt(np.outer(dots(p, p), dots(x, x)))
-                hit = (cos >= threshold) & (ids[:, None] != b["cid"].to_numpy())
-                yield pd.DataFrame({"cid": ids, "true": hit @ b["w"].to_numpy()})
+                x, other, w = matrix(b["v"], dim), b["cid"].to_numpy(), b["w"].to_numpy()
+                for i in range(0, len(ids), ROWS):
+                    y = p[i : i + ROWS]
+                    cos = (y @ x.T) / np.sqrt(np.outer(dots(y, y), dots(x, x)))
+                    total[i : i + ROWS] += ((cos >= threshold) & (ids[i : i + ROWS, None] != other)) @ w
+        seen = np.flatnonzero(total)
+        yield pd.DataFrame({"cid": ids[seen], "true": total[seen]})
 
     true = nodes.select("cid", "v", "w").mapInPandas(links, "cid long, true long").groupBy("cid").agg(F.sum("true").alias("true"))
-    r = true.join(found, "cid", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("linked", F.lit(0))))).first()
-    return r[1] / r[0] if r[0] else 1.0
+    share = F.least("true", F.coalesce("linked", F.lit(0))) / F.col("true")
+    r = true.join(found, "cid", "left").groupBy(F.least("true", F.lit(2)).alias("kind")).agg(F.count(F.lit(1)), F.sum(share)).collect()
+    q.unpersist()
+    return [tuple(x) for x in r]
+
+
+def _audit(nodes: DataFrame, members: DataFrame, found: DataFrame, threshold: float, dim: int) -> float:
+    """Least mean recall of: nodes outside ``members`` with one link, those with more, and nodes of ``members``."""
+    seen: dict[int, list[float]] = {}
+    for part in _blocks(nodes.join(members.select("cid"), "cid", "left_anti"), QUERIES):
+        for kind, n, share in _recall(nodes, part, found, threshold, dim):
+            so = seen.setdefault(kind, [0, 0.0])
+            so[0], so[1] = so[0] + n, so[1] + share
+        if sum(n for n, _ in seen.values()) >= AUDIT:
+            break
+    within = next(_blocks(members.select("cid", "v"), AUDIT), None)
+    inner = _recall(nodes, within, found, threshold, dim) if within is not None else []
+    if inner:
+        seen[0] = [sum(n for _, n, _ in inner), sum(share for _, _, share in inner)]
+    return min((share / n for n, share in seen.values()), default=1.0)
+
+
+def _all_pairs(nodes: DataFrame, members: DataFrame, threshold: float) -> Iterator[DataFrame]:
+    """Edges (u, v, s) at the threshold from comparing all nodes with all, a block at a time. Of the links between a dense
+    component and another node or component, a task gives one a batch: the node or component then is part of it."""
+    spark = nodes.sparkSession
+    side = nodes.select("cid", "x").join(members.select("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", F.lit(-1).cast("long")))
+    for part in _blocks(side, QUERIES):
+        got = part.toPandas()
+        if not len(got):
+            continue
+        q = spark.sparkContext.broadcast((got["cid"].to_numpy(), got["comp"].to_numpy(), np.stack(got["x"])))
+
+        def near(it: Iterator[pd.DataFrame], q=q) -> Iterator[pd.DataFrame]:
+            ids, comps, p = q.value
+            for b in it:
+                if len(b):
+                    x, other, theirs = np.stack(b["x"]), b["cid"].to_numpy(), b["comp"].to_numpy()
+                    for i in range(0, len(ids), ROWS):
+                        s = p[i : i + ROWS] @ x.T
+                        r, c = np.nonzero(s >= threshold - SLACK)
+                        e = pd.DataFrame({"u": ids[i + r], "v": other[c], "s": s[r, c], "cu": comps[i + r], "cv": theirs[c]})
+                        e = e[(e["u"] < e["v"]) & ((e["cu"] != e["cv"]) | (e["cu"] < 0))]
+                        if not len(e):
+                            continue
+                        dense = (e["cu"] >= 0) | (e["cv"] >= 0)
+                        # cids are not negative; components are named -2 and below here
+                        a, z = e["u"].where(e["cu"] < 0, -2 - e["cu"]), e["v"].where(e["cv"] < 0, -2 - e["cv"])
+                        first = ~pd.DataFrame({"a": a, "z": z}).duplicated()
+                        yield e.loc[first | ~dense, ["u", "v", "s"]]
+
+        yield side.mapInPandas(near, "u long, v long, s float")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -212,20 +282,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     nodes = scratch.pin(classes.mapInPandas(unit, f"v {kind}, cid long, low long, w long, x array<float>"))
     n, k, start = nodes.count(), NEIGHBOURS, 0
     graph = scratch.pin(_trim(_start(nodes, n, dim, k, start), k)) if n else None
+    round_, more = 0, None
     while n:
-        links_n = graph.where(F.col("s") >= threshold - SLACK).count()
-        while True:
-            new = scratch.pin(_trim(graph.unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "s")).unionByName(_refine(nodes, graph, k)), k))
+        while more is None:
+            round_ += 1
+            new = scratch.pin(_trim(graph.unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "s")).unionByName(_refine(nodes, graph, k, round_)), k))
+            close = F.col("s") >= threshold - SLACK
+            open_ = new.where(close).select("u", "v").join(_saturated(new, k, threshold).withColumnRenamed("id", "u"), "u", "left_anti")
+            grown, now = open_.join(graph.where(close).select("u", "v"), ["u", "v"], "left_anti").count(), open_.count()
             scratch.drop(graph)
             graph = new
-            now = graph.where(F.col("s") >= threshold - SLACK).count()
-            grown, links_n = now - links_n, now
             if grown <= SETTLED * now:
                 break
-        links = scratch.pin(_links(nodes, graph, threshold, dim))
+        close = graph if more is None else graph.unionByName(more)
+        links = scratch.pin(_links(nodes, close, threshold, dim))
         comp = scratch.pin(connected_components(links, scratch))
-        full = graph.groupBy("u").agg(F.count(F.lit(1)).alias("c"), F.min("s").alias("s")).where((F.col("c") >= k) & (F.col("s") >= threshold - SLACK)).select(F.col("u").alias("id"))
-        dense = scratch.pin(comp.join(full, "id").select("component").distinct())
+        dense = scratch.pin(comp.join(_saturated(graph, k, threshold), "id").select("component").distinct())
         inside = comp.join(small(dense), "component").select(F.col("component").alias("comp"), F.col("id").alias("cid"))
         members = scratch.pin(nodes.select("cid", "v", "w").join(inside, "cid").select("comp", "cid", "v", "w"))
         weight = nodes.select(F.col("cid").alias("o"), "w")
@@ -233,10 +305,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         degree = ends.join(weight, "o").groupBy("cid").agg(F.sum("w").alias("linked")).join(members.select("cid"), "cid", "left_anti")
         found = degree.unionByName(_enlarged(members, threshold, dim, scratch)) if not members.isEmpty() else degree
         found = scratch.pin(found)
-        if k >= n or _audit(nodes, found, n, threshold, dim) >= RECALL:
+        if more is not None or _audit(nodes, members, found, threshold, dim) >= RECALL:
             break
-        k, start = 2 * k, start + 1
-        graph = scratch.pin(_trim(graph.unionByName(_start(nodes, n, dim, k, start)), k))
+        start += 1
+        if start < STARTS:
+            k *= 2
+            graph = scratch.pin(_trim(graph.unionByName(_start(nodes, n, dim, k, start)), k))
+        else:
+            for part in _all_pairs(nodes, members, threshold):
+                part = scratch.pin(part)
+                more = part if more is None else more.unionByName(part)
 
     bare = rows.join(fit.select("rid"), "rid", "left_anti") if n else rows
     out = bare.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -105,3 +105,24 @@ def test_equal_rows_and_empty_table(spark):
     got = sorted(tuple(r) for r in near_duplicates(rows).collect())
     assert got == [(2, 3, 2, True), (5, 3, 2, False), (5, 3, 2, False), (5, 3, 2, False), (9, 0, 9, True)]
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+@pytest.mark.parametrize("starts", [3, 1])
+def test_a_large_group_does_not_hide_lost_pairs(spark, monkeypatch, starts):
+    monkeypatch.setattr(nn_descent, "BUCKET", 8)  # buckets that part most pairs
+    monkeypatch.setattr(nn_descent, "TREES", 1)
+    monkeypatch.setattr(nn_descent, "STARTS", starts, raising=False)
+    monkeypatch.setattr(nn_descent, "QUERIES", 300, raising=False)
+    rng = np.random.default_rng(6)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    group = unit(rng.normal(size=(1, 64))) + 0.01 * rng.normal(size=(500, 64))
+    a, r = unit(rng.normal(size=(150, 64))), rng.normal(size=(150, 64))
+    b = 0.957 * a + np.sqrt(1 - 0.957**2) * unit(r - (r * a).sum(axis=1, keepdims=True) * a)
+    x = np.r_[group, a, b, unit(rng.normal(size=(700, 64)))].astype(np.float32)
+    links, comp = brute(x)
+    assert links[500:800].tolist() == [1] * 300 and (links[:500] == 499).all()
+    got = near_duplicates(frame(spark, x, odd=False)).toPandas().sort_values("vec_id")
+    assert got.n_links[:500].tolist() == [499] * 500
+    assert got.n_links[500:800].sum() >= 0.97 * 300
+    if starts == 1:  # all nodes are compared with all
+        assert got.n_links.tolist() == links.tolist() and got.component_id.tolist() == comp.tolist()
