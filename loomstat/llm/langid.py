@@ -5,8 +5,10 @@ square-rooted and scaled to length 1. One-versus-one linear machines first choos
 chosen family, one-versus-one machines choose the language. Languages are grouped by the table ``FAMILIES``; a language
 that it does not name is a family of its own.
 
-The machines are fitted on a bounded sample (at most ``SAMPLE_ROWS`` labelled rows, spread evenly over the languages,
-chosen by a hash of the id); the model is a few vectors and is broadcast. Prediction is one pass over all texts.
+The machines are fitted on a bounded sample (about ``SAMPLE_ROWS`` labelled rows and twice that at most, spread evenly over
+the languages, chosen by a hash of the id). The sample stays in Spark: its features are written once, every machine is
+fitted in a task of its own on the rows of its two sides, and only weights (16 KB a machine) reach the driver and are
+broadcast. Prediction is one pass over all texts.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; with no labelled training row everything is
 ``und``, with a single language that language is predicted with score 1; equal votes go to the larger summed margin, then
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstat.llm.common import bounded_batches, held_out, tidy
+from loomstat.llm.common import Scratch, bounded_batches, held_out, tidy
 
 BITS = 12
 DIM = 1 << BITS
@@ -77,8 +79,7 @@ def features(text: str | None) -> np.ndarray | None:
 
 
 def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, cost: float = 20.0) -> np.ndarray:
-    """Linear machine with squared hinge loss, both classes weighing the same; y is +1 or -1. Returns weights and bias."""
-    x = np.c_[x, np.ones(len(x), np.float32)]
+    """Linear machine with squared hinge loss, both classes weighing the same. The last column of x is 1 (bias), y is +1 or -1."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w = np.zeros(x.shape[1], np.float32)
     ahead, step = w, 1.0 / (1.0 + 2 * cost * 2.0)  # the loss is smooth: rows have norm sqrt(2) at most
@@ -90,24 +91,45 @@ def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, cost: float = 20.0) ->
     return w
 
 
-def _machines(x: np.ndarray, names: np.ndarray) -> dict:
-    classes = sorted(set(names))
-    pairs = list(combinations(range(len(classes)), 2))
-    rows = []
-    for a, b in pairs:
-        sel = (names == classes[a]) | (names == classes[b])
-        rows.append(_fit(x[sel], np.where(names[sel] == classes[a], 1, -1).astype(np.float32)))
-    return {"classes": classes, "pairs": pairs, "w": np.array(rows, np.float32).reshape(len(pairs), DIM + 1)}
+def _plan(langs: list[str]) -> list[tuple[str, str, str, dict[str, int]]]:
+    """All machines as (where, a, b, side of each language): ``where`` is "" for families, else the family."""
+    family = {c: _FAMILY.get(c, "=" + c) for c in langs}
+    out = [("", a, b, {c: 1 if family[c] == a else -1 for c in langs if family[c] in (a, b)}) for a, b in combinations(sorted(set(family.values())), 2)]
+    for f in sorted(set(family.values())):
+        out += [(f, a, b, {a: 1, b: -1}) for a, b in combinations(sorted(c for c in langs if family[c] == f), 2)]
+    return out
 
 
-def fit(sample: pd.DataFrame) -> dict:
-    """Model from a bounded sample with columns lang and x (float16 bytes)."""
-    if not len(sample):
+def machine(rows: pd.DataFrame) -> np.ndarray:
+    """Weights and bias of one machine from rows (y, x as float16 bytes), in an order of their own so that reruns agree."""
+    order = sorted(range(len(rows)), key=lambda i: (rows["y"].iat[i], rows["x"].iat[i]))
+    x = np.ones((len(rows), DIM + 1), np.float32)
+    for k, i in enumerate(order):
+        x[k, :DIM] = np.frombuffer(rows["x"].iat[i], np.float16)
+    return _fit(x, rows["y"].to_numpy(np.float32)[order])
+
+
+def _machine_of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    w = machine(rows)
+    tidy()
+    return pd.DataFrame({"m": [key[0]], "w": [w.astype(np.float32).tobytes()]})
+
+
+def assemble(langs: list[str], weights: list[np.ndarray]) -> dict:
+    """Model from the languages and the machines of ``_plan``, in its order."""
+    if not langs:
         return {}
-    x = np.frombuffer(b"".join(sample["x"]), np.float16).reshape(len(sample), DIM).astype(np.float32)
-    lang = sample["lang"].to_numpy(str)
-    family = np.array([_FAMILY.get(c, "=" + c) for c in lang])
-    return {"family": _machines(x, family), "within": {f: _machines(x[family == f], lang[family == f]) for f in sorted(set(family))}}
+    got: dict[str, dict] = {}
+    family = {c: _FAMILY.get(c, "=" + c) for c in langs}
+    for where in ["", *sorted(set(family.values()))]:
+        got[where] = {"classes": sorted(set(family.values())) if where == "" else sorted(c for c in langs if family[c] == where), "pairs": [], "w": []}
+    for (where, a, b, _), w in zip(_plan(langs), weights, strict=True):
+        m = got[where]
+        m["pairs"].append((m["classes"].index(a), m["classes"].index(b)))
+        m["w"].append(w)
+    for m in got.values():
+        m["w"] = np.array(m["w"], np.float32).reshape(len(m["pairs"]), DIM + 1)
+    return {"family": got.pop(""), "within": got}
 
 
 def _vote(m: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,8 +184,18 @@ def train(documents: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
         part = F.when(F.col("lang") == lang, min(1.0, share / n)).otherwise(part)
     draw = F.pmod(F.xxhash64(F.lit(5), "doc_id", F.length("text")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = known.select("lang", "text", draw.alias("d"), part.alias("p")).where("d < p").select("lang", "text")
-    got = sample.mapInPandas(_features_of, "lang string, x binary").limit(2 * rows).toPandas()
-    return fit(got.sort_values(["lang", "x"]))  # whatever order the tasks ended in
+    scratch = Scratch(documents.sparkSession, "langid")
+    points = scratch.pin(sample.mapInPandas(_features_of, "lang string, x binary").limit(2 * rows))
+    langs = sorted(r[0] for r in points.select("lang").distinct().collect())  # at most one row a language
+    plan = _plan(langs)
+    sides = [(i, lang, side) for i, (_, _, _, of) in enumerate(plan) for lang, side in of.items()]
+    weights = {}
+    if sides:
+        dealt = points.join(documents.sparkSession.createDataFrame(sides, "m int, lang string, y int"), "lang").select("m", "y", "x")
+        fitted = dealt.groupBy("m").applyInPandas(_machine_of, "m int, w binary")
+        weights = {r["m"]: np.frombuffer(r["w"], np.float32) for r in fitted.toLocalIterator()}  # 16 KB a machine
+    scratch.drop(points)
+    return assemble(langs, [weights[i] for i in range(len(plan))])
 
 
 def language(documents: DataFrame, text: Column) -> Column:

@@ -1,10 +1,13 @@
 """op5: held-out accuracy on the small documents, and odd texts."""
 
 import zlib
+from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from conftest import SF_SMALL
 
-from loomstat.llm.langid import features, identify, known_language
+from loomstat.llm.langid import DIM, features, identify, known_language, machine, predict, train
 
 
 def test_held_out_accuracy(spark):
@@ -40,3 +43,60 @@ def test_without_labels(spark):
 def test_features_see_the_whole_text():
     a, b = "ab " * 500_000, "ab " * 500_000 + "xyz"
     assert (features(a) != features(b)).any() and features("12 34") is None
+
+
+def _loss(w, x, y, cost=20.0):
+    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+    return 0.5 * w @ w + cost * (weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+
+
+def test_machines_reach_the_least_loss():
+    """Against plain gradient descent in double precision, run until it stands still."""
+    rng = np.random.default_rng(3)
+    x16 = np.abs(rng.normal(size=(60, DIM)) * (rng.random((60, DIM)) < 0.02)).astype(np.float32)
+    x16 = (x16 / np.linalg.norm(x16, axis=1, keepdims=True)).astype(np.float16)
+    y = np.where(rng.random(60) < 0.3, 1, -1)
+    rows = pd.DataFrame({"y": y, "x": [v.tobytes() for v in x16]})
+    w = machine(rows).astype(float)
+    assert (machine(rows.sample(frac=1, random_state=1)) == machine(rows)).all()  # the order of rows does not count
+    x = np.c_[x16.astype(float), np.ones(60)]
+    best = np.zeros(DIM + 1)
+    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+    for _ in range(20_000):
+        best -= 0.01 * (best - 40.0 * (x.T @ (weight * y * np.maximum(0, 1 - y * (x @ best)))))
+    assert _loss(w, x, y) <= _loss(best, x, y) * 1.001
+
+
+def test_fit_and_votes_against_loops(spark):
+    """The fit in Spark and the votes against a machine-by-machine loop over the same rows."""
+    words = {"en": "the cat sat on a mat", "de": "die katze sass auf der matte", "nl": "de kat zat op een mat", "fr": "le chat est sur un tapis",
+             "es": "el gato en la estera", "xx": "zzq qzz qqz"}
+    rng = np.random.default_rng(5)
+    rows = [(k * 100 + i, " ".join(rng.choice(t.split(), 12)), lang) for k, (lang, t) in enumerate(words.items()) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(df)
+    learned = [(t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    points = [(lang, features(t).astype(np.float16)) for t, lang in learned]
+    family = {"en": "germanic", "de": "germanic", "nl": "germanic", "fr": "romance", "es": "romance", "xx": "=xx"}
+
+    def fitted(side):
+        return machine(pd.DataFrame([(side[lang], x.tobytes()) for lang, x in points if lang in side], columns=["y", "x"]))
+
+    def vote(names, machines, x):
+        wins, margin = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
+        for (a, b), w in machines.items():
+            v = float(x @ w[:DIM] + w[DIM])
+            wins[a if v > 0 else b] += 1
+            margin[a] += v
+            margin[b] -= v
+        return max(names, key=lambda c: (wins[c], margin[c], [-ord(k) for k in c]))
+
+    families = sorted(set(family.values()))
+    first = {(a, b): fitted({c: 1 if f == a else -1 for c, f in family.items() if f in (a, b)}) for a, b in combinations(families, 2)}
+    within = {f: {(a, b): fitted({a: 1, b: -1}) for a, b in combinations(sorted(c for c in family if family[c] == f), 2)} for f in families}
+    assert np.allclose(model["family"]["w"], list(first.values()), atol=1e-4)
+    texts = [t for _, t, _ in rows]
+    told, score = predict(model, pd.Series(texts))
+    for text, lang, s in zip(texts, told, score, strict=True):
+        f = vote(families, first, features(text))
+        assert lang == vote(sorted(c for c in family if family[c] == f), within[f], features(text)) and 0 < s <= 1
