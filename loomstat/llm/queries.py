@@ -102,3 +102,11 @@ def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomstat.llm.nn_descent import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, every tenth of which repeats itself."""
+    from loomstat.llm.periodic_runs import digest, periodic_runs, planted
+
+    return digest(periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted))
