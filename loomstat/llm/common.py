@@ -18,6 +18,8 @@ from loomstat.session import ensure_checkpoint_dir
 BROADCAST_ROWS = 200_000
 #: Rows of an Arrow batch that a Python worker gets at once; texts are long.
 BATCH_ROWS = 4000
+#: Bytes of such a batch, for operators whose rows are large.
+BATCH_BYTES = 32 << 20
 _OPEN: list[Scratch] = []
 
 
@@ -28,6 +30,11 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def bounded_bytes(spark: SparkSession) -> None:
+    """Hold an Arrow batch to BATCH_BYTES, for rows that are large each."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def tidy() -> None:
     """Give memory that a Python worker has freed back to the system; workers live on for later tasks."""
     import ctypes

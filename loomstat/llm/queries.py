@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstat.llm import minhash_join, mixing, nn_descent, secrets_scan, tool_calls
+from loomstat.llm import merkle_log, minhash_join, mixing, nn_descent, secrets_scan, tool_calls
 from loomstat.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {"op2_source_mixing": mixing.ORACLE, "op3_secret_scan": secrets_scan.ORACLE,
-                           "op6_nn_descent": nn_descent.ORACLE, "op7_tool_call_linking": tool_calls.ORACLE, "op8_minhash_near_dedup": minhash_join.ORACLE}
+                           "op6_nn_descent": nn_descent.ORACLE, "op7_tool_call_linking": tool_calls.ORACLE, "op8_minhash_near_dedup": minhash_join.ORACLE,
+                           "op12_merkle_manifest": merkle_log.ORACLE}
 
 
 def query(fn: Query) -> Query:
@@ -110,3 +111,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomstat.llm.periodic_runs import digest, periodic_runs, planted
 
     return digest(periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle leaves, roots and proofs of all documents, a third of which are checked with altered texts."""
+    from loomstat.llm.merkle_log import verified
+
+    return verified(table(spark, sf_dir, "documents"))
