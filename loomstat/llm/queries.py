@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstat.llm import merkle_log, minhash_join, mixing, nn_descent, secrets_scan, tool_calls
+from loomstat.llm import merkle_log, minhash_join, mixing, nn_descent, secrets_scan, tool_calls, warc_zstd
 from loomstat.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {"op2_source_mixing": mixing.ORACLE, "op3_secret_scan": secrets_scan.ORACLE,
                            "op6_nn_descent": nn_descent.ORACLE, "op7_tool_call_linking": tool_calls.ORACLE, "op8_minhash_near_dedup": minhash_join.ORACLE,
-                           "op12_merkle_manifest": merkle_log.ORACLE}
+                           "op12_merkle_manifest": merkle_log.ORACLE, "op13_warc_zstd": warc_zstd.ORACLE}
 
 
 def query(fn: Query) -> Query:
@@ -119,3 +119,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomstat.llm.merkle_log import verified
 
     return verified(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives and read back."""
+    from loomstat.llm.warc_zstd import archived, summary
+
+    return summary(archived(table(spark, sf_dir, "pages")))
