@@ -260,6 +260,18 @@ def g2(m):
     return GR.recommendations(D.open_orders(m), D.available_oficinas(m), regions, top_n=5)
 
 
+from loomstat.operators import assignment as GA  # noqa: E402
+
+
+def _assignment(m):
+    regions = G.region_table_from_nations(m.raw("nation"), m.raw("region"))
+    return GA.optimal_assignment(D.open_orders(m), D.available_oficinas(m), regions)
+
+
+register("G3_optimal_assignment")(_assignment)
+register("G3_total", "SELECT * FROM g_assignment_bound")(lambda m: GA.totals(_assignment(m)))
+
+
 @register("G1_score_bids", "SELECT * FROM g_bid_scores")
 def g1(m):
     regions = G.region_table_from_nations(m.raw("nation"), m.raw("region"))
