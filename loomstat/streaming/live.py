@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loomstat.session import ensure_checkpoint_dir
 from loomstat.sources.io import SCHEMAS
+from loomstat.streaming.upsert import latest_snapshot, upsert_snapshot
 
 WATERMARK = "1 hour"
 SESSION_GAP = "30 minutes"
@@ -125,59 +126,12 @@ def order_codes(pedidos: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- T1 / T2
-def upsert_snapshot(base: str, keys: list[str], ts_col: str):
-    """A ``foreachBatch`` sink with last-writer-wins upsert semantics.
-
-    Epoch e merges the batch (latest row per key by ``ts_col``) into the snapshot written
-    by epoch e-1 and writes snapshot ``v{e}``; re-running an epoch after a failure rewrites
-    the same version from the same inputs, so the sink is idempotent. The updated-at stamp
-    is the batch's event time, not the wall clock."""
-    from pyspark.sql import Window
-
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        w = Window.partitionBy(*keys).orderBy(F.col(ts_col).desc())
-        latest = batch.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
-        prev = f"{base}/v{epoch_id - 1:08d}"
-        if epoch_id == 0:
-            merged = latest
-        elif _exists(spark, prev):
-            current = spark.read.parquet(prev)
-            merged = current.join(latest.select(*keys), keys, "left_anti").unionByName(latest)
-        else:
-            raise FileNotFoundError(f"snapshot {prev} is gone: epoch {epoch_id} has nothing to merge into")
-        merged.write.mode("overwrite").parquet(f"{base}/v{epoch_id:08d}")
-        if epoch_id > 1:  # a retried epoch needs its predecessor, nothing older
-            _remove(spark, f"{base}/v{epoch_id - 2:08d}")
-
-    return write
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
-
-
 def _is_folder(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     return bool(fs.exists(p) and fs.getFileStatus(p).isDirectory())
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def latest_snapshot(spark: SparkSession, base: str) -> DataFrame:
-    """Read the newest snapshot version written by ``upsert_snapshot``."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = sorted(st.getPath().getName() for st in fs.listStatus(path) if st.getPath().getName().startswith("v"))
-    return spark.read.parquet(f"{base}/{versions[-1]}")
-
-
 def live_workshop_scores(reviews: DataFrame) -> DataFrame:
     """Per workshop, the rounded mean of each rating dimension (NULLs skipped) and the
     number of reviews, maintained as reviews arrive (streaming aggregation, update mode).
@@ -195,7 +149,7 @@ def live_workshop_scores(reviews: DataFrame) -> DataFrame:
 
 def run_live_scores(spark: SparkSession, reviews_path: str, name: str = "t1", files_per_trigger: int = 1) -> DataFrame:
     """Run T1 over a Parquet directory of reviews as a file stream (several micro-batches),
-    upserting each batch's updated workshops into versioned snapshots (T2)."""
+    upserting each batch's updated workshops into the buckets they fall into (T2)."""
     schema = spark.read.parquet(reviews_path).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(reviews_path)
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex}"
