@@ -67,6 +67,7 @@ def probability_alive(rfm: DataFrame, p: BGNBDParams, digits: int = 6) -> DataFr
 
 # ====================================================================== model fitting (V2, V3)
 import math  # noqa: E402
+from collections.abc import Callable  # noqa: E402
 
 import numpy as np  # noqa: E402
 import pandas as pd  # noqa: E402
@@ -87,6 +88,27 @@ def lgamma_col(z: F.Column) -> F.Column:
     return series - shift
 
 
+def lgamma_sql(z: str) -> str:
+    """``lgamma_col`` as SQL text over a column, with one logarithm for the whole shift."""
+    y, shift = f"({z} + 8)", " * ".join(f"({z} + {i})" for i in range(8))
+    series = f"(1 / (12 * {y}) - 1 / (360 * pow({y}, 3)) + 1 / (1260 * pow({y}, 5)) - 1 / (1680 * pow({y}, 7)))"
+    return f"(({y} - 0.5D) * ln({y}) - {y} + {LN_2PI_HALF!r}D + {series} - ln({shift}))"
+
+
+def digamma_sql(z: str) -> str:
+    """ψ(z), the derivative of ln Γ, for z > 0: the same shift by 8 and the derivative of its series."""
+    y, shift = f"({z} + 8)", " + ".join(f"1 / ({z} + {i})" for i in range(8))
+    series = f"(1 / (12 * pow({y}, 2)) - 1 / (120 * pow({y}, 4)) + 1 / (252 * pow({y}, 6)) - 1 / (240 * pow({y}, 8)) + 1 / (132 * pow({y}, 10)))"
+    return f"(ln({y}) - 0.5D / {y} - {series} - ({shift}))"
+
+
+def digamma(z: float) -> float:
+    """ψ(z) of a parameter."""
+    y = z + 8.0
+    return (math.log(y) - 0.5 / y - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6) + 1 / (240 * y**8) - 1 / (132 * y**10)
+            - sum(1.0 / (z + i) for i in range(8)))
+
+
 def _log_rising(base: F.Column, n: F.Column) -> F.Column:
     """Σ_{i<n} ln(base + i) for a non-negative integer n (= lnΓ(base+n) - lnΓ(base))."""
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0),
@@ -112,55 +134,83 @@ def bgnbd_loglik(x: F.Column, tx: F.Column, tt: F.Column, r, alpha, a, b) -> F.C
     return a1 + a2 + F.log(F.exp(a3 - mx) + F.when(x > 0, F.exp(a4 - mx)).otherwise(F.lit(0.0))) + mx
 
 
-def _evaluate(stats: DataFrame, cands: list[np.ndarray], objective) -> list[float]:
-    """Evaluate several log-parameter vectors in one job: the (few) candidate parameter
-    sets are inlined as a literal array and exploded against every statistics row, then
-    the objective is aggregated per candidate."""
-    k = len(cands[0])
-    lits = F.array(*[F.struct(F.lit(i).alias("cid"), *[F.lit(float(v)).alias(f"p{j}") for j, v in enumerate(np.exp(c))])
-                     for i, c in enumerate(cands)])
-    res = objective(stats.select("*", F.explode(lits).alias("_c")).select("*", "_c.*").drop("_c"))
-    del k
-    got = {r["cid"]: r["obj"] for r in res.collect()}
-    return [got[i] if got[i] is not None and math.isfinite(got[i]) else float("inf") for i in range(len(cands))]
-
-
-def nelder_mead(evaluate, x0: np.ndarray, step: float = 0.5, max_iter: int = 400, xtol: float = 1e-4,
-                ftol: float = 1e-6) -> tuple[np.ndarray, float, int, bool]:
-    """Nelder–Mead on the driver; every iteration evaluates reflection, expansion and both
-    contractions in one batch (one Spark job), a shrink in a second one."""
-    n = len(x0)
-    simplex = [x0] + [x0 + step * np.eye(n)[i] for i in range(n)]
-    fs = evaluate(simplex)
-    it, converged = 0, False
-    for it in range(1, max_iter + 1):
-        order = np.argsort(fs)
-        simplex = [simplex[i] for i in order]
-        fs = [fs[i] for i in order]
-        if max(abs(f - fs[0]) for f in fs) <= ftol and max(np.max(np.abs(s - simplex[0])) for s in simplex) <= xtol:
-            converged = True
-            break
-        centroid = np.mean(simplex[:-1], axis=0)
-        worst = simplex[-1]
-        xr = centroid + (centroid - worst)
-        xe = centroid + 2.0 * (centroid - worst)
-        xoc = centroid + 0.5 * (centroid - worst)
-        xic = centroid - 0.5 * (centroid - worst)
-        fr, fe, foc, fic = evaluate([xr, xe, xoc, xic])
-        if fr < fs[0]:
-            simplex[-1], fs[-1] = (xe, fe) if fe < fr else (xr, fr)
-        elif fr < fs[-2]:
-            simplex[-1], fs[-1] = xr, fr
-        elif fr < fs[-1] and foc <= fr:
-            simplex[-1], fs[-1] = xoc, foc
-        elif fr >= fs[-1] and fic < fs[-1]:
-            simplex[-1], fs[-1] = xic, fic
-        else:
-            new = [simplex[0] + 0.5 * (s - simplex[0]) for s in simplex[1:]]
-            simplex = [simplex[0]] + new
-            fs = [fs[0]] + evaluate(new)
-    best = int(np.argmin(fs))
-    return simplex[best], fs[best], it, converged
+Evaluation = tuple[float, np.ndarray]
+
+
+@dataclass(frozen=True)
+class Likelihood:
+    """A model's log-likelihood with closed-form derivatives over a statistics table.
+
+    ``known(*parameters)`` names the values that hold for all customers (the parameters and functions of them), ``stages`` are
+    select lists, each over the columns of the one before, so that no intermediate is written out twice; the last one names
+    the log-likelihood ``value`` and its derivatives ``slope0``, ``slope1``, ... by the parameters."""
+
+    parameters: int
+    known: Callable[..., dict[str, float]]
+    stages: tuple[tuple[str, ...], ...]
+
+
+def _evaluate(stats: DataFrame, cands: list[np.ndarray], model: Likelihood, penalizer: float) -> list[Evaluation]:
+    """Objective and gradient of several log-parameter vectors in one job.
+
+    The few candidates are a literal array exploded against every statistics row; one aggregate sums value and gradient of
+    each. Returned are the mean negative log-likelihood + penalizer·Σθ² and its derivative by the logarithms of the parameters."""
+    theta = [np.exp(c) for c in cands]
+    known = [model.known(*map(float, t)) for t in theta]
+    lits = F.array(*[F.struct(F.lit(i).alias("cid"), *[F.lit(float(v)).alias(k) for k, v in at.items()]) for i, at in enumerate(known)])
+    rows = stats.select("*", F.explode(lits).alias("_c")).select("*", "_c.*").drop("_c")
+    for stage in model.stages:
+        rows = rows.selectExpr("*", *stage)
+    names = ["value", *[f"slope{j}" for j in range(model.parameters)]]
+    got = {r["cid"]: r for r in rows.groupBy("cid").agg(*[F.expr(f"sum(w * {c}) / sum(w) AS {c}") for c in names]).collect()}  # a row a candidate
+    out = []
+    for i, t in enumerate(theta):
+        parts = np.array([got[i][c] for c in names] if i in got else [math.nan] * len(names), float)
+        f = -parts[0] + penalizer * float(t @ t)
+        g = t * (-parts[1:] + 2 * penalizer * t)
+        out.append((float(f), g) if np.isfinite(f) and np.isfinite(g).all() else (math.inf, np.full(len(t), math.nan)))
+    return out
+
+
+STEPS = (1.0, 0.4, 0.1, 0.02)
+
+
+def quasi_newton(evaluate, x0: np.ndarray, max_iter: int = 100, gtol: float = 1e-7, longest: float = 2.0) -> tuple[np.ndarray, float, int, bool]:
+    """BFGS on the driver over a handful of parameters; every iteration is one evaluation (one Spark job) of the step lengths
+    ``STEPS`` along the search direction. A step is at most ``longest`` in any log-parameter. Returns the point, its value,
+    the number of evaluations and whether the gradient vanished (or value and point stand still next to it)."""
+    x, inverse = np.array(x0, float), np.eye(len(x0))
+    (f, g), jobs, scaled = evaluate([x])[0], 1, False
+    while True:
+        if np.abs(g).max() <= gtol:
+            return x, f, jobs, True
+        if jobs >= max_iter:
+            return x, f, jobs, False
+        d = -inverse @ g
+        if d @ g >= 0:  # no descent: start the curvature anew
+            inverse, scaled = np.eye(len(x)), False
+            d = -g
+        d *= min(1.0, longest / np.abs(d).max())
+        tried = evaluate([x + t * d for t in STEPS])
+        jobs += 1
+        best = min((i for i in range(len(STEPS)) if tried[i][0] <= f + 1e-4 * STEPS[i] * (d @ g)), key=lambda i: tried[i][0], default=None)
+        if best is None:
+            if np.array_equal(inverse, np.eye(len(x))) or np.abs(g).max() <= 100 * gtol:
+                if np.abs(g).max() <= 1000 * gtol:  # rounding of the sums hides what is left
+                    return x, f, jobs, True
+                longest /= 50
+                if longest < 1e-9:
+                    return x, f, jobs, False
+            inverse, scaled = np.eye(len(x)), False
+            continue
+        s, y = STEPS[best] * d, tried[best][1] - g
+        x, (f, g) = x + s, tried[best]
+        sy = float(s @ y)
+        if sy > 1e-12 * np.linalg.norm(s) * np.linalg.norm(y):
+            if not scaled:
+                inverse, scaled = np.eye(len(x)) * (sy / float(y @ y)), True
+            left = np.eye(len(x)) - np.outer(s, y) / sy
+            inverse = left @ inverse @ left.T + np.outer(s, s) / sy
 
 
 @dataclass(frozen=True)
@@ -170,30 +220,37 @@ class GGParams:
     v: float
 
 
-def _bgnbd_objective(penalizer: float):
-    def obj(j: DataFrame) -> DataFrame:
-        r, alpha, a, b = (F.col(f"p{i}") for i in range(4))
-        ll = bgnbd_loglik(F.col("x"), F.col("tx"), F.col("tt"), r, alpha, a, b)
-        pen = F.lit(penalizer) * (r * r + alpha * alpha + a * a + b * b)
-        return j.groupBy("cid").agg((-F.sum(F.col("w") * ll) / F.sum("w") + F.first(pen)).alias("obj"))
-    return obj
+def _bgnbd_known(r: float, alpha: float, a: float, b: float) -> dict[str, float]:
+    return {"r": r, "alpha": alpha, "a": a, "b": b, "lg_const": r * math.log(alpha) - math.lgamma(r) - math.lgamma(b) + math.lgamma(a + b),
+            "ln_alpha": math.log(alpha), "ln_a": math.log(a), "dg_r": digamma(r), "dg_b": digamma(b), "dg_ab": digamma(a + b)}
 
 
-def _fitted(evaluate, x0, max_iter: int, require: bool):
-    x, f, it, converged = nelder_mead(evaluate, x0, max_iter=max_iter)
+#: BG/NBD over rows (x, tx, tt, w); ``share``: how likely the customer dropped out right after the last purchase.
+BGNBD = Likelihood(4, _bgnbd_known, (
+    ("double(x) + r AS rx", "double(x) + b AS bx", "double(x) + a + b AS abx", "alpha + tx AS dead", "alpha + tt AS alive"),
+    ("ln(dead) AS ln_dead", "ln(alive) AS ln_alive", f"{lgamma_sql('rx')} + {lgamma_sql('bx')} - {lgamma_sql('abx')} + lg_const AS common",
+     f"{digamma_sql('rx')} - dg_r AS up_r", f"{digamma_sql('bx')} - dg_b AS up_b", f"{digamma_sql('abx')} - dg_ab AS up_ab"),
+    ("-rx * ln_alive AS here", "CASE WHEN x > 0 THEN ln_a - ln(bx - 1) - rx * ln_dead END AS gone"),
+    ("greatest(here, gone) AS top",),  # passes over null
+    ("exp(here - top) AS e_here", "coalesce(exp(gone - top), 0D) AS e_gone"),
+    ("e_gone / (e_here + e_gone) AS share", "common + top + ln(e_here + e_gone) AS value"),
+    ("up_r + ln_alpha - (1 - share) * ln_alive - share * ln_dead AS slope0", "r / alpha - rx * ((1 - share) / alive + share / dead) AS slope1",
+     "share / a - up_ab AS slope2", "up_b - up_ab - CASE WHEN x > 0 THEN share / (bx - 1) ELSE 0D END AS slope3")))
+
+
+def _fitted(stats: DataFrame, model: Likelihood, penalizer: float, max_iter: int, require: bool):
+    x, f, it, converged = quasi_newton(lambda c: _evaluate(stats, c, model, penalizer), np.zeros(model.parameters), max_iter=max_iter)
     if require and not converged:
         raise RuntimeError(f"no optimum within {max_iter} iterations (objective {f})")
-    return x, f, it, converged
+    return np.exp(x), float(f), it, converged
 
 
-def fit_bgnbd(rfm: DataFrame, penalizer: float = 0.001, max_iter: int = 400,
-              require_convergence: bool = False) -> tuple[BGNBDParams, float, int, bool]:
-    """V2: maximum likelihood BG/NBD (mean negative log-likelihood + penalizer·Σθ², on
-    log-parameters). Returns the parameters, the objective, the iteration count and whether it converged."""
+def fit_bgnbd(rfm: DataFrame, penalizer: float = 0.001, max_iter: int = 400, require_convergence: bool = False) -> tuple[BGNBDParams, float, int, bool]:
+    """V2: maximum likelihood BG/NBD (mean negative log-likelihood + penalizer·Σθ², on log-parameters) over the customers
+    grouped by (x, t_x, T). Returns the parameters, the objective, the evaluations (one job each) and whether it converged."""
     stats = bgnbd_stats(rfm).checkpoint(eager=True)
-    x, f, it, converged = _fitted(lambda c: _evaluate(stats, c, _bgnbd_objective(penalizer)), np.zeros(4), max_iter, require_convergence)
-    r, alpha, a, b = np.exp(x)
-    return BGNBDParams(float(r), float(alpha), float(a), float(b)), float(f), it, converged
+    (r, alpha, a, b), f, it, converged = _fitted(stats, BGNBD, penalizer, max_iter, require_convergence)
+    return BGNBDParams(float(r), float(alpha), float(a), float(b)), f, it, converged
 
 
 def gg_loglik(x: F.Column, m: F.Column, p, q, v) -> F.Column:
@@ -203,23 +260,26 @@ def gg_loglik(x: F.Column, m: F.Column, p, q, v) -> F.Column:
             + px * F.log(x) - (px + q) * F.log(x * m + v))
 
 
-def _gg_objective(penalizer: float):
-    def obj(j: DataFrame) -> DataFrame:
-        p, q, v = (F.col(f"p{i}") for i in range(3))
-        ll = gg_loglik(F.col("x"), F.col("m"), p, q, v)
-        pen = F.lit(penalizer) * (p * p + q * q + v * v)
-        return j.groupBy("cid").agg((-F.avg(ll) + F.first(pen)).alias("obj"))
-    return obj
+def _gg_known(p: float, q: float, v: float) -> dict[str, float]:
+    return {"p": p, "q": q, "v": v, "ln_v": math.log(v), "lg_q": math.lgamma(q), "dg_q": digamma(q)}
+
+
+#: Gamma-Gamma over rows (x, m, w).
+GAMMA_GAMMA = Likelihood(3, _gg_known, (
+    ("p * x AS px", "x * m + v AS spent", "ln(m) AS ln_m", "ln(x) AS ln_x"),
+    ("px + q AS pxq", "ln(spent) AS ln_spent"),
+    (f"{digamma_sql('pxq')} AS joint", f"{digamma_sql('px')} AS own", f"{lgamma_sql('pxq')} - {lgamma_sql('px')} AS ratio"),
+    ("ratio - lg_q + q * ln_v + (px - 1) * ln_m + px * ln_x - pxq * ln_spent AS value",
+     "x * (joint - own + ln_m + ln_x - ln_spent) AS slope0", "joint - dg_q + ln_v - ln_spent AS slope1", "q / v - pxq / spent AS slope2")))
 
 
-def fit_gamma_gamma(rfm: DataFrame, penalizer: float = 0.001, max_iter: int = 400,
-                    require_convergence: bool = False) -> tuple[GGParams, float, int, bool]:
-    """V3: Gamma-Gamma spend model on repeat buyers (frequency > 0, positive spend)."""
-    data = (rfm.where((F.col("frequency") > 0) & (F.col("monetary_value") > 0))
-            .select(F.col("frequency").alias("x"), F.col("monetary_value").alias("m")).checkpoint(eager=True))
-    x, f, it, converged = _fitted(lambda c: _evaluate(data, c, _gg_objective(penalizer)), np.zeros(3), max_iter, require_convergence)
-    p, q, v = np.exp(x)
-    return GGParams(float(p), float(q), float(v)), float(f), it, converged
+def fit_gamma_gamma(rfm: DataFrame, penalizer: float = 0.001, max_iter: int = 400, require_convergence: bool = False) -> tuple[GGParams, float, int, bool]:
+    """V3: Gamma-Gamma spend model on repeat buyers (frequency > 0, positive spend), grouped by (x, m)."""
+    buyers = rfm.where((F.col("frequency") > 0) & (F.col("monetary_value") > 0))
+    stats = (buyers.groupBy(F.col("frequency").alias("x"), F.col("monetary_value").alias("m")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+             .checkpoint(eager=True))
+    (p, q, v), f, it, converged = _fitted(stats, GAMMA_GAMMA, penalizer, max_iter, require_convergence)
+    return GGParams(float(p), float(q), float(v)), f, it, converged
 
 
 # ====================================================================== prediction (V4, V5, V7)

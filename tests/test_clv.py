@@ -48,11 +48,12 @@ def test_lgamma_column(spark):
 
 
 def test_fit_predict_segment(rfm):
-    bg, obj, _, converged = V.fit_bgnbd(rfm, max_iter=25)
-    assert not converged
+    assert not V.fit_bgnbd(rfm, max_iter=3)[3]
+    bg, obj, _, converged = V.fit_bgnbd(rfm, max_iter=60)
+    assert converged
     start = -_ll_numpy(1.0, 1.0, 1.0, 1.0) / len(RFM) + 0.001 * 4
     assert obj < start
-    gg, *_ = V.fit_gamma_gamma(rfm, max_iter=25)
+    gg, *_ = V.fit_gamma_gamma(rfm, max_iter=60)
     out = V.predict_clv(rfm, bg, gg).collect()
     assert len(out) == len(RFM)
     assert all(0.0 <= r["prob_alive"] <= 1.0 for r in out)
@@ -63,6 +64,97 @@ def test_fit_predict_segment(rfm):
     assert pa["e3"] == 1.0  # no repeat purchase: alive by definition
 
 
+def test_digamma_column(spark):
+    zs = [0.01, 0.1, 0.5, 1.0, 2.5, 7.3, 40.0, 1234.5]
+    got = [r[0] for r in spark.createDataFrame([(z,) for z in zs], "z double").selectExpr(V.digamma_sql("z")).collect()]
+    assert got[3] == pytest.approx(-0.5772156649015329, abs=1e-12) and got[2] == pytest.approx(-0.5772156649015329 - 2 * math.log(2), abs=1e-12)
+    for z, d in zip(zs, got, strict=True):  # recurrence down to the asymptotic series, and differences of ln Γ
+        up = z + 200.0
+        exact = math.log(up) - 0.5 / up - 1 / (12 * up**2) + 1 / (120 * up**4) - sum(1 / (z + i) for i in range(200))
+        assert d == pytest.approx(exact, abs=1e-11) and V.digamma(z) == pytest.approx(exact, abs=1e-11)
+    got = [r[0] for r in spark.createDataFrame([(z,) for z in zs], "z double").selectExpr(V.lgamma_sql("z")).collect()]
+    assert np.allclose(got, [math.lgamma(z) for z in zs], atol=1e-10)
+
+
+@pytest.mark.parametrize("which", ["bgnbd", "gg"])
+def test_gradients_against_differences(rfm, which):
+    rng = np.random.default_rng(2)
+    if which == "bgnbd":
+        stats, model, n, scale = V.bgnbd_stats(rfm), V.BGNBD, 4, [0.5, 30.0, 0.8, 2.5]
+    else:
+        stats = rfm.where("frequency > 0").select(F.col("frequency").alias("x"), F.col("monetary_value").alias("m"), F.lit(2.0).alias("w"))
+        model, n, scale = V.GAMMA_GAMMA, 3, [3.0, 2.0, 800.0]
+    for _ in range(3):
+        at, h = np.log(scale) + rng.normal(0, 0.5, n), 1e-5
+        around = [at] + [at + s * h * np.eye(n)[j] for j in range(n) for s in (1, -1)]
+        got = V._evaluate(stats, around, model, 0.001)
+        for j in range(n):
+            assert got[0][1][j] == pytest.approx((got[1 + 2 * j][0] - got[2 + 2 * j][0]) / (2 * h), rel=1e-5, abs=1e-7)
+    if which == "bgnbd":
+        p = np.exp(at)
+        assert got[0][0] == pytest.approx(-_ll_numpy(*p) / len(RFM) + 0.001 * float(p @ p), rel=1e-12)
+
+
+def _simplex(evaluate, x0: np.ndarray, step: float = 0.5, max_iter: int = 400, xtol: float = 1e-4,
+                ftol: float = 1e-6) -> tuple[np.ndarray, float, int, bool]:
+    """Nelder-Mead, an optimiser without gradients."""
+    n = len(x0)
+    simplex = [x0] + [x0 + step * np.eye(n)[i] for i in range(n)]
+    fs = evaluate(simplex)
+    it, converged = 0, False
+    for it in range(1, max_iter + 1):
+        order = np.argsort(fs)
+        simplex = [simplex[i] for i in order]
+        fs = [fs[i] for i in order]
+        if max(abs(f - fs[0]) for f in fs) <= ftol and max(np.max(np.abs(s - simplex[0])) for s in simplex) <= xtol:
+            converged = True
+            break
+        centroid = np.mean(simplex[:-1], axis=0)
+        worst = simplex[-1]
+        xr = centroid + (centroid - worst)
+        xe = centroid + 2.0 * (centroid - worst)
+        xoc = centroid + 0.5 * (centroid - worst)
+        xic = centroid - 0.5 * (centroid - worst)
+        fr, fe, foc, fic = evaluate([xr, xe, xoc, xic])
+        if fr < fs[0]:
+            simplex[-1], fs[-1] = (xe, fe) if fe < fr else (xr, fr)
+        elif fr < fs[-2]:
+            simplex[-1], fs[-1] = xr, fr
+        elif fr < fs[-1] and foc <= fr:
+            simplex[-1], fs[-1] = xoc, foc
+        elif fr >= fs[-1] and fic < fs[-1]:
+            simplex[-1], fs[-1] = xic, fic
+        else:
+            new = [simplex[0] + 0.5 * (s - simplex[0]) for s in simplex[1:]]
+            simplex = [simplex[0]] + new
+            fs = [fs[0]] + evaluate(new)
+    best = int(np.argmin(fs))
+    return simplex[best], fs[best], it, converged
+
+
+def _gg_numpy(p, q, v):
+    return sum(math.lgamma(p * x + q) - math.lgamma(p * x) - math.lgamma(q) + q * math.log(v) + (p * x - 1) * math.log(m) + p * x * math.log(x)
+               - (p * x + q) * math.log(x * m + v) for _, x, _, _, m in RFM if x > 0)
+
+
+def test_fits_reach_the_optimum_of_a_simplex_search(rfm):
+    buyers = sum(1 for r in RFM if r[1] > 0)
+    for fit, loglik, n, k in ((V.fit_bgnbd, _ll_numpy, len(RFM), 4), (V.fit_gamma_gamma, _gg_numpy, buyers, 3)):
+        p, f, jobs, converged = fit(rfm)
+        point, g, _, done = _simplex(lambda cands, ll=loglik, n=n: [-ll(*np.exp(c)) / n + 0.001 * float(np.exp(c) @ np.exp(c)) for c in cands],
+                                     np.zeros(k), max_iter=4000, xtol=1e-7, ftol=1e-12)
+        assert converged and done and jobs <= 40
+        assert f == pytest.approx(g, abs=1e-8)
+        assert [getattr(p, c) for c in p.__dataclass_fields__] == pytest.approx(list(np.exp(point)), rel=2e-3)
+
+
+def test_customers_without_repeats(spark):
+    """No repeat buyer: nothing to fit the spend model on, and the purchase rate falls towards 0 without an optimum; both are told."""
+    rfm = spark.createDataFrame([(str(i), 0.0, 0.0, 30.0 + i, 0.0) for i in range(9)], "empresa_id string, frequency double, recency double, T double, monetary_value double")
+    assert not V.fit_bgnbd(rfm, max_iter=5)[3]
+    assert not V.fit_gamma_gamma(rfm, max_iter=5)[3]
+
+
 def test_hypergeometric_against_closed_forms():
     z = np.array([0.0, 0.1, 0.5, 0.89, 0.95, 0.999, 0.99999])
     for got, want in [
@@ -105,3 +197,16 @@ def test_recovers_parameters_of_simulated_customers(spark):
     p, _, _, converged = V.fit_bgnbd(rfm, penalizer=0.0)
     assert converged
     assert p.r / p.alpha == pytest.approx(r / alpha, rel=0.1) and p.a / (p.a + p.b) == pytest.approx(a / (a + b), rel=0.15)
+
+
+def test_recovers_spend_parameters(spark):
+    rng = np.random.default_rng(4)
+    p, q, v = 4.0, 3.5, 900.0
+    rows = []
+    for i in range(6000):
+        x = int(rng.integers(1, 9))
+        rows.append((str(i), float(x), 1.0, 2.0, float(rng.gamma(p * x, 1 / rng.gamma(q, 1 / v)) / x)))
+    rfm = spark.createDataFrame(rows, "empresa_id string, frequency double, recency double, T double, monetary_value double")
+    got, _, jobs, converged = V.fit_gamma_gamma(rfm, penalizer=0.0)
+    assert converged and jobs <= 40
+    assert (got.p, got.q, got.v) == pytest.approx((p, q, v), rel=0.15)
