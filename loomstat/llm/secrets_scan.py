@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership frequency (DataFrame functions only).
 
 Every text is matched against three base patterns and one generic pattern for long mixed tokens. The value of each match
-is hashed and counted over the whole corpus by distinct owners and distinct repositories of an owner. A value that many
-owners hold is a copied example; a value that few owners hold looks live. All base matches are reported; the method adds
-the generic matches that look live, and says of every match which it is.
+is hashed and counted over the whole corpus by distinct owners and by distinct repositories of an owner. Both decide: a value
+that many owners hold, or that one or two owners hold in many repositories, is a copied example; one that few owners hold in
+few repositories looks live. All base matches are reported; the method adds the generic matches that look live, and says of
+every match which it is and in how many owners and repositories its value occurs.
 
 Positions come without a Python function: ``split`` gives the pieces between matches and ``regexp_extract_all`` the
 matches, so a match ends at the running sum of their lengths (code points).
@@ -32,6 +33,8 @@ BASE = 3
 
 #: A value that so many distinct owners hold is a copied example.
 WIDE_OWNERS = 3
+#: So is a value in so many distinct repositories, whoever owns them.
+WIDE_REPOSITORIES = 20
 #: Fewer distinct characters make a placeholder, not a credential.
 LEAST_VARIETY = 6
 REDACTED = "<REDACTED>"
@@ -77,7 +80,7 @@ def scan(documents: DataFrame, scratch: Scratch, owner: str = "source", reposito
     held = spans.groupBy("hash", "owner", "repo").agg(F.first("varied").alias("varied")).groupBy("hash", "owner").agg(
         F.count(F.lit(1)).alias("repos"), F.first("varied").alias("varied")).groupBy("hash").agg(
         F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repositories"), F.first("varied").alias("varied"))
-    seen = held.select("hash", "owners", "repositories", ((F.col("owners") < WIDE_OWNERS) & F.col("varied")).alias("live"))
+    seen = held.select("hash", "owners", "repositories", ((F.col("owners") < WIDE_OWNERS) & (F.col("repositories") < WIDE_REPOSITORIES) & F.col("varied")).alias("live"))
     told = spans.join(seen, "hash").where((F.col("kind") < BASE) | F.col("live"))
     return rows.select("rid", "doc_id"), told.select("rid", "kind", "start", "end", "owners", "repositories", "live")
 
@@ -88,20 +91,22 @@ def _listed(spans: Column) -> Column:
 
 
 def secrets(documents: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """Per row of ``documents``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example."""
+    """Per row of ``documents``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, and for each span in
+    turn the owners and repositories that hold its value (comma-joined)."""
     scratch = Scratch(documents.sparkSession, "secrets")
     rows, spans = scan(documents, scratch, owner, repository)
     count = lambda cond: F.count_if(cond)
     per = spans.groupBy("rid").agg(
         *[count(F.col("kind") == k).alias(f"n_{KINDS[k]}") for k in range(BASE)],
         count(F.col("live")).alias("n_live"), count(~F.col("live")).alias("n_example"),
-        F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("all"))
+        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "owners", "repositories"))).alias("all"))
     base = F.filter("all", lambda s: s["kind"] < BASE)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     text = lambda c: F.coalesce(c, F.lit(""))
     return rows.join(per, "rid", "left").select(
         "doc_id", *[zero(f"n_{KINDS[k]}") for k in range(BASE)], F.sha2(text(_listed(base)).cast("binary"), 256).alias("base_sha256"),
-        text(_listed(F.col("all"))).alias("spans"), zero("n_live"), zero("n_example"))
+        text(_listed(F.col("all"))).alias("spans"), zero("n_live"), zero("n_example"),
+        *[text(F.array_join(F.col(f"all.{c}").cast("array<string>"), ",")).alias(c) for c in ("owners", "repositories")])
 
 
 def redact(documents: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
@@ -142,14 +147,17 @@ def _oracle_kind(kind: int, pattern: str) -> str:
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
 f AS ({' UNION ALL '.join(_oracle_kind(k, p.replace("'", "''")) for k, p in enumerate((ASSIGN, ACCESS, HEX, GENERIC)))}),
-seen AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) < {WIDE_OWNERS}
-    AND len(list_distinct(string_split(any_value(v), ''))) >= {LEAST_VARIETY} AS live FROM f GROUP BY v),
-g AS (SELECT f.*, live, CASE kind {' '.join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(KINDS))} END || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS said
+held AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners,
+    count(DISTINCT [coalesce(source, chr(0)), coalesce(CAST(doc_id AS VARCHAR), '')]) AS repositories FROM f GROUP BY v),
+seen AS (SELECT *, owners < {WIDE_OWNERS} AND repositories < {WIDE_REPOSITORIES} AND len(list_distinct(string_split(v, ''))) >= {LEAST_VARIETY} AS live FROM held),
+g AS (SELECT f.*, live, owners, repositories, CASE kind {' '.join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(KINDS))} END || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS said
   FROM f JOIN seen USING (v) WHERE kind < {BASE} OR live),
 per AS (SELECT rid, {', '.join(f"count(*) FILTER (kind = {k}) AS n_{KINDS[k]}" for k in range(BASE))},
   count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example,
-  coalesce(string_agg(said, ',' ORDER BY s, kind) FILTER (kind < {BASE}), '') AS base, string_agg(said, ',' ORDER BY s, kind) AS spans FROM g GROUP BY rid)
+  coalesce(string_agg(said, ',' ORDER BY s, kind) FILTER (kind < {BASE}), '') AS base, string_agg(said, ',' ORDER BY s, kind) AS spans,
+  string_agg(owners, ',' ORDER BY s, kind) AS owners, string_agg(repositories, ',' ORDER BY s, kind) AS repositories FROM g GROUP BY rid)
 SELECT doc_id, {', '.join(f"coalesce(n_{KINDS[k]}, 0) AS n_{KINDS[k]}" for k in range(BASE))}, sha256(coalesce(base, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example,
+  coalesce(owners, '') AS owners, coalesce(repositories, '') AS repositories
 FROM d LEFT JOIN per USING (rid)
 """

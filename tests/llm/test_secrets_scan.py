@@ -3,7 +3,9 @@
 import hashlib
 import re
 
-from loomstat.llm.secrets_scan import REDACTED, redact, secrets
+import duckdb
+
+from loomstat.llm.secrets_scan import ORACLE, REDACTED, redact, secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 LIVE = "Zx9" + "Qw8Er7Ty6Ui5Op4As3Df2Gh1Jk0Lz" * 2
@@ -58,3 +60,25 @@ def test_redact(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert secrets(df).collect() == [] and redact(df).collect() == []
+
+
+def test_copies_within_one_owner_are_examples(spark):
+    """Both frequencies decide: many repositories of one owner are as wide as many owners."""
+    many = [(i, "see " + LIVE, "a") for i in range(40)] + [(100 + i, "token = '" + WIDE + "'", "b") for i in range(19)]
+    few = [(200, "key " + LIVE[::-1], "a"), (201, "key " + LIVE[::-1], "a"), (201, "key " + LIVE[::-1], "a"), (None, "key " + LIVE[::-1], None)]
+    df = spark.createDataFrame(many + few, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in secrets(df).collect()}
+    assert all(got[i]["spans"] == "" and got[i]["n_live"] == 0 for i in range(40))  # one owner, 40 repositories
+    assert got[100]["n_live"] == 2 and got[100]["owners"] == "1,1" and got[100]["repositories"] == "19,19"  # assign and generic
+    assert got[200]["n_live"] == 1 and (got[200]["owners"], got[200]["repositories"]) == ("2", "3")
+    assert {r["text"] for r in redact(df).where("doc_id < 40").collect()} == {"see " + LIVE}
+
+
+def test_both_frequencies_in_sql(spark):
+    docs = [(i, f"token = '{LIVE}' " + ("f" * 24 if i % 2 else WIDE), "abcd"[i % n]) for n in (1, 4) for i in range(25)] + [(None, None, None), (7, WIDE, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas().astype({"doc_id": "Int64"}))
+    got = secrets(df)
+    want = con.sql(ORACLE)
+    assert got.columns == want.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
