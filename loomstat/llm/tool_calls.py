@@ -3,7 +3,7 @@
 ``link`` takes calls ``(conv_id, call_id, after_id, turn, name, arguments)`` and results ``(conv_id, call_id, turn,
 content)``. Results are first reduced to one row an identifier (the earliest turn, then the smallest text, with the number
 of results), so that repeats of an identifier multiply nothing; then calls and results meet in a hash join by
-(conv_id, call_id). Calls depend on at most one other call (``after_id``); their topological depth comes from pointer
+(conv_id, call_id). The identifier's other results are rows of their own with status ``repeated``; none is lost. Calls depend on at most one other call (``after_id``); their topological depth comes from pointer
 doubling: in each round a call adds the steps of the call it points at and points where that one points, so a chain of n
 calls takes log2(n) joins, and calls of a cycle, which never reach a root, get depth -1. Arguments are parsed as variants
 and checked against a schema: required fields present, types right, no field unknown. The output is canonical JSON: keys
@@ -16,7 +16,7 @@ spreads like many small ones.
 
 Edge cases: a null id, turn, name or text: null identifiers link with nothing and have depth 0; null arguments are
 invalid; a null text is an empty one; repeated calls are kept as rows, all linked with the one result their identifier
-has; results without a call are returned with status ``orphan``; invalid JSON makes ``valid`` false and arguments null.
+has; further results of an identifier are returned with status ``repeated``; results without a call are returned with status ``orphan``; invalid JSON makes ``valid`` false and arguments null.
 Empty tables give empty results; extra columns are ignored.
 """
 
@@ -91,7 +91,7 @@ def _valid(name: Column, args: Column) -> Column:
 
 
 def link(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Linked calls: conv_id, call_id, name, turn, depth, status (linked, open, orphan), n_results, valid, json."""
+    """Linked calls: conv_id, call_id, name, turn, depth, status (linked, open, repeated, orphan), n_results, valid, json."""
     scratch = Scratch(calls.sparkSession, "calls")
     answer = results.where(F.col("call_id").isNotNull() & F.col("conv_id").isNotNull()).groupBy("conv_id", "call_id").agg(
         F.min(F.struct("turn", "content")).alias("a"), F.count(F.lit(1)).alias("n")).select(
@@ -107,12 +107,22 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
         F.coalesce("n", F.lit(0)).alias("n_results"), _valid(F.col("name"), F.col("args")).alias("valid"),
         F.to_json(shown).alias("json"))
     named = calls.select("conv_id", "call_id").distinct()
-    spare = results.select("conv_id", "call_id", "turn", "content").join(named, ["conv_id", "call_id"], "left_anti")
-    orphans = spare.select(
-        "conv_id", "call_id", F.lit(None).cast("string").alias("name"), "turn", F.lit(0).cast("long").alias("depth"), F.lit("orphan").alias("status"),
-        F.lit(1).cast("long").alias("n_results"), F.lit(False).alias("valid"),
-        F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result"))).alias("json"))
-    return linked.unionByName(orphans)
+    plain = results.select("conv_id", "call_id", "turn", "content")
+    spare = plain.join(named, ["conv_id", "call_id"], "left_anti")
+    # equal results are counted before they meet the one that is linked, of which one row is taken out
+    counted = plain.groupBy("conv_id", "call_id", "turn", "content").agg(F.count(F.lit(1)).alias("k"))
+    several = answer.where("n > 1").join(named, ["conv_id", "call_id"], "left_semi").withColumnRenamed("content", "first")
+    same = F.col("turn").eqNullSafe(F.col("result_turn")) & F.col("content").eqNullSafe(F.col("first"))
+    further = (counted.join(several, ["conv_id", "call_id"]).withColumn("k", F.col("k") - same.cast("int")).where("k > 0")
+               .select("conv_id", "call_id", "turn", "content", F.explode(F.sequence(F.lit(1).cast("long"), "k"))))
+
+    def alone(rows: DataFrame, status: str) -> DataFrame:
+        return rows.select(
+            "conv_id", "call_id", F.lit(None).cast("string").alias("name"), "turn", F.lit(0).cast("long").alias("depth"), F.lit(status).alias("status"),
+            F.lit(1).cast("long").alias("n_results"), F.lit(False).alias("valid"),
+            F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result"))).alias("json"))
+
+    return linked.unionByName(alone(further, "repeated")).unionByName(alone(spare, "orphan"))
 
 
 ORACLE = r"""
@@ -142,4 +152,9 @@ UNION ALL
 SELECT conv_id, 'call:' || conv_id || ':' || (turn - 1), NULL, turn, 0, 'orphan', 1, false,
   '{"id":' || CAST(to_json('call:' || conv_id || ':' || (turn - 1)) AS VARCHAR) || ',"result":' || CAST(to_json(text) AS VARCHAR) || '}'
 FROM t WHERE NOT asks AND NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = t.conv_id AND c.turn = t.turn - 1)
+UNION ALL
+SELECT conv_id, 'call:' || conv_id || ':' || (turn - 1), NULL, turn, 0, 'repeated', 1, false,
+  '{"id":' || CAST(to_json('call:' || conv_id || ':' || (turn - 1)) AS VARCHAR) || ',"result":' || CAST(to_json(text) AS VARCHAR) || '}'
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS place FROM t WHERE NOT asks) q
+WHERE place > 1 AND EXISTS (SELECT 1 FROM c WHERE c.conv_id = q.conv_id AND c.turn = q.turn - 1)
 """

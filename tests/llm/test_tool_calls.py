@@ -2,7 +2,9 @@
 
 import json
 
-from loomstat.llm.tool_calls import exchanges, link
+import duckdb
+
+from loomstat.llm.tool_calls import ORACLE, exchanges, link
 
 
 def test_link(spark):
@@ -15,7 +17,7 @@ def test_link(spark):
     got = link(spark.createDataFrame(calls, "conv_id long, call_id string, after_id string, turn long, name string, arguments string"),
                spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string")).collect()
     by = {(r["conv_id"], r["call_id"], r["status"]): r for r in got}
-    assert len(got) == len(calls) + 3
+    assert len(got) == len(calls) + 4
     depth = {c: next(r["depth"] for r in got if r["conv_id"] == 1 and r["call_id"] == c) for c in "abcdefxyzs"}
     assert depth == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "f": 0, "x": -1, "y": -1, "z": -1, "s": -1}
     a = by[1, "a", "linked"]
@@ -48,3 +50,24 @@ def test_one_chain_of_many_calls(spark):
 
 def test_empty_table(spark):
     assert link(*exchanges(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).collect() == []
+
+
+def test_repeated_results_are_rows(spark):
+    """Every result occurs once in the output: linked, repeated or as an orphan."""
+    calls = [(1, "a", None, 0, "respond", "{}"), (1, "a", None, 3, "respond", "{}"), (1, "b", "a", 1, "respond", "{}")]
+    results = [(1, "a", 1, "x"), (1, "a", 1, "x"), (1, "a", 2, "second"), (1, "a", None, None), (1, "b", 4, "only"), (2, "a", 1, "p"), (2, "a", 1, "q")]
+    got = link(spark.createDataFrame(calls, "conv_id long, call_id string, after_id string, turn long, name string, arguments string"),
+               spark.createDataFrame([(*r, "y") for r in results], "conv_id long, call_id string, turn long, content string, status string")).collect()
+    assert sorted((r["status"], r["turn"] or -1, json.loads(r["json"]).get("result")) for r in got if r["status"] in ("repeated", "orphan")) == [
+        ("orphan", 1, "p"), ("orphan", 1, "q"), ("repeated", 1, "x"), ("repeated", 1, "x"), ("repeated", 2, "second")]
+    assert [r["n_results"] for r in got if r["status"] == "linked"] == [4, 4, 1]
+
+
+def test_repeats_in_sql(spark):
+    rows = [(c, t, role, f"{role} {c} {t} {k % 2}") for c in range(4) for t, role in enumerate(("system", "user", "assistant", "user", "assistant")) for k in range(1 + 2 * (c % 2))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas())
+    got, want = link(*exchanges(df)), con.sql(ORACLE)
+    assert got.columns == want.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
+    assert any(r["status"] == "repeated" for r in got.collect())
