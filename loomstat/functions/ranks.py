@@ -14,10 +14,15 @@ task (``Exchange SinglePartition``). The helpers here keep the work distributed:
   ``percentile_cont`` / pandas) from a per-group histogram of a discrete value:
   partial aggregation handles hot groups; only the histogram (distinct values per
   group) is windowed.
+* ``order_statistics`` / ``quantile_values`` – exact quantiles of a continuous column by
+  histograms that are refined around the wanted places: aggregates only.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,23 +101,72 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value: str, qs: dict[s
     return hist.groupBy(*group_cols).agg(*aggs)
 
 
-def global_quantiles(df: DataFrame, value: str, qs: dict[str, float], id_col: str) -> DataFrame:
-    """Exact percentile_cont over a whole (continuous-valued) column as a one-row DataFrame:
-    exact global row numbers, then a conditional aggregate at the two positions around
-    (n-1)·q. Nothing is collected; the count enters as a scalar subquery."""
+#: Buckets of a refinement pass, for each interval that still holds a wanted place.
+REFINE_BUCKETS = 512
+
+
+def order_statistics(df: DataFrame, value: str, places: Callable[[int], list[int]]) -> tuple[int, dict]:
+    """The number n of non-NULL values and the values at the 1-based ``places(n)`` of their ascending order: exact, without a
+    sort or a range shuffle.
+
+    Every pass counts the values of each interval that holds a wanted place in ``REFINE_BUCKETS`` buckets of equal width, with
+    the least and largest value of each; the bucket that holds the place is the next interval, bounded by values that occur.
+    An interval of a single value ends its search. A pass is one aggregate (partial in every task) and brings at most
+    ``REFINE_BUCKETS`` rows an interval to the driver; widths shrink by that factor, so money takes three or four passes."""
     v = F.col(value)
-    vals = df.where(v.isNotNull()).select(value, id_col)
-    numbered = global_row_number(vals, [v, F.col(id_col)], "_rn")
-    j = numbered.withColumn("_n", vals.agg(F.count(F.lit(1))).scalar())  # scalar subquery
-    aggs = []
-    for name, q in qs.items():
-        h = (F.col("_n") - 1) * F.lit(q)
-        lo, hi = F.floor(h) + 1, F.ceil(h) + 1
-        v_lo = F.max(F.when(F.col("_rn") == lo, v)).cast("double")
-        v_hi = F.max(F.when(F.col("_rn") == hi, v)).cast("double")
-        frac = F.first(h - F.floor(h))
-        aggs.append((v_lo + (v_hi - v_lo) * frac).alias(name))
-    return j.agg(*aggs)
+    vals = df.select(value).where(v.isNotNull()).persist()  # read once a pass; recomputed where an executor is lost
+    try:
+        n, low, high = vals.agg(F.count(F.lit(1)), F.min(value), F.max(value)).first()
+        wanted = sorted({p for p in places(n) if 1 <= p <= n})
+        todo, found = ([(low, high, 0, wanted)] if wanted else []), {}
+        while todo:
+            found.update({p: lo for lo, hi, _, ps in todo if lo == hi for p in ps})
+            todo = [t for t in todo if t[0] != t[1]]
+            if not todo:
+                break
+            number, bucket = F.lit(None).cast("int"), F.lit(None).cast("long")
+            for i, (lo, hi, _, _) in enumerate(todo):
+                inside = v.between(F.lit(lo), F.lit(hi))
+                # halves, as the difference of two large values may overflow; next to equal ones keep to whole values
+                wide = float(hi) / 2 - float(lo) / 2
+                at = F.floor((v.cast("double") / 2 - float(lo) / 2) / wide * REFINE_BUCKETS).cast("long") if wide else F.when(v == F.lit(lo), 0).otherwise(1)
+                number, bucket = F.when(inside, i).otherwise(number), F.when(inside, F.least(at, F.lit(REFINE_BUCKETS - 1))).otherwise(bucket)
+            rows = vals.select(number.alias("i"), bucket.alias("b"), v.alias("v")).where("i IS NOT NULL")
+            counted: dict[int, list] = {}
+            for r in rows.groupBy("i", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
+                counted.setdefault(r["i"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
+            following = []
+            for i, (_, _, below, ps) in enumerate(todo):
+                for _, count, lo, hi in sorted(counted[i]):
+                    held = [p for p in ps if below < p <= below + count]
+                    if held:
+                        following.append((lo, hi, below, held))
+                    below += count
+            todo = following
+        return n, found
+    finally:
+        vals.unpersist()
+
+
+def quantile_values(df: DataFrame, value: str, qs: list[float]) -> list[float] | None:
+    """percentile_cont of a whole (continuous-valued) column at ``qs``; None without values. Only the values at the places
+    around (n - 1)·q reach the driver."""
+    n, at = order_statistics(df, value, lambda n: [f((n - 1) * q) + 1 for q in qs for f in (math.floor, math.ceil)] if n else [])
+    if not n:
+        return None
+
+    def one(q: float) -> float:
+        h = (n - 1) * q
+        low, high = float(at[math.floor(h) + 1]), float(at[math.ceil(h) + 1])
+        return low + (high - low) * (h - math.floor(h))
+
+    return [one(q) for q in qs]
+
+
+def global_quantiles(df: DataFrame, value: str, qs: dict[str, float]) -> DataFrame:
+    """``quantile_values`` as a one-row DataFrame; NULL without values."""
+    got = quantile_values(df, value, list(qs.values()))
+    return df.sparkSession.createDataFrame([tuple(got or [None] * len(qs))], ", ".join(f"{name} double" for name in qs))
 
 
 def grouped_row_number(df: DataFrame, group_cols: list[str], order: list[Column], out: str = "row_number") -> DataFrame:

@@ -390,25 +390,15 @@ SEGMENT_LABELS = ["low_value", "mid_low", "mid_high", "high_value"]
 
 def segment_by_clv(clv: DataFrame, months: int = 12, n_segments: int = 4) -> DataFrame:
     """V7: quantile-cut labels (right-closed bins, lowest value included). Edges are exact
-    quantiles from distributed global row numbers; only the edge rows reach the driver.
+    quantiles by refined histograms; only the values around the edges reach the driver.
     When repeated edges collapse bins, the remaining bins keep the lowest labels in order
     (pandas refuses that case: labels no longer match bins)."""
-    from loomstat.functions.ranks import global_row_number
+    from loomstat.functions.ranks import quantile_values
 
     col = f"clv_{months}m_predicted"
-    vals = clv.select(F.col(col).alias("v"), "empresa_id").where(F.col("v").isNotNull())
-    n = vals.count()
-    if n == 0:
+    edges = quantile_values(clv, col, [i / n_segments for i in range(n_segments + 1)])
+    if edges is None:
         return clv.withColumn("clv_segment", F.lit(None).cast("string"))
-    qs = [i / n_segments for i in range(n_segments + 1)]
-    need = sorted({int(math.floor((n - 1) * q)) + 1 for q in qs} | {int(math.ceil((n - 1) * q)) + 1 for q in qs})
-    numbered = global_row_number(vals, [F.col("v"), F.col("empresa_id")], "_rn")
-    at = {r["_rn"]: r["v"] for r in numbered.where(F.col("_rn").isin(need)).select("_rn", "v").collect()}
-    edges = []
-    for q in qs:
-        h = (n - 1) * q
-        lo, hi = int(math.floor(h)) + 1, int(math.ceil(h)) + 1
-        edges.append(at[lo] + (at[hi] - at[lo]) * (h - math.floor(h)))
     uniq = sorted(set(edges))
     labels = SEGMENT_LABELS[:n_segments] if n_segments <= len(SEGMENT_LABELS) else [f"segment_{i + 1}" for i in range(n_segments)]
     v = F.col(col)

@@ -27,36 +27,39 @@ class Model:
     build: Callable[[Marketplace], DataFrame]
     deps: tuple[str, ...] = ()
     partition_by: tuple[str, ...] = ()
+    reads: tuple[str, ...] = ()  # source tables that it reads itself
+    month: str | None = None  # time column whose months are published one by one
 
 
 MODELS = [
-    Model("stg_empresas", S.stg_empresas), Model("stg_oficinas", S.stg_oficinas),
-    Model("stg_usuarios", S.stg_usuarios), Model("stg_pedidos", S.stg_pedidos),
-    Model("stg_pedido_items", S.stg_pedido_items), Model("stg_propostas", S.stg_propostas),
-    Model("stg_producao", S.stg_producao), Model("stg_avaliacoes", S.stg_avaliacoes),
-    Model("stg_certificacoes", S.stg_certificacoes), Model("stg_pagamentos", S.stg_pagamentos),
-    Model("stg_eventos_plataforma", S.stg_eventos_plataforma),
+    Model("stg_empresas", S.stg_empresas, reads=("empresas",)), Model("stg_oficinas", S.stg_oficinas, reads=("oficinas",)),
+    Model("stg_usuarios", S.stg_usuarios, reads=("usuarios",)), Model("stg_pedidos", S.stg_pedidos, reads=("pedidos",), month="dt_criacao"),
+    Model("stg_pedido_items", S.stg_pedido_items, reads=("pedido_items",)), Model("stg_propostas", S.stg_propostas, reads=("propostas",)),
+    Model("stg_producao", S.stg_producao, reads=("producao",)), Model("stg_avaliacoes", S.stg_avaliacoes, reads=("avaliacoes",)),
+    Model("stg_certificacoes", S.stg_certificacoes, reads=("certificacoes",)), Model("stg_pagamentos", S.stg_pagamentos, reads=("pagamentos",)),
+    Model("stg_eventos_plataforma", S.stg_eventos_plataforma, reads=("eventos_plataforma",)),
     Model("int_pedidos_enriched", I.int_pedidos_enriched,
-          ("stg_pedidos", "stg_empresas", "stg_oficinas", "stg_pagamentos", "stg_propostas")),
+          ("stg_pedidos", "stg_empresas", "stg_oficinas", "stg_pagamentos", "stg_propostas"),
+          reads=("categorias_produto",), month="dt_criacao"),
     Model("int_oficina_performance", I.int_oficina_performance,
           ("stg_oficinas", "stg_pedidos", "stg_propostas", "stg_producao", "stg_avaliacoes", "stg_certificacoes")),
     Model("int_empresa_activity", I.int_empresa_activity,
           ("stg_empresas", "stg_pedidos", "stg_usuarios", "stg_eventos_plataforma")),
     Model("int_funnel_stages", I.int_funnel_stages, ("int_empresa_activity", "stg_pedidos")),
-    Model("int_match_pairs", I.int_match_pairs, ("stg_pedidos", "stg_empresas", "stg_oficinas", "stg_avaliacoes")),
+    Model("int_match_pairs", I.int_match_pairs, ("stg_pedidos", "stg_empresas", "stg_oficinas", "stg_avaliacoes"), month="dt_match"),
     Model("int_daily_platform_snapshot", I.int_daily_platform_snapshot,
-          ("stg_pedidos", "stg_usuarios", "stg_pagamentos", "stg_propostas", "stg_eventos_plataforma")),
+          ("stg_pedidos", "stg_usuarios", "stg_pagamentos", "stg_propostas", "stg_eventos_plataforma"), month="dia"),
     Model("marts_platform_kpis", M.marts_platform_kpis, ("int_daily_platform_snapshot", "stg_pedidos", "stg_propostas"),
-          ("mes",)),
+          ("mes",), month="mes"),
     Model("marts_customer_journey", M.marts_customer_journey, ("int_funnel_stages",)),
     Model("marts_cohort_analysis", M.marts_cohort_analysis, ("stg_empresas", "stg_pedidos")),
     Model("marts_oficina_scoring", M.marts_oficina_scoring, ("int_oficina_performance",)),
     Model("marts_empresa_clv", M.marts_empresa_clv, ("stg_pedidos", "stg_empresas")),
     Model("marts_match_quality", M.marts_match_quality, ("int_match_pairs",)),
-    Model("marts_revenue_analytics", M.marts_revenue_analytics, ("stg_pagamentos", "stg_usuarios"), ("mes",)),
+    Model("marts_revenue_analytics", M.marts_revenue_analytics, ("stg_pagamentos", "stg_usuarios"), ("mes",), month="mes"),
     Model("marts_geographic_analysis", M.marts_geographic_analysis,
           ("stg_empresas", "stg_pedidos", "stg_oficinas", "stg_certificacoes")),
-    Model("v_platform_summary", M.v_platform_summary),
+    Model("v_platform_summary", M.v_platform_summary, reads=("empresas", "oficinas", "pedidos", "pagamentos")),
 ]
 BY_NAME = {m.name: m for m in MODELS}
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loomstat.operators import staging as S
-from loomstat.plans.registry import mart, register
+from loomstat.plans.registry import mart, parents, register, stamp
 
 # ---------------------------------------------------------------- P: staging
 # Raw array columns are published as their lengths only (the arrays themselves
@@ -101,6 +101,7 @@ def i6(m):
 
 # ---------------------------------------------------------------- M: marts
 from loomstat.operators import marts as M  # noqa: E402
+from loomstat.plans.pipeline import BY_NAME as _MODELS  # noqa: E402
 
 for _name, _fn, _cte in [
     ("M1_marts_platform_kpis", M.marts_platform_kpis, "marts_platform_kpis"),
@@ -114,7 +115,12 @@ for _name, _fn, _cte in [
     ("M9_v_platform_summary", M.v_platform_summary, "v_platform_summary"),
     ("M10_demand_supply_by_state", M.demand_supply_by_state, "demand_supply_by_state"),
 ]:
-    register(_name, f"SELECT * FROM {_cte}")(lambda m, _f=_fn: _f(m))
+    def _mart(m, _f=_fn, _n=_cte):
+        if _n in _MODELS:
+            parents(m, _n)  # the mart reads its parents as written
+        return _f(m)
+
+    register(_name, f"SELECT * FROM {_cte}")(_mart)
 
 
 # ---------------------------------------------------------------- C / K / R: analytics classes
@@ -381,3 +387,29 @@ def _s2(m):
 
 
 register("S2_copy_text_roundtrip", "SELECT * FROM s2_roundtrip")(_s2)
+
+
+# ---------------------------------------------------------------- S4, S5, S7: load and publication
+from functools import reduce as _reduce  # noqa: E402
+
+from loomstat.plans import publication as _P  # noqa: E402
+from loomstat.sources.binding import SOURCE_TABLES as _TABLES  # noqa: E402
+
+
+def _loaded(m):
+    counts = [m.spark.read.parquet(m.path_of(t)).agg(_F.lit(t).alias("table_name"), _F.count(_F.lit(1)).alias("n_rows")) for t in _TABLES]
+    return _reduce(lambda a, b: a.unionByName(b), counts)
+
+
+def _publication(m):
+    """Publish all models, publish again, and count what the second run wrote beside the rows in the files."""
+    out = f"{m.published_path}/publication"
+    fresh = m.sibling()
+    _P.publish(fresh, out, stamp(m.spark, m.sf_dir))
+    again = _P.publish(m.sibling(), out)  # without the stamp: every table is digested, no model differs
+    rewritten = m.spark.createDataFrame([(k, len(v)) for k, v in again.items()], "model string, rewritten long")
+    return _P.summary(m.spark, out).join(rewritten, "model")
+
+
+register("S4_load_sources", _O.loaded_sql())(_loaded)
+register("S5_publish_models", _O.publication_sql())(_publication)

@@ -35,6 +35,15 @@ def _stamp(spark: SparkSession, path: str) -> tuple:
     return (path, len(files), sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0))
 
 
+def stamp(spark: SparkSession, sf_dir: str) -> str:
+    """Identity of the input tables and the clock."""
+    import hashlib
+
+    from loomstat.sources.io import TABLES, table_path
+
+    return hashlib.sha1(repr((AS_OF, [_stamp(spark, table_path(sf_dir, t)) for t in TABLES])).encode()).hexdigest()
+
+
 def sources(spark: SparkSession, sf_dir: str) -> PublishedMarketplace:
     """Source tables of ``sf_dir`` (S4): each is written under the shared checkpoint folder when a query first needs it,
     once per application and input version; later queries read the written tables."""
@@ -52,11 +61,22 @@ def sources(spark: SparkSession, sf_dir: str) -> PublishedMarketplace:
     return _PUBLISHED[key]
 
 
+def parents(m: PublishedMarketplace, name: str) -> None:
+    """Write the intermediate models that ``name`` reads (staging models are single scans and are not written)."""
+    from loomstat.plans.pipeline import BY_NAME
+
+    for dep in BY_NAME[name].deps:
+        if not dep.startswith("stg_"):
+            mart(m, dep)
+
+
 def mart(m: PublishedMarketplace, name: str) -> DataFrame:
-    """A published model (S7): written beside the source tables when a report first asks for it, read from there after."""
+    """A published model (S7): written beside the source tables when a report first asks for it, after the models that it
+    reads, and read from there after."""
     from loomstat.plans.pipeline import write_model
 
     if name not in m.models:
+        parents(m, name)
         write_model(m, name, f"{m.published_path}/models/{name}")
     return m.models[name]
 

@@ -495,6 +495,12 @@ class PublishedMarketplace(Marketplace):
         self.table(name)
         return f"{self.published_path}/{name}"
 
+    def sibling(self) -> PublishedMarketplace:
+        """The same written source tables without any written model."""
+        other = PublishedMarketplace(self.spark, self.sf_dir, self.as_of, self.published_path)
+        other._written = self._written
+        return other
+
     def publish_all(self) -> PublishedMarketplace:
         for name in SOURCE_TABLES:
             self.table(name)
