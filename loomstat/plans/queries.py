@@ -6,8 +6,8 @@ from loomstat.operators import staging as S
 from loomstat.plans.registry import mart, parents, register, stamp
 
 # ---------------------------------------------------------------- P: staging
-# Raw array columns are published as their lengths only (the arrays themselves
-# are kept by the library function ``stg_oficinas``).
+# The array columns of P2 are compared as joined text (the arrays themselves are kept
+# by the library function ``stg_oficinas``).
 
 
 @register("P1_stg_empresas", "SELECT * FROM stg_empresas")
@@ -15,9 +15,13 @@ def p1(m):
     return S.stg_empresas(m)
 
 
-@register("P2_stg_oficinas", "SELECT * EXCLUDE (especialidades, maquinario) FROM stg_oficinas")
+@register("P2_stg_oficinas", "SELECT * REPLACE (array_to_string(especialidades, '|') AS especialidades, "
+                             "array_to_string(maquinario, '|') AS maquinario) FROM stg_oficinas")
 def p2(m):
-    return S.stg_oficinas(m).drop("especialidades", "maquinario")
+    from pyspark.sql import functions as F
+
+    lists = {c: F.array_join(c, "|") for c in ("especialidades", "maquinario")}  # compared element by element, as text
+    return S.stg_oficinas(m).withColumns(lists)
 
 
 @register("P3_stg_usuarios", "SELECT * FROM stg_usuarios")
