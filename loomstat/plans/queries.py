@@ -417,3 +417,9 @@ def _publication(m):
 
 register("S4_load_sources", _O.loaded_sql())(_loaded)
 register("S5_publish_models", _O.publication_sql())(_publication)
+
+
+# ---------------------------------------------------------------- A3 at scale: merged sketches beside the exact counts
+from loomstat.operators import sketches as _K  # noqa: E402
+
+register("A3_rolling_users_by_sketch", "SELECT * FROM a_rolling_users")(_K.rolling_audit)
