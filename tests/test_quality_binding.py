@@ -29,3 +29,18 @@ def test_schema_profile_covers_every_column(market):
     assert {r["column_name"] for r in prof} == set(market.pedidos.columns)
     by = {r["column_name"]: r for r in prof}
     assert by["deleted_at"]["null_count"] == market.pedidos.count()
+
+
+def test_referential_integrity_scans_a_child_once(market):
+    """One grouping for all foreign keys instead of joins, and orphans are counted row by row."""
+    from pyspark.sql import functions as F
+
+    from loomstat.sources.binding import bind
+
+    m = bind(market.spark, market.sf_dir, market.as_of)
+    bad = m.propostas.limit(7).withColumn("oficina_id", F.lit(-99)).withColumn("pedido_id", F.lit(None).cast("long"))
+    m.__dict__["propostas"] = m.propostas.unionByName(bad)
+    checked = Q.referential_integrity(m)
+    assert "LeftAnti" not in checked._jdf.queryExecution().optimizedPlan().toString()
+    lost = {k: v for k, v in _by_rule(checked).items() if v}
+    assert lost == {"propostas.oficina_id -> oficinas.id": 7}
