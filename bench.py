@@ -16,7 +16,7 @@ HEADLINE = [
     "M3_marts_cohort_analysis", "M1_marts_platform_kpis", "M4_marts_oficina_scoring", "M5_marts_empresa_clv",
     "M8_marts_geographic_analysis", "I1_int_pedidos_enriched", "I2_int_oficina_performance",
     "I6_int_daily_platform_snapshot", "M6_marts_match_quality", "M7_marts_revenue_analytics",
-    "C1_funnel_summary", "K4_cohort_summary", "R1_compute_scores", "G2_recommendations", "G4_supply_demand_gaps",
+    "C1_funnel_summary", "K4_cohort_summary", "R1_compute_scores", "G2_recommendations", "G3_total", "G4_supply_demand_gaps",
     "V1_rfm_summary", "Q2_referential_integrity", "T4_daily_activity_stream",
     "I5_int_match_pairs", "M2_marts_customer_journey", "Q6_schema_profile", "G1_score_bids", "V2_fit_bgnbd", "V3_fit_gamma_gamma",
     "V4_predict_clv_fixed", "V5_expected_purchases_fixed", "V7_segment_by_clv_fixed", "T1_live_workshop_scores",
