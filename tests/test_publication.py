@@ -98,3 +98,14 @@ def test_a_mart_writes_its_parents_first(spark):
     QUERIES["M6_marts_match_quality"](spark, SF_SMALL)
     m = sources(spark, SF_SMALL)
     assert "int_match_pairs" in m.models and all("/models/int_match_pairs" in f for f in m.models["int_match_pairs"].inputFiles())
+
+
+def test_a_new_model_is_digested_from_its_files(spark, tmp_path, monkeypatch):
+    """It is computed once: what is digested is what was written, months and whole tables alike."""
+    out, seen = str(tmp_path), []
+    plain = P._digests
+    monkeypatch.setattr(P, "_digests", lambda df, key: (seen.append(df.inputFiles()), plain(df, key))[1])
+    written = P.publish(fresh(spark), out, "one", SOME)
+    own = [files for files in seen if files and all(f"{out}/data/" in f for f in files)]
+    assert len(own) == len(written)
+    assert not any(P.publish(fresh(spark), out, "two", SOME).values())
