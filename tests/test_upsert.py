@@ -106,3 +106,18 @@ def test_live_scores_over_several_files(spark, market, tmp_path):
     got = run_live_scores(spark, path, name="t1-buckets")
     want = reviews.where("avaliado_oficina_id IS NOT NULL").groupBy("avaliado_oficina_id").count()
     assert sorted((r["oficina_id"], r["total_avaliacoes"]) for r in got.collect()) == sorted(map(tuple, want.collect()))
+
+
+def test_the_number_of_batches_does_not_follow_the_files(spark, tmp_path, monkeypatch):
+    from datetime import datetime
+
+    from loomstat.streaming import live
+
+    path, epochs = str(tmp_path / "many"), []
+    rows = [(i % 7, i % 5 + 1, i % 3 + 1, None, datetime(2001, 1, 1 + i % 28)) for i in range(210)]
+    cols = "avaliado_oficina_id long, nota_qualidade int, nota_pontualidade int, nota_comunicacao int, created_at timestamp"
+    spark.createDataFrame(rows, cols).repartition(30).write.parquet(path)
+    plain = live.upsert_snapshot
+    monkeypatch.setattr(live, "upsert_snapshot", lambda *a: lambda b, e, f=plain(*a): (epochs.append(e), f(b, e))[1])
+    got = {r["oficina_id"]: r["total_avaliacoes"] for r in run_live_scores(spark, path, name="t1-many").collect()}
+    assert len(epochs) <= live.BACKLOG_BATCHES and got == {k: 30 for k in range(7)}
