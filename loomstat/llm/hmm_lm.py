@@ -8,8 +8,9 @@ model is normalised. Counts of words outside the bounded table are joined by wor
 join uneven, are in the table.
 
 Training: expected counts of every training text are summed per task, then over tasks, in ``ROUNDS`` Baum-Welch rounds
-over the whole corpus. The starting point is the same procedure on a sample of at most ``SAMPLE_TEXTS`` whole texts of any
-length, which ends with the text that reaches ``SAMPLE_TOKENS`` tokens a text of ``SAMPLE_TEXTS``. Emissions are smoothed towards the corpus distribution of symbols.
+over the whole corpus, from the corpus distribution of symbols with fixed noise in each state; no sample takes part. Emissions
+are smoothed towards the corpus distribution of symbols. For trials, ``quick_start`` first runs rounds on a sample of at most
+``SAMPLE_TEXTS`` whole texts of any length, which ends with the text that reaches ``SAMPLE_TOKENS`` tokens a text of ``SAMPLE_TEXTS``.
 
 Edge cases: null and empty texts consist of the end alone; a null id counts as empty text in the held-out rule; repeated
 rows are scored each; without training rows every base token has probability 1 and the model is uniform. Extra columns
@@ -34,8 +35,8 @@ STATES = 8
 SYMBOLS = 49_152
 CLASSES = 1024
 END = 0  # symbol of the end; words follow, then classes
-ROUNDS = 3
-SAMPLE_TEXTS = 1500
+ROUNDS = 5
+SAMPLE_TEXTS = 1500  # of a quick start only
 SAMPLE_TOKENS = 1500  # on average, if there are SAMPLE_TEXTS texts
 SAMPLE_ROUNDS = 12
 SMOOTH = 100.0  # pseudo-counts of the corpus distribution in each state's emissions
@@ -207,17 +208,13 @@ def _corpus_counts(coded: DataFrame, m: Model, n_symbols: int) -> tuple[np.ndarr
     return start, move, emit
 
 
-def _train(coded: DataFrame, m: Model, n_symbols: int) -> None:
-    """ROUNDS rounds over all rows of ``coded(rid, n_tokens, sym)``, after a start on a sample of them."""
+def _train(coded: DataFrame, m: Model, n_symbols: int, quick_start: bool = False) -> None:
+    """ROUNDS rounds over all rows of ``coded(rid, n_tokens, sym)``; with ``quick_start`` after SAMPLE_ROUNDS on a sample."""
     n = coded.count()
     if not n:
         return
-    sample = _sample(coded, n)
-    if sample.agg(F.sum("n_tokens")).first()[0] <= 2 * SAMPLE_TEXTS * SAMPLE_TOKENS:
-        texts = [np.frombuffer(r[1], np.uint16) for r in sorted(sample.select("rid", "sym").collect())]
-        for _ in range(SAMPLE_ROUNDS):
-            m.update(*expected(m, texts, n_symbols))
-    else:  # its last text is too long for the driver
+    if quick_start:
+        sample = _sample(coded, n)
         for _ in range(SAMPLE_ROUNDS):
             m.update(*_corpus_counts(sample, m, n_symbols))
     for _ in range(ROUNDS):
@@ -243,7 +240,7 @@ def _cutoff(counts: DataFrame) -> int:
     return low
 
 
-def score(documents: DataFrame) -> DataFrame:
+def score(documents: DataFrame, quick_start: bool = False) -> DataFrame:
     """Per row of ``documents(doc_id, text)``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "hmm")
@@ -298,7 +295,7 @@ def score(documents: DataFrame) -> DataFrame:
 
     coded = documents.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), out_of.alias("held_out"), "text")
     coded = scratch.pin(coded.mapInArrow(code, "rid long, doc_id long, held_out boolean, n_tokens long, sym binary, other array<binary>"))
-    _train(coded.where("NOT held_out"), m, n_symbols)
+    _train(coded.where("NOT held_out"), m, n_symbols, quick_start)
 
     base_all = np.log10(n_all + 0.1 * (v_all + 1))
     base = np.r_[np.log10(symbol_count + 0.1), np.zeros(CLASSES)]

@@ -117,3 +117,22 @@ def test_sample_holds_texts_of_any_length(spark):
     assert hmm_lm._sample(coded.where("n_tokens = 100000"), 10).count() == 10
     huge = spark.createDataFrame([(1, 10**8, b""), (2, 10**8, b"")], "rid long, n_tokens long, sym binary")
     assert hmm_lm._sample(huge, 2).count() == 1
+
+
+def test_training_reads_every_text_and_no_sample(spark, monkeypatch):
+    n, rng = 9, np.random.default_rng(5)
+    texts = [np.r_[rng.integers(1, 9, 40 + i), 0].astype(np.uint16) for i in range(12)]
+    coded = spark.createDataFrame([(i, len(t), t.tobytes()) for i, t in enumerate(texts)], "rid long, n_tokens long, sym binary")
+    models = []
+    for size in (1, 1500):  # the size of the sample of a quick start
+        monkeypatch.setattr(hmm_lm, "SAMPLE_TEXTS", size)
+        models.append(Model(np.full(n, 1 / n)))
+        hmm_lm._train(coded, models[-1], n)
+    assert np.allclose(models[0].emit, models[1].emit, rtol=1e-9) and np.allclose(models[0].move, models[1].move, rtol=1e-9)
+    whole = Model(np.full(n, 1 / n))
+    for _ in range(hmm_lm.ROUNDS):
+        whole.update(*hmm_lm.expected(whole, texts, n))
+    assert np.allclose(models[0].emit, whole.emit, rtol=1e-3)
+    quick = Model(np.full(n, 1 / n))
+    hmm_lm._train(coded, quick, n, quick_start=True)
+    assert not np.allclose(quick.emit, whole.emit, rtol=1e-3)
