@@ -210,3 +210,17 @@ def test_recovers_spend_parameters(spark):
     got, _, jobs, converged = V.fit_gamma_gamma(rfm, penalizer=0.0)
     assert converged and jobs <= 40
     assert (got.p, got.q, got.v) == pytest.approx((p, q, v), rel=0.15)
+
+
+def test_a_slow_value_does_not_hold_up_its_batch(monkeypatch):
+    steps = []
+    real = V.np.isfinite
+    monkeypatch.setattr(V.np, "isfinite", lambda v: steps.append(np.size(v)) or real(v))
+    z = np.r_[np.full(999, 0.1), 0.89]
+    got = V._series_2f1(np.full(1000, 2.5), np.full(1000, 3.5), np.full(1000, 4.2), z, 100_000)
+    assert sum(steps) < 1000 * 40 and len(steps) > 100  # one value needs more than 100 terms, the others fewer than 40
+    assert np.allclose(got[:1], V._series_2f1(np.array([2.5]), np.array([3.5]), np.array([4.2]), z[:1], 1000), rtol=0)
+
+
+def test_likelihoods_take_no_powers():
+    assert not any("pow(" in expression for model in (V.BGNBD, V.GAMMA_GAMMA) for stage in model.stages for expression in stage)
