@@ -40,3 +40,14 @@ def test_buckets_follow_the_bytes(spark, monkeypatch):
     for size, buckets in ((0, 1), (1 << 20, 1), (20 << 20, 20), (64 << 20, 32), (330 << 20, 42), (4000 << 20, 500)):
         monkeypatch.setattr(binding, "table_bytes", lambda *_, n=size: n)
         assert PublishedMarketplace(spark, SF_SMALL, AS_OF, "/none").buckets == buckets
+
+
+def test_orders_meet_their_ratings_and_numbers_in_the_buckets(m, monkeypatch):
+    from loomstat.functions import ranks
+    from loomstat.operators import intermediate as I
+
+    keys, real = [], ranks.grouped_row_number
+    monkeypatch.setattr(ranks, "grouped_row_number", lambda df, *a: keys.append(df) or real(df, *a))
+    made = _plan(I.int_match_pairs(m))
+    assert "Exchange hashpartitioning" not in _plan(keys[0])  # orders and ratings
+    assert "hashpartitioning(pedido_id" not in made  # orders and numbers: the numbers alone move
