@@ -44,3 +44,9 @@ def test_referential_integrity_scans_a_child_once(market):
     assert "LeftAnti" not in checked._jdf.queryExecution().optimizedPlan().toString()
     lost = {k: v for k, v in _by_rule(checked).items() if v}
     assert lost == {"propostas.oficina_id -> oficinas.id": 7}
+
+
+def test_referential_integrity_shuffles_values_once(market):
+    plan = Q.referential_integrity(market)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [parent") == 2  # by value, and the sums of the parents
+    assert "Aggregate [fk" not in plan
