@@ -51,3 +51,36 @@ def test_orders_meet_their_ratings_and_numbers_in_the_buckets(m, monkeypatch):
     made = _plan(I.int_match_pairs(m))
     assert "Exchange hashpartitioning" not in _plan(keys[0])  # orders and ratings
     assert "hashpartitioning(pedido_id" not in made  # orders and numbers: the numbers alone move
+
+
+def test_lines_meet_parts_once(spark, m):
+    """Workshops and certificates read the written types of a supplier; without a broadcast lines move by part once."""
+    from pyspark.sql import functions as F
+
+    shops, certs = (Marketplace.__dict__[t].func(m) for t in ("oficinas", "certificacoes"))
+    for made in (shops, certs):
+        assert "l_partkey" not in _plan(made)
+    types = Marketplace.__dict__["_supplier_types"].func(m)
+    assert _plan(types).count("Exchange hashpartitioning(l_partkey") == 1
+    line, part = m.raw("lineitem"), m.raw("part").select("p_partkey", "p_type")
+    both = line.join(part, line.l_partkey == part.p_partkey, "left")
+    qty = both.groupBy("l_suppkey").agg(F.round(F.sum("l_quantity") / 80).cast("int").alias("q"), F.array_sort(F.collect_set("p_type")).alias("t"))
+    want = m.raw("supplier").join(qty, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("s_suppkey", "q", "t")
+    got = shops.select("id", "capacidade_mensal", "especialidades")
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < got.count()
+    dates = both.where("p_partkey IS NOT NULL").groupBy("l_suppkey", "p_type").agg(F.min("l_shipdate"), F.max("l_shipdate"))
+    got = certs.select("oficina_id", F.ltrim("nome"), "created_at", "updated_at")
+    assert got.exceptAll(dates).count() == dates.exceptAll(got).count() == 0 < got.count()
+
+
+def test_parts_unknown_or_without_a_type(spark, tmp_path):
+    """A line without its part counts for the quantity only; a part without a type is a certificate without a name."""
+    parts = spark.createDataFrame([(1, "X A"), (2, None)], "p_partkey long, p_type string")
+    lines = spark.createDataFrame([(1, 1, 9, 1, 100.0), (2, 2, 9, 1, 200.0), (3, 77, 9, 1, 300.0), (4, None, 9, 1, 200.0), (5, 77, 8, 1, 80.0)],
+                                  "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double") \
+        .selectExpr("*", "1.0D l_extendedprice", "0.0D l_discount", "0.0D l_tax", "'N' l_returnflag", "'O' l_linestatus", "timestamp '1997-01-01' l_shipdate")
+    own = PublishedMarketplace(spark, SF_SMALL, AS_OF, str(tmp_path))
+    own._raw.update(part=parts, lineitem=lines)
+    got = {r["l_suppkey"]: (r["total_qty"], r["types"]) for r in own._supplier_lines.collect()}
+    assert got == {9: (800.0, ["X A"]), 8: (80.0, [])}
+    assert sorted((r["id"], r["oficina_id"]) for r in own.certificacoes.collect()) == [("9", 9), ("9-X A", 9)]
