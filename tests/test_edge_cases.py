@@ -140,6 +140,19 @@ def test_funnel_without_earlier_stages(make_market):
     assert act[1]["pedidos_repetidos"] == 1 and act[1]["e_cliente_recorrente"] is True
 
 
+def test_enriched_orders_with_odd_keys(make_market):
+    """Orders with the same id, without an id or without a workshop appear as often as a plain join has them; a brand is required."""
+    shop = dict(id=7, nome_fantasia="W", cnpj="7", email="w@x", estado="PR", tier="ouro", ativo=True, verificado=True,
+                created_at=dt.datetime(2000, 1, 1))
+    m = make_market(
+        empresas=[brand(1), brand(2), brand(3), brand(3, nome_fantasia="B3b")], oficinas=[shop],
+        pedidos=[order(1, oficina_id=7), order(1, empresa_id=2), order(1, empresa_id=2), order(2, oficina_id=8), order(3, empresa_id=99),
+                 order(4, empresa_id=None), order(5, empresa_id=3, oficina_id=7), order(None, empresa_id=2, oficina_id=7), order(None)])
+    got = sorted(((r["pedido_id"], r["empresa_nome"], r["oficina_nome"]) for r in I.int_pedidos_enriched(m).collect()), key=str)
+    assert got == sorted([(1, "B1", "W"), (1, "B2", None), (1, "B2", None), (2, "B1", None), (5, "B3", "W"), (5, "B3b", "W"),
+                          (None, "B2", "W"), (None, "B1", None)], key=str)
+
+
 def test_geography_one_sided_states(make_market):
     shop = dict(id=7, nome_fantasia="W", cnpj="7", email="w@x", estado="PR", tier="ouro", ativo=True,
                 verificado=True, created_at=dt.datetime(2000, 1, 1))

@@ -53,6 +53,18 @@ def test_orders_meet_their_ratings_and_numbers_in_the_buckets(m, monkeypatch):
     assert "hashpartitioning(pedido_id" not in made  # orders and numbers: the numbers alone move
 
 
+def test_only_keys_of_orders_visit_brands_and_workshops(spark, m):
+    """Payments and bids meet their orders in the buckets, and so does what the keys bring back; wide rows stay there."""
+    from loomstat.operators import intermediate as I
+
+    made = I.int_pedidos_enriched(m)
+    plan = _plan(made)
+    assert not [k for k in ("pedido_id", "_pg_pedido", "_pr_pedido") if f"Exchange hashpartitioning({k}#" in plan]
+    assert plan.count("Exchange hashpartitioning(_w_empresa#") == plan.count("Exchange hashpartitioning(_w_pedido#") == 1
+    whole = I.int_pedidos_enriched(bind(spark, SF_SMALL, AS_OF))
+    assert made.exceptAll(whole).count() == whole.exceptAll(made).count() == 0 < made.count()
+
+
 def test_lines_meet_parts_once(spark, m):
     """Workshops and certificates read the written types of a supplier; without a broadcast lines move by part once."""
     from pyspark.sql import functions as F

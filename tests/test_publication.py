@@ -109,3 +109,59 @@ def test_a_new_model_is_digested_from_its_files(spark, tmp_path, monkeypatch):
     own = [files for files in seen if files and all(f"{out}/data/" in f for f in files)]
     assert len(own) == len(written)
     assert not any(P.publish(fresh(spark), out, "two", SOME).values())
+
+
+def _shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size())}
+
+
+def test_shuffle_files_go_with_their_queries(spark, tmp_path):
+    """Nothing that a publication shuffled stays on disk, whenever the driver collects its garbage; the setting is put back."""
+    import time
+
+    old, before = spark.conf.get(P.SHUFFLE_CLEANUP, None), _shuffle_files(spark)
+    P.publish(fresh(spark), str(tmp_path), None, SOME)
+    for _ in range(50):  # they are removed in the background
+        left = {f for f in _shuffle_files(spark) - before if f.startswith("shuffle_")}
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(P.SHUFFLE_CLEANUP, None) == old
+
+
+def test_models_that_shuffle_most_come_first(spark):
+    from loomstat.plans.pipeline import BY_NAME
+
+    order = P._order(None)
+    at = {n: i for i, n in enumerate(order)}
+    assert sorted(order) == sorted(BY_NAME) and all(at[d] < at[n] for n in order for d in BY_NAME[n].deps)
+
+    def parents(name):
+        return {name}.union(*[parents(d) for d in BY_NAME[name].deps])
+
+    ahead = set().union(*[parents(n) for n in P.FIRST])
+    assert set(order[:len(ahead)]) == ahead
+    assert P._order(["marts_cohort_analysis"]) == ["stg_empresas", "stg_pedidos", "marts_cohort_analysis"]
+
+
+def test_models_meet_by_order_in_the_buckets_of_the_sources(spark, tmp_path, monkeypatch):
+    """The published orders lie by month; models after them project the bucketed source table, and readers get the published one."""
+    from dataclasses import replace
+
+    from loomstat.sources.binding import PublishedMarketplace
+
+    m, read = PublishedMarketplace(spark, SF_SMALL, "2001-08-02 00:00:00", str(tmp_path / "sources")), []
+    for name in ("int_pedidos_enriched", "marts_cohort_analysis"):
+        model = P.BY_NAME[name]
+        monkeypatch.setitem(P.BY_NAME, name, replace(model, build=lambda x, f=model.build: read.append(f(x)) or read[-1]))
+    out = str(tmp_path / "out")
+    written = P.publish(m, out, None, SOME)
+    for df in read:
+        assert any("/sources/pedidos/" in f for f in df.inputFiles()) and not any("/data/stg_pedidos/" in f for f in df.inputFiles())
+    assert any("/data/stg_empresas/" in f for f in read[0].inputFiles())  # other models are read as published
+    assert all(f"{out}/data/stg_pedidos/" in f for f in m.models["stg_pedidos"].inputFiles())
+    assert set(m.models) == set(written) and not any(P.publish(m, out, None, SOME).values())
+    for name in SOME:
+        want, got = P.BY_NAME[name].build(fresh(spark)), P.published(spark, out, name)
+        assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < got.count()
